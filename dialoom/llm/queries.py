@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import broken_pairs
+from dialoom.llm import broken_pairs, canonical_text
 from dialoom.operators import dialogue
 from dialoom.sources import table
 
@@ -28,9 +28,28 @@ def p1_defect_counts(s: SparkSession, d: str) -> DataFrame:
     return _flagged(s, d).groupBy(F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("n"))
 
 
+def _look_texts(s: SparkSession, d: str) -> DataFrame:
+    """(tab, key, text) of both tables that problem 2 names."""
+    conv = table(s, d, "conversations").select(F.lit("conversations").alias("tab"), F.col("msg_id").alias("key"), F.col("content").alias("text"))
+    items = table(s, d, "dataset").select(F.lit("dataset").alias("tab"), F.col("id").alias("key"), F.col("description").alias("text"))
+    return conv.unionByName(items)
+
+
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows whose texts look the same and are stored differently."""
+    return canonical_text.same_look(_look_texts(s, d), "text", "key", ["tab"])
+
+
+def p2_canonical(s: SparkSession, d: str) -> DataFrame:
+    """Every row with its text in the consistent form."""
+    return canonical_text.canonical(_look_texts(s, d), "text", ["tab", "key"]).select("tab", "key", "canonical")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_defect_counts": p1_defect_counts,
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
 }
 
 ORACLE: dict[str, str] = {}
