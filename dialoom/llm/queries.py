@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import broken_pairs, canonical_text
+from dialoom.llm import broken_pairs, canonical_text, formatting_copies
 from dialoom.operators import dialogue
 from dialoom.sources import table
 
@@ -45,11 +45,30 @@ def p2_canonical(s: SparkSession, d: str) -> DataFrame:
     return canonical_text.canonical(_look_texts(s, d), "text", ["tab", "key"]).select("tab", "key", "canonical")
 
 
+def _repeated_texts(s: SparkSession, d: str) -> DataFrame:
+    """(tab, key, text) of both tables that problem 5 names."""
+    conv = table(s, d, "conversations").select(F.lit("conversations").alias("tab"), F.col("msg_id").alias("key"), F.col("content").alias("text"))
+    pred = table(s, d, "predictions").select(F.lit("predictions").alias("tab"), F.col("pred_id").alias("key"), F.col("ground_truth").alias("text"))
+    return conv.unionByName(pred)
+
+
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    """Each further copy of a text, with the row that is kept."""
+    return formatting_copies.copies(_repeated_texts(s, d), "text", "key", "tab")
+
+
+def p5_collapsed(s: SparkSession, d: str) -> DataFrame:
+    """One row per text, with the number of its copies."""
+    return formatting_copies.collapsed(_repeated_texts(s, d), "text", "key", "tab")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_defect_counts": p1_defect_counts,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p5_found": p5_found,
+    "p5_collapsed": p5_collapsed,
 }
 
 ORACLE: dict[str, str] = {}
