@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import broken_pairs, canonical_text, formatting_copies
+from dialoom.llm import broken_pairs, canonical_text, formatting_copies, leakage
 from dialoom.operators import dialogue
 from dialoom.sources import table
 
@@ -62,6 +62,11 @@ def p5_collapsed(s: SparkSession, d: str) -> DataFrame:
     return formatting_copies.collapsed(_repeated_texts(s, d), "text", "key", "tab")
 
 
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    """Every document that contains part of a test item's passage, with the item."""
+    return leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_defect_counts": p1_defect_counts,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "p2_canonical": p2_canonical,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p7_found": p7_found,
 }
 
 ORACLE: dict[str, str] = {}
