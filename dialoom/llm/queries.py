@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import broken_pairs, canonical_text, formatting_copies, leakage
+from dialoom.llm import broken_pairs, canonical_text, formatting_copies, leakage, linked_split
 from dialoom.operators import dialogue
 from dialoom.sources import table
 
@@ -62,6 +62,28 @@ def p5_collapsed(s: SparkSession, d: str) -> DataFrame:
     return formatting_copies.collapsed(_repeated_texts(s, d), "text", "key", "tab")
 
 
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    """Training records with their item number, picture number and kind of source."""
+    return table(s, d, "train").select("row_id", linked_split.item_number("id").alias("item"), linked_split.picture_number("image").alias("picture"), F.regexp_extract("source", "^([a-z]+(-[a-z]+)?)-", 1).alias("kind"))
+
+
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of items whose records must share a split."""
+    members = linked_split.groups(_linked(s, d), "item", "picture")
+    return linked_split.linked_pairs(members, "item").select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
+
+
+def p4_split(s: SparkSession, d: str) -> DataFrame:
+    """Every training record with its split: 80, 10 and 10 percent of the records."""
+    return linked_split.assign(_linked(s, d).withColumn("kind", F.substring_index("kind", "-", 1)), "row_id", "item", "picture", "kind")
+
+
+def p4_split_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Records, and their share, per split."""
+    n = p4_split(s, d).groupBy("split").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("split", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def p7_found(s: SparkSession, d: str) -> DataFrame:
     """Every document that contains part of a test item's passage, with the item."""
     return leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark"))
@@ -74,6 +96,9 @@ QUERIES: dict[str, Query] = {
     "p2_canonical": p2_canonical,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p4_found": p4_found,
+    "p4_split": p4_split,
+    "p4_split_sizes": p4_split_sizes,
     "p7_found": p7_found,
 }
 
