@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm.lookalikes import TWINS, UNCOMMON, atoms, look
@@ -138,9 +138,9 @@ def spellings(texts: DataFrame) -> DataFrame:
     their representative with an odd token go on to the shards.
     """
     counted = texts.select("text").mapInPandas(_count_tokens, "rep string, token string, n bigint, odd boolean")
-    words = counted.groupBy("rep", "token").agg(F.sum("n").alias("n"), F.max("odd").alias("odd"))
-    wanted = words.where("odd").select("rep").distinct()
-    near = words.join(wanted, "rep", "left_semi")
+    # one shuffle by representative serves the counts and the question which ones are wanted
+    words = counted.repartition("rep").groupBy("rep", "token").agg(F.sum("n").alias("n"), F.max("odd").alias("odd"))
+    near = words.withColumn("wanted", F.max("odd").over(Window.partitionBy("rep"))).where("wanted").drop("wanted")
     shards = 8 * shuffle_partitions(texts.sparkSession)
     return near.groupBy(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard")).applyInPandas(_match, "token string, spelling string")
 

@@ -41,8 +41,22 @@ TWINS = {
 VIETNAMESE = "đĐ" + "".join(
     sorted({unicodedata.normalize("NFC", b + t) for b in "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY" for t in ("", "̀", "́", "̃", "̉", "̣")} - set("aeiouyAEIOUY"))
 )
+
+
+def _ranges(chars: str) -> str:
+    """A character class of as few ranges as possible (regex engines test them one by one)."""
+    out, points = [], sorted(map(ord, set(chars)))
+    while points:
+        n = 1
+        while n < len(points) and points[n] == points[0] + n:
+            n += 1
+        out.append(chr(points[0]) if n == 1 else f"{chr(points[0])}-{chr(points[n - 1])}")
+        points = points[n:]
+    return "".join(out)
+
+
 #: Characters that are their own representative whatever stands beside them.
-PLAIN = "\\t\\n\\r -~" + VIETNAMESE
+PLAIN = "\\t\\n\\r -~" + _ranges(VIETNAMESE)
 #: Java and Python pattern: a text with a match may be written in an uncommon way.
 UNCOMMON = f"[^{PLAIN}]"
 
