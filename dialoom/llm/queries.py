@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import broken_pairs, canonical_text, formatting_copies, leakage, linked_split
+from dialoom.llm import broken_pairs, canonical_text, formatting_copies, leakage, linked_split, split_overlap
 from dialoom.operators import dialogue
 from dialoom.sources import table
 
@@ -62,6 +62,23 @@ def p5_collapsed(s: SparkSession, d: str) -> DataFrame:
     return formatting_copies.collapsed(_repeated_texts(s, d), "text", "key", "tab")
 
 
+def _records(s: SparkSession, d: str, name: str) -> DataFrame:
+    value = lambda i: F.get("conversations", F.lit(i)).getField("value")
+    return table(s, d, name).select(F.col("row_id").alias("key"), linked_split.picture_number("image").alias("picture"), value(0).alias("question"), value(1).alias("answer"))
+
+
+def p3_found(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of a training record and an evaluation record that overlap."""
+    pairs = split_overlap.overlaps(_records(s, d, "train"), _records(s, d, "val"))
+    return pairs.select(F.col("train_key").alias("train_row_id"), F.col("held_out_key").alias("val_row_id"))
+
+
+def p3_report(s: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs and records per split and source of the evaluation record."""
+    pairs = split_overlap.overlaps(_records(s, d, "train"), _records(s, d, "val"))
+    return split_overlap.report(pairs, table(s, d, "val"), "row_id", ["split", "source"])
+
+
 def _linked(s: SparkSession, d: str) -> DataFrame:
     """Training records with their item number, picture number and kind of source."""
     return table(s, d, "train").select("row_id", linked_split.item_number("id").alias("item"), linked_split.picture_number("image").alias("picture"), F.regexp_extract("source", "^([a-z]+(-[a-z]+)?)-", 1).alias("kind"))
@@ -96,6 +113,8 @@ QUERIES: dict[str, Query] = {
     "p2_canonical": p2_canonical,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_split": p4_split,
     "p4_split_sizes": p4_split_sizes,
