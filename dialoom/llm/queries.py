@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import broken_pairs, canonical_text, formatting_copies, leakage, linked_split, split_overlap
+from dialoom.llm import broken_pairs, canonical_text, chunking, formatting_copies, leakage, linked_split, packing, split_overlap
 from dialoom.operators import dialogue
 from dialoom.sources import table
 
@@ -101,6 +101,30 @@ def p4_split_sizes(s: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("split", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p6_containers(s: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of an oversized one, with its container."""
+    return packing.pack(table(s, d, "documents"), capacity=CAPACITY)
+
+
+def p6_fill(s: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, and how full."""
+    return packing.fill(p6_containers(s, d), CAPACITY)
+
+
+def p8_pieces(s: SparkSession, d: str) -> DataFrame:
+    """Numbered pieces of every text: at most 512 tokens, 64 of them shared with the piece before."""
+    return chunking.pieces(table(s, d, "documents"))
+
+
+def p8_boundaries(s: SparkSession, d: str) -> DataFrame:
+    """Pieces, and their average size, by the boundary they end at."""
+    return p8_pieces(s, d).groupBy("boundary").agg(F.count("*").alias("n"), F.avg("tokens").alias("avg_tokens"), F.max("tokens").alias("max_tokens"))
+
+
 def p7_found(s: SparkSession, d: str) -> DataFrame:
     """Every document that contains part of a test item's passage, with the item."""
     return leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark"))
@@ -118,7 +142,11 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_split": p4_split,
     "p4_split_sizes": p4_split_sizes,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
+    "p8_pieces": p8_pieces,
+    "p8_boundaries": p8_boundaries,
 }
 
 ORACLE: dict[str, str] = {}
