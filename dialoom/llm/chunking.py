@@ -105,9 +105,11 @@ def cut(text: str, units: _Units, most: int, least: int, overlap: int) -> list[t
         return []
     if len(text) <= most and len(text.encode()) <= most:
         return [(0, len(text), len(KINDS) - 1, sizer.size(text))]
-    whole = sizer.size(text)
-    if whole <= most:
-        return [(0, len(text), len(KINDS) - 1, whole)]
+    # every word takes a token at least, so texts of many words need no count
+    if text.count(" ") <= most or len(text.split()) <= most:
+        whole = sizer.size(text)
+        if whole <= most:
+            return [(0, len(text), len(KINDS) - 1, whole)]
     words, gaps = _chunks(text)
     units.tidy()
     at = np.fromiter(map(units.__getitem__, words), np.int64, len(words))

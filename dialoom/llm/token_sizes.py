@@ -2,7 +2,7 @@
 
 Splitting at single spaces never splits a token, so sizes are sums over space-separated
 chunks, and chunks repeat: each is tokenised once per worker and its size kept. Texts that
-end in white space, or have runs of white space with a space in them, are tokenised whole.
+have runs of white space with a space in them are tokenised whole.
 """
 
 from __future__ import annotations
@@ -52,12 +52,19 @@ class Sizer:
         """The number of tokens of ``text``."""
         if not text:
             return 0
-        if text[-1].isspace() or any(map(text.__contains__, _RUNS)) or _RARE_SPACE.search(text):
-            return self.exact(text)
+        tail = 0
+        if text[-1].isspace() and not _RARE_SPACE.search(text):
+            body = text.rstrip()  # white space at the end makes tokens of its own
+            tail = self._sizes.tail(text[len(body) :])
+            text = body
+            if not text:
+                return tail
+        if any(map(text.__contains__, _RUNS)) or _RARE_SPACE.search(text):
+            return tail + self.exact(text)
         first, *rest = text.split(" ")
         if len(self._sizes) > _KEEP:
             self._sizes.clear()
-        return self._sizes.first(first) + sum(map(self._sizes.__getitem__, rest))
+        return tail + self._sizes.first(first) + sum(map(self._sizes.__getitem__, rest))
 
     def sizes(self, texts: Iterable[str | None]) -> list[int]:
         return [0 if t is None else self.size(t) for t in texts]
@@ -73,7 +80,7 @@ class _Sizes(dict):
     def __init__(self, encoding):
         super().__init__()
         self.encode = encoding.encode_ordinary
-        self.head: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
 
     def __missing__(self, chunk: str) -> int:
         n = len(self.encode(" " + chunk))
@@ -82,4 +89,12 @@ class _Sizes(dict):
         return n
 
     def first(self, chunk: str) -> int:
-        return len(self.encode(chunk)) if chunk else 0
+        """Size of a chunk at the start of a text."""
+        n = self.heads.get(chunk)
+        if n is None:
+            n = len(self.encode(chunk)) if chunk else 0
+            if len(chunk) < 100 and len(self.heads) < _KEEP:
+                self.heads[chunk] = n
+        return n
+
+    tail = first
