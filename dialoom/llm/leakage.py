@@ -7,8 +7,8 @@ fingerprint. The order is by hash, with k-grams that many items share last: they
 only where a window has nothing more telling. Fingerprints of corpus and test set are
 joined, and each hit is extended along its diagonal: a document contains an item if at
 least ``least`` words in a row of the item's passage are there, ``altered`` of them at most
-changed (a few insertions and deletions may shift the rest), and so few of the passage's
-telling words (those few other items have) changed that it isn't merely the same stock
+changed (a few insertions and deletions may shift the rest), and so many of the passage's
+telling k-grams (those few other items have) are whole that it isn't merely the same stock
 wording with another content.
 
 An item's instruction and question are no part of its passage: sentences and leading
@@ -72,25 +72,30 @@ def passages(texts: dict[int, str], shared: Counter | None = None, n_items: int
     return out
 
 
+def _grams_of(words: list[str], k: int) -> list[str]:
+    return [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
 class _Index:
     """The winnowed fingerprints of one block of test passages, ready to be sent to workers."""
 
-    def __init__(self, items: dict[int, list[str]], df: Counter, n_items: int, k: int, window: int, least: int, altered: float, telling: float):
+    def __init__(self, items: dict[int, list[str]], shared: Counter | None, n_items: int, k: int, window: int, least: int, altered: float, telling: float):
         items = {i: w for i, w in items.items() if len(w) >= least}
         self.k, self.window, self.least, self.altered, self.telling = k, window, least, altered, telling
         self.keys = np.array(sorted(items), dtype=np.int64)
         self.vocabulary = {w: n + 1 for n, w in enumerate(sorted({x for w in items.values() for x in w}))}
         self.words = [np.array([self.vocabulary[x] for x in items[i]], dtype=np.int32) for i in self.keys]
-        few = max(1, 0.1 * n_items)
-        self.rare = [np.array([df[x] <= few or x.isdigit() for x in items[i]]) for i in self.keys]
-        grams: Counter = Counter()
         each = [self._grams(w) for w in self.words]
-        for g in each:
-            grams.update(set(g.tolist()))
+        spelled = [_grams_of(items[i], k) for i in self.keys]
+        if shared is None:  # this block is the whole set
+            shared = Counter(g for gs in spelled for g in set(gs))
+        grams = {h: shared[g] for hs, gs in zip(each, spelled) for h, g in zip(hs.tolist(), gs)}
         self.grams = np.array(sorted(grams), dtype=np.uint64)
         noise = _mix(self.grams)
         common = np.array([grams[int(g)] > max(2, 0.02 * n_items) for g in self.grams], dtype=bool)
         self.rank = np.where(common, noise | np.uint64(1 << 63), noise >> np.uint64(1)) if len(self.grams) else noise
+        few = np.array([grams[int(g)] <= max(1, 0.02 * n_items) for g in self.grams], dtype=bool)
+        self.rare = [np.concatenate([np.zeros(k - 1, bool), few[np.searchsorted(self.grams, g)]]) for g in each]
         post: list[tuple[int, int, int]] = []
         for n, g in enumerate(each):
             at = np.searchsorted(self.grams, g)
@@ -207,12 +212,17 @@ class _Index:
             same |= m if m is best else m & (np.append(m[1:], False) | np.append(False, m[:-1]))
         if same.sum() < (1 - self.altered) * self.least:
             return False
-        have, tells, told = (np.concatenate([[0], np.cumsum(x)]) for x in (same, rare, rare & same))
+        # telling k-grams, by their last word: those few items have
+        whole = rare.copy()
+        for d in range(self.k):
+            whole[d:] &= same[: n - d]
+        have, tells, told = (np.concatenate([[0], np.cumsum(x)]) for x in (same, rare, whole))
         starts = np.flatnonzero(same)
         ends = starts + 1
         size = ends[None, :] - starts[:, None]
         match = have[ends][None, :] - have[starts][:, None]
-        of, got = tells[ends][None, :] - tells[starts][:, None], told[ends][None, :] - told[starts][:, None]
+        inner = np.minimum(starts + self.k - 1, n)
+        of, got = tells[ends][None, :] - tells[inner][:, None], told[ends][None, :] - told[inner][:, None]
         near = ((got >= self.telling * of) & (got >= 2)) | (match >= (1 - self.altered / 3) * size)
         return bool(((size >= self.least) & (match >= (1 - self.altered) * size) & near).any())
 
@@ -258,7 +268,7 @@ class _Ids(dict):
 _NO_WORD = -2
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", least: int = 18, k: int = 3, window: int = 4, altered: float = 0.14, telling: float = 0.7) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", least: int = 18, k: int = 3, window: int = 4, altered: float = 0.14, telling: float = 0.45) -> DataFrame:
     """(item_id, doc_id): every document that contains part of an item's passage."""
     spark = docs.sparkSession
     queries = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
@@ -268,29 +278,30 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_key: str =
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
         own = {r.k: r.t for r in rows}
-        shared, df, n = _statistics(queries, own, size.n) if blocks > 1 else (None, None, len(own))
-        words = passages(own, shared, n)
-        df = df or Counter(w for p in words.values() for w in set(p))
-        index = _Index(words, df, n, k, window, least, altered, telling)
+        segments, grams = _statistics(queries, own, k) if blocks > 1 else (None, None)
+        index = _Index(passages(own, segments, size.n), grams, size.n, k, window, least, altered, telling)
         found.append(_search(docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")), spark.sparkContext.broadcast(index)))
     return reduce(DataFrame.unionByName, found).distinct() if blocks > 1 else found[0].distinct()
 
 
-def _statistics(queries: DataFrame, own: dict[int, str], n: int) -> tuple[Counter, Counter, int]:
-    """In how many of all items the segments and words of one block occur."""
+def _statistics(queries: DataFrame, own: dict[int, str], k: int) -> tuple[Counter, Counter]:
+    """In how many of all items the segments and the k-grams of one block occur."""
+
+    def parts(t: str) -> set[str]:
+        segments = _segments(t)
+        return {"s " + " ".join(s) for s in segments} | {"g " + g for g in _grams_of([w for s in segments for w in s], k)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c: Counter = Counter()
             for t in pdf["t"]:
-                c.update({"s " + " ".join(s) for s in _segments(t)} | {"w " + w for w in norm_words(t)})
+                c.update(parts(t))
             yield pd.DataFrame({"x": list(c), "n": list(c.values())})
 
-    mine = {x for t in own.values() for x in {"s " + " ".join(s) for s in _segments(t)} | {"w " + w for w in norm_words(t)}}
-    wanted = queries.sparkSession.createDataFrame([(x,) for x in mine], "x string")
+    wanted = queries.sparkSession.createDataFrame([(x,) for x in {x for t in own.values() for x in parts(t)}], "x string")
     rows = queries.select("t").mapInPandas(count, "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")).join(wanted, "x", "left_semi").collect()
     pick = lambda kind: Counter({r.x[2:]: r.n for r in rows if r.x[0] == kind})
-    return pick("s"), pick("w"), n
+    return pick("s"), pick("g")
 
 
 def _search(docs: DataFrame, index) -> DataFrame:
