@@ -57,6 +57,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a few small files on all cores; what has enough partitions stays as it is.
+
+    For inputs of work that costs more than moving the rows (Python per row). Only for
+    plans without a shuffle, whose partitions are known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def local_session(cores: int | str | None = None, app: str = "dialoom") -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
@@ -65,6 +75,7 @@ def local_session(cores: int | str | None = None, app: str = "dialoom") -> Spark
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
