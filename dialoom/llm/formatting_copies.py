@@ -116,7 +116,8 @@ def sorted_runs(records: DataFrame, partitions: int | None = None) -> DataFrame:
     """(tab, id, keep_id) for records (tab, id, key): keep_id is the smallest id with that key."""
     spark = records.sparkSession
     n = partitions or shuffle_partitions(spark)
-    ordered = records.select("tab", "key", "id").repartitionByRange(n, "tab", "key", "id").sortWithinPartitions("tab", "key", "id")
+    # range partitioning reads its input twice (bounds, then rows): keys are made once
+    ordered = materialize(records.select("tab", "key", "id"), "keys").repartitionByRange(n, "tab", "key", "id").sortWithinPartitions("tab", "key", "id")
     scanned = materialize(ordered.mapInPandas(_scan, "tab string, id bigint, keep_id bigint, head boolean, part int, first string, last string"), "runs")
     fixes, before, true_keep = [], None, None
     for b in sorted(scanned.where("first is not null").collect(), key=lambda b: b.part):
