@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm import broken_pairs, canonical_text, chunking, formatting_copies, leakage, linked_split, packing, split_overlap
 from dialoom.operators import dialogue
+from dialoom.session import spread
 from dialoom.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def _look_texts(s: SparkSession, d: str) -> DataFrame:
     """(tab, key, text) of both tables that problem 2 names."""
     conv = table(s, d, "conversations").select(F.lit("conversations").alias("tab"), F.col("msg_id").alias("key"), F.col("content").alias("text"))
     items = table(s, d, "dataset").select(F.lit("dataset").alias("tab"), F.col("id").alias("key"), F.col("description").alias("text"))
-    return conv.unionByName(items)
+    return spread(conv).unionByName(spread(items))
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def _repeated_texts(s: SparkSession, d: str) -> DataFrame:
     """(tab, key, text) of both tables that problem 5 names."""
     conv = table(s, d, "conversations").select(F.lit("conversations").alias("tab"), F.col("msg_id").alias("key"), F.col("content").alias("text"))
     pred = table(s, d, "predictions").select(F.lit("predictions").alias("tab"), F.col("pred_id").alias("key"), F.col("ground_truth").alias("text"))
-    return conv.unionByName(pred)
+    return spread(conv).unionByName(pred)
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -64,7 +65,7 @@ def p5_collapsed(s: SparkSession, d: str) -> DataFrame:
 
 def _records(s: SparkSession, d: str, name: str) -> DataFrame:
     value = lambda i: F.get("conversations", F.lit(i)).getField("value")
-    return table(s, d, name).select(F.col("row_id").alias("key"), linked_split.picture_number("image").alias("picture"), value(0).alias("question"), value(1).alias("answer"))
+    return spread(table(s, d, name).select("row_id", "image", "conversations")).select(F.col("row_id").alias("key"), linked_split.picture_number("image").alias("picture"), value(0).alias("question"), value(1).alias("answer"))
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
@@ -101,13 +102,17 @@ def p4_split_sizes(s: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("split", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents").select("doc_id", "text"))
+
+
 #: Tokens a container holds.
 CAPACITY = 2048
 
 
 def p6_containers(s: SparkSession, d: str) -> DataFrame:
     """Every text, or piece of an oversized one, with its container."""
-    return packing.pack(table(s, d, "documents"), capacity=CAPACITY)
+    return packing.pack(_documents(s, d), capacity=CAPACITY)
 
 
 def p6_fill(s: SparkSession, d: str) -> DataFrame:
@@ -117,7 +122,7 @@ def p6_fill(s: SparkSession, d: str) -> DataFrame:
 
 def p8_pieces(s: SparkSession, d: str) -> DataFrame:
     """Numbered pieces of every text: at most 512 tokens, 64 of them shared with the piece before."""
-    return chunking.pieces(table(s, d, "documents"))
+    return chunking.pieces(_documents(s, d))
 
 
 def p8_boundaries(s: SparkSession, d: str) -> DataFrame:
@@ -127,7 +132,7 @@ def p8_boundaries(s: SparkSession, d: str) -> DataFrame:
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
     """Every document that contains part of a test item's passage, with the item."""
-    return leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark"))
+    return leakage.leaks(_documents(s, d), table(s, d, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
