@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import broken_pairs, canonical_text, chunking, formatting_copies, leakage, linked_split, packing, split_overlap
+from dialoom.llm.oracle import ORACLE
 from dialoom.operators import dialogue
 from dialoom.session import spread
 from dialoom.sources import table
@@ -154,4 +155,4 @@ QUERIES: dict[str, Query] = {
     "p8_boundaries": p8_boundaries,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
