@@ -7,6 +7,7 @@ and is computed once (``Dataset.checkpoint`` computes its plan twice).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,17 +41,37 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     writer.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._dialoom_path = path
+    if not _written:
+        atexit.register(_tidy)
+    _written.append((spark, path))
     return out
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def _tidy() -> None:
+    """Delete what this process left in the shared folder, while its session still lives."""
+    for spark, path in _written:
+        try:
+            if spark.sparkContext._jsc is None:
+                return
+            _delete(spark, path)
+        except Exception:  # the session is gone; the folder's owner cleans up
+            return
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` once nothing reads it any more."""
     path = getattr(df, "_dialoom_path", None)
     if path is None:
         return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _delete(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
