@@ -16,7 +16,7 @@ def checkpoints(names: DataFrame) -> DataFrame:
 
 
 def latest(names: DataFrame, numeric: bool = False) -> DataFrame:
-    """The latest checkpoint: by name as the reference does, or by step."""
+    """The latest checkpoint: by name, character by character (checkpoint-500 comes after checkpoint-1500), or by step."""
     c = checkpoints(names)
     return c.agg((F.max_by("name", "step") if numeric else F.max("name")).alias("name"))
 

@@ -102,7 +102,7 @@ def _carried(conversations: DataFrame) -> DataFrame:
         conversations.where(is_user() | is_assistant()).join(blocks.select("conv_id").distinct(), "conv_id", "left_semi")
         .select("conv_id", F.floor(F.col("turn") / BLOCK).alias("_b"), "turn", "role", "content", "loaded_at", "msg_id")
     )
-    first = F.struct(F.col("turn"), -F.unix_micros("loaded_at"), -F.col("msg_id"))
+    first = F.struct(F.col("turn"), -F.unix_micros(F.col("loaded_at").cast("timestamp")), -F.col("msg_id"))
     last = kept.groupBy("conv_id", "_b").agg(F.max_by(F.struct("turn", "role", "content"), first).alias("t"))
     w = Window.partitionBy("conv_id").orderBy("_block")
     both = blocks.join(last.withColumnRenamed("_b", "_block"), ["conv_id", "_block"], "full")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom import schemas
 
 
 def read_turns(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schemas.CONVERSATIONS)
+    """Turns from a folder that keeps growing; the schema is that of the files there now."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    # watermarks need timestamps with a zone: those without are in the session's
+    return reader.parquet(path).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "loaded_at")})
 
 
 def first_deliveries(turns: DataFrame, delay: str = "7 days") -> DataFrame:
