@@ -5,9 +5,12 @@ once. Classes get minwise signatures, cut into bands; only buckets with rows of
 give candidates. Two families of buckets are used:
 
 * same picture: character 3-grams of question and answer, bucketed within the picture;
-* texts alone (both answers of at least ``least`` characters): word 2-grams and words of
-  the answer that are rare in the corpus (names, numbers, the odd slip). Stock wording, the
-  same for thousands of records, makes no candidates. Frequencies are counted over all rows.
+* texts alone (both answers of at least ``least`` characters): character 4-grams of the words
+  of question and answer that carry facts, written without spaces, weighted by how rare they
+  are among the texts. Stock wording, the same for thousands of records, weighs little, but
+  nothing is set aside: copies of a text that is itself common still meet. The digits of
+  both fields are part of the bucket, since verification wants them equal. Frequencies are
+  counted over all distinct texts.
 
 Candidates are verified in full: exact Jaccard similarity of the 3-gram sets, then an
 alignment of the words in which only slips of the pen (a letter dropped, doubled or
@@ -26,6 +29,7 @@ play no part.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,9 +46,6 @@ from dialoom.llm.formatting_copies import fields_of
 from dialoom.llm.lookalikes import look, no_accents
 from dialoom.session import materialize
 
-#: Stock shingles that go to the workers at most; more of them are set aside by a join.
-MAX_COMMON = 300_000
-
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _APART = regex.compile(r"\n|[;|:,]\s")
 _DIGITS = regex.compile(r"\p{N}+$")
@@ -146,10 +147,44 @@ def grams(q: list[str], a: list[str], n: int = 3) -> set[str]:
     return out
 
 
-def telling(a: list[str]) -> list[str]:
-    """Words and word 2-grams of an answer, without accents."""
-    ws = [flat(w) for w in a]
-    return ws + [f"{x} {y}" for x, y in zip(ws, ws[1:])]
+def fact_grams(q: list[str], a: list[str], n: int = 4) -> set[str]:
+    """Character n-grams of the words that carry facts, numbers aside, without accents and spaces."""
+    out = set()
+    for tag, ws in (("q", q), ("a", a)):
+        s = "".join(w for w in map(flat, ws) if w not in NO_FACT and not w[:1].isdigit())
+        out.update(tag + s[i : i + n] for i in range(max(1, len(s) - n + 1)))
+    return out
+
+
+def digits(ws: list[str]) -> str:
+    """The digits of a text's numbers, sorted: equal for texts of which ``same_words`` holds."""
+    return "".join(sorted(c for w in ws if w[0].isdigit() for c in flat(w) if c.isdigit()))
+
+
+def weighted_bands(q: list[str], a: list[str], weights: dict[str, float], top: float, rows: int, n: int) -> list[int]:
+    """One 64-bit bucket per band of weighted minwise hashes; grams not in ``weights`` weigh ``top``."""
+    grams = sorted(fact_grams(q, a))
+    x = np.fromiter(map(_hash, grams), np.uint64, len(grams))
+    w = np.array([weights.get(g, top) for g in grams])
+    k = rows * n
+    best, least = np.full(k, np.inf), np.zeros(k, np.uint64)
+    for s in range(0, len(x), 4096):
+        h = (x[s : s + 4096, None] * _A[None, :k] + _B[None, :k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        # the least of exponential variables falls on a gram in proportion to its weight
+        v = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / w[s : s + 4096, None]
+        at = v.argmin(0)
+        low = v[at, np.arange(k)]
+        least = np.where(low < best, x[s : s + 4096][at], least)
+        best = np.minimum(best, low)
+    m = least.reshape(n, rows)
+    h = np.full(n, _hash(digits(q)) << 32 | _hash(digits(a)), np.uint64)
+    for j in range(rows):
+        h = (h ^ m[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return (h + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
 
 
 def jaccard(x: set[str], y: set[str]) -> float:
@@ -290,18 +325,18 @@ def _picture_bands(rows: int, n: int):
     return run
 
 
-def _telling_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         c: Counter = Counter()
-        for a in pdf["a"]:
-            c.update(set(telling(a.split(" "))))
-        yield pd.DataFrame({"shingle": list(c), "n": list(c.values())})
+        for q, a in zip(pdf["q"], pdf["a"]):
+            c.update(fact_grams(q.split(" "), a.split(" ")))
+        yield pd.DataFrame({"gram": list(c), "n": list(c.values())})
 
 
-def _text_bands(rows: int, n: int):
+def _text_bands(rows: int, n: int, weights, top: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(c, b) for c, s in zip(pdf["cid"], pdf["shingles"]) for b in bands(set(s), rows, n)]
+            out = [(c, b) for c, q, a in zip(pdf["cid"], pdf["q"], pdf["a"]) for b in weighted_bands(q.split(" "), a.split(" "), weights.value, top, rows, n)]
             yield pd.DataFrame(out, columns=["cid", "bucket"]).astype({"cid": "int64", "bucket": "int64"})
 
     return run
@@ -313,10 +348,10 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["c1", "c2"]]
 
 
-def overlaps(train: DataFrame, held_out: DataFrame, least: int = 70, rare: float = 0.002) -> DataFrame:
+def overlaps(train: DataFrame, held_out: DataFrame, least: int = 70, top: float = 2.0) -> DataFrame:
     """(train_key, held_out_key) from two tables (key, picture, question, answer).
 
-    ``rare``: share of answers up to which a word or word pair counts as telling.
+    ``top``: weight of a rare character 4-gram in the candidate search; one that all texts have weighs 1.
     """
     t = materialize(normal_records(train, "key", "picture", "question", "answer"), "train")
     v = materialize(normal_records(held_out, "key", "picture", "question", "answer"), "heldout")
@@ -335,29 +370,15 @@ def overlaps(train: DataFrame, held_out: DataFrame, least: int = 70, rare: float
     # texts alone
     far_t, far_v = ct.where("far").select("q", "a").distinct(), cv.where("far").select("q", "a").distinct()
     tid = lambda df: df.withColumn("cid", F.xxhash64("q", "a"))
-    both = tid(far_t).select("cid", "a").unionByName(tid(far_v).select("cid", "a")).distinct()
-    both = materialize(both, "answers")
+    both = materialize(far_t.unionByName(far_v).distinct(), "texts")
     total = both.count()
-    counts = both.select("a").mapInPandas(_telling_words, "shingle string, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # at most (shingles of a mean answer / rare) rows
-    common = counts.where(F.col("n") > max(3.0, rare * total)).select("shingle")
-    known = common.limit(MAX_COMMON + 1).collect()
-    if len(known) <= MAX_COMMON:
-        stop = both.sparkSession.sparkContext.broadcast(frozenset(r.shingle for r in known))
-        banded = both.mapInPandas(_answer_bands(3, 24, stop), "cid bigint, bucket bigint")
-    else:
-        words = both.mapInPandas(_shingles_of, "cid bigint, shingle string")
-        kept = words.join(common, "shingle", "left_anti").groupBy("cid").agg(F.sort_array(F.collect_list("shingle")).alias("shingles"))
-        banded = kept.mapInPandas(_text_bands(3, 24), "cid bigint, bucket bigint")
-    banded = materialize(banded, "bands")
-    in_t, in_v = tid(far_t).select("cid"), tid(far_v).select("cid")
-    x = banded.join(in_t, "cid", "left_semi").withColumnRenamed("cid", "x1")
-    y = banded.join(in_v, "cid", "left_semi").withColumnRenamed("cid", "x2")
+    counts = both.mapInPandas(_gram_counts, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    # at most (grams of a mean text x e ** (top - 1)) rows
+    common = counts.where(F.col("n") > math.exp(1 - top) * total).collect()
+    make = _text_bands(3, 56, both.sparkSession.sparkContext.broadcast({r.gram: 1 + math.log(total / r.n) for r in common}), top)
+    x = tid(far_t).mapInPandas(make, "cid bigint, bucket bigint").withColumnRenamed("cid", "x1")
+    y = tid(far_v).mapInPandas(make, "cid bigint, bucket bigint").withColumnRenamed("cid", "x2")
     alike = x.join(y, "bucket").select("x1", "x2").distinct()
-    # answers without a telling word: their own texts, exactly
-    plain = both.select("cid").join(banded.select("cid").distinct(), "cid", "left_anti")
-    exact = plain.join(in_t, "cid", "left_semi").join(in_v, "cid", "left_semi").select(F.col("cid").alias("x1"), F.col("cid").alias("x2"))
-    alike = alike.unionByName(exact).distinct()
     text_t, text_v = tid(far_t).select(F.col("cid").alias("x1"), F.col("q").alias("q1"), F.col("a").alias("a1")), tid(far_v).select(F.col("cid").alias("x2"), F.col("q").alias("q2"), F.col("a").alias("a2"))
     far_pairs = alike.join(text_t, "x1").join(text_v, "x2").select(F.col("x1").alias("c1"), F.col("x2").alias("c2"), "q1", "a1", "q2", "a2").mapInPandas(_verified, "c1 bigint, c2 bigint")
 
@@ -374,28 +395,6 @@ def overlaps(train: DataFrame, held_out: DataFrame, least: int = 70, rare: float
     return first.unionByName(second).distinct()
 
 
-def _answer_bands(rows: int, n: int, stop):
-    """Bands of the telling shingles of each answer, the common ones being known."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = stop.value
-        for pdf in batches:
-            out = []
-            for c, a in zip(pdf["cid"], pdf["a"]):
-                own = set(telling(a.split(" "))) - common
-                if own:
-                    out += [(c, b) for b in bands(own, rows, n)]
-            yield pd.DataFrame(out, columns=["cid", "bucket"]).astype({"cid": "int64", "bucket": "int64"})
-
-    return run
-
-
-def _shingles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [(c, s) for c, a in zip(pdf["cid"], pdf["a"]) for s in set(telling(a.split(" ")))]
-        yield pd.DataFrame(out, columns=["cid", "shingle"]).astype({"cid": "int64"})
-
-
 def report(pairs: DataFrame, held_out: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Per ``by`` of the held-out records: overlapping pairs, held-out records and training records."""
     joined = pairs.join(held_out.select(F.col(key).alias("held_out_key"), *by), "held_out_key")

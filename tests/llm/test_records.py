@@ -175,3 +175,24 @@ def test_overlaps_against_brute_force(spark):
 
 def test_unstated_accents_count():
     assert not S.same_words("nước Đỏ ở chợ Lê".casefold().split(), "nước Đo ở chợ Lề".casefold().split())
+
+
+def test_copies_of_a_common_text_meet_without_a_picture(spark):
+    base = "Theo tấm biển phía trên, quán bánh cuốn nóng mở cửa phục vụ khách từ sáng sớm đến chiều tối mỗi ngày trong tuần".split()
+    r = random.Random(3)
+
+    def copy():
+        ws = list(base)
+        for i in r.sample([i for i, w in enumerate(ws) if len(w) > 3], 2):
+            j = r.randrange(1, len(ws[i]))
+            ws[i] = ws[i][:j] + ws[i][j - 1] + ws[i][j:]
+        return " ".join(ws) + "."
+
+    train = [(i, None, "Quán này bán gì?", copy()) for i in range(1000)] + [(2000, 5, "Quán này bán gì vậy?", " ".join(base))]
+    held = [(5000 + i, None, "Quán này bán gì?", copy()) for i in range(20)] + [(6000, 6, "Bạn ơi, quán này bán gì nhỉ?", " ".join(base))]
+    schema = "key long, picture long, question string, answer string"
+    got = {(x.train_key, x.held_out_key) for x in S.overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(held, schema)).collect()}
+    words = lambda rows: [(k, S.question_words(q), S.normal_words(a)) for k, _, q, a in rows]
+    want = {(x, y) for x, q, a in words(train) for y, q2, a2 in words(held) if S.same_record(q, a, q2, a2)}
+    assert len(want) > 15_000 and got <= want and len(got) >= 0.99 * len(want)
+    assert (2000, 6000) in got
