@@ -196,3 +196,24 @@ def test_copies_of_a_common_text_meet_without_a_picture(spark):
     want = {(x, y) for x, q, a in words(train) for y, q2, a2 in words(held) if S.same_record(q, a, q2, a2)}
     assert len(want) > 15_000 and got <= want and len(got) >= 0.99 * len(want)
     assert (2000, 6000) in got
+
+
+def test_two_slips_in_a_record_without_a_picture(spark):
+    r = random.Random(11)
+    letters = "bcdghklmnt"
+    word = lambda: r.choice(letters) + r.choice("aeiou") + r.choice("nmt")
+    answers = [f"Theo tấm biển phía trước cửa, tiệm khoa {word()} {word()} bắt đầu mở bán những món giò gia truyền vào trời tối tại đường {word()} {word()}." for _ in range(400)]
+    edits = [("khoa", "kh oa"), ("giò", "g iò"), ("vào trời", "và o t rời"), ("trước", "trưcớ"), ("truyền", "truyềnn"), ("bắt đầu ", "")]
+
+    def changed(a):
+        for x, y in r.sample(edits, 2):
+            a = a.replace(x, y)
+        return a
+
+    schema = "key long, picture long, question string, answer string"
+    train = [(i, None, "Tiệm bán gì?", a) for i, a in enumerate(answers)]
+    held = [(1000 + i, 9, "Tiệm bán gì?", changed(a)) for i, a in enumerate(answers)]
+    got = {(x.train_key, x.held_out_key) for x in S.overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(held, schema)).collect()}
+    norm = lambda q, a: (S.question_words(q), S.normal_words(a))
+    want = {(i, 1000 + i) for i in range(400) if S.same_record(*norm(*train[i][2:]), *norm(*held[i][2:]))}
+    assert len(want) > 200 and len(want - got) <= 0.01 * len(want)
