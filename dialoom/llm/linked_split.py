@@ -7,8 +7,8 @@ distinct edges, pre-aggregates minima before its shuffle and spreads the edges o
 over several tasks. Intermediate edges are written tables in the shared folder.
 
 Allocation. Components of identical size and label profile form a bundle; only the bundle
-table, whose size is checked, is solved on the driver. Every bundle is dealt out in the
-given proportions; what doesn't divide is placed, size by size from the largest, by
+table, whose size is checked, is solved on the driver. Size by size from the largest, bundles
+are dealt out in proportion to what each split still lacks; what doesn't divide is placed by
 integral min-cost flows whose costs are the deviations from the quotas of each split and of
 each label within it. Members of a bundle take their places in the order of a hash.
 
@@ -169,21 +169,29 @@ def allocate(bundles: Sequence[tuple[int, str, int]], shares: Sequence[float], w
     the quota of its label within the split.
     """
     k = len(shares)
-    whole = [[int(math.floor(n * p + 1e-9)) for p in shares] for _, _, n in bundles]
+    whole = [[0] * k for _ in bundles]
     total = sum(s * n for s, _, n in bundles)
     of_label: dict[str, int] = defaultdict(int)
     for s, label, n in bundles:
         of_label[label] += s * n
     lack = [total * p for p in shares]
     lack_label = {label: [v * p for p in shares] for label, v in of_label.items()}
-    left: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for b, (s, label, n) in enumerate(bundles):
-        for j in range(k):
-            lack[j] -= s * whole[b][j]
-            lack_label[label][j] -= s * whole[b][j]
-        if n > sum(whole[b]):
-            left[s].append((b, n - sum(whole[b])))
-    for s in sorted(left, reverse=True):
+    rest = dict(of_label)
+    sizes: dict[int, list[int]] = defaultdict(list)
+    for b, (s, _, _) in enumerate(bundles):
+        sizes[s].append(b)
+    for s in sorted(sizes, reverse=True):
+        wanted = _wanted(lack, lack_label, rest)
+        left: dict[int, list[tuple[int, int]]] = {s: []}
+        for b in sizes[s]:
+            _, label, n = bundles[b]
+            whole[b] = [int(math.floor(n * p + 1e-9)) for p in wanted[label]]
+            rest[label] -= s * n
+            for j in range(k):
+                lack[j] -= s * whole[b][j]
+                lack_label[label][j] -= s * whole[b][j]
+            if n > sum(whole[b]):
+                left[s].append((b, n - sum(whole[b])))
         labels = sorted({bundles[b][1] for b, _ in left[s]})
         units = sum(r for _, r in left[s])
         at_label = {(j, label): 2 + len(left[s]) + j * len(labels) + x for j in range(k) for x, label in enumerate(labels)}
@@ -213,6 +221,24 @@ def allocate(bundles: Sequence[tuple[int, str, int]], shares: Sequence[float], w
     return whole
 
 
+def _wanted(lack: Sequence[float], lack_label: dict[str, list[float]], rest: dict[str, int], rounds: int = 10) -> dict[str, list[float]]:
+    """Per label, the shares of what is left of it that go to each split: what the labels lack, fitted
+    to what the splits lack."""
+    k = len(lack)
+    room = [max(0.0, x) for x in lack]
+    scale = sum(rest.values()) / (sum(room) or 1.0)
+    table = {x: [max(0.0, v) + 1e-9 * max(1, n) * (room[j] > 0) for j, v in enumerate(lack_label[x])] for x, n in rest.items() if n > 0}
+    for _ in range(rounds):
+        for j in range(k):
+            have = sum(row[j] for row in table.values())
+            for row in table.values():
+                row[j] *= room[j] * scale / have if have else 0.0
+        for x, row in table.items():
+            have = sum(row)
+            table[x] = [v * rest[x] / have for v in row] if have else row
+    return {x: [v / rest[x] for v in row] for x, row in table.items()}
+
+
 def assign(records: DataFrame, row_key: str, key: str, entity: str, label: str, shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """(row_key, split) for every record; all that hang together share a split.
 

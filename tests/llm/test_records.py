@@ -217,3 +217,14 @@ def test_two_slips_in_a_record_without_a_picture(spark):
     norm = lambda q, a: (S.question_words(q), S.normal_words(a))
     want = {(i, 1000 + i) for i in range(400) if S.same_record(*norm(*train[i][2:]), *norm(*held[i][2:]))}
     assert len(want) > 200 and len(want - got) <= 0.01 * len(want)
+
+
+def test_small_components_make_up_for_a_large_one():
+    small = [(s, x, n) for s, n in ((1, 900), (2, 700), (3, 500), (7, 100)) for x in "abc"]
+    third = sum(s * n for s, _, n in small) // 2
+    bundles = [*small, (third, "a", 1)]
+    got = L.allocate(bundles, [0.8, 0.1, 0.1])
+    assert all(sum(g) == n and min(g) >= 0 for g, (_, _, n) in zip(got, bundles))
+    total = sum(s * n for s, _, n in bundles)
+    for j, p in enumerate([0.8, 0.1, 0.1]):
+        assert abs(sum(s * g[j] for g, (s, _, _) in zip(got, bundles)) - p * total) <= 2
