@@ -493,15 +493,16 @@ def word_pieces(answers: DataFrame) -> DataFrame:
     """(before, word): short words that are pieces of words at an open end, by what stands before them.
 
     A piece stands mostly at open ends and begins longer, commoner words; or it is a word in its
-    own right that begins longer ones, but never follows this word anywhere else (words with accents
+    own right that begins longer ones, but follows this word mostly at open ends (words with accents
     only: texts typed without them are rare and have unseen pairs of their own). Counted over all
-    answers, per batch first, then by word; one row per word and word pair leaves a task.
+    distinct answers, so that copies change nothing, per batch first, then by word; one row per
+    word and word pair leaves a task.
     """
-    uses = answers.select("answer").mapInPandas(_word_uses, "before string, word string, inner bigint, closed bigint, opened bigint, longer bigint")
+    uses = answers.select("answer").distinct().mapInPandas(_word_uses, "before string, word string, inner bigint, closed bigint, opened bigint, longer bigint")
     total = uses.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in ("inner", "closed", "opened", "longer")))
     alone = total.where("before is null").select("word", F.expr("opened > 2 * (inner + closed) and longer > opened").alias("piece"), F.expr("longer > 0.1 * inner and longer > 2").alias("begins"))
     ends = total.where("before is not null and opened > 0")
-    return ends.join(alone, "word").where(F.expr("piece or (begins and before <> '' and opened = 1 and inner + closed = 0)") & (F.col("piece") | F.rlike("word", F.lit("[^\\x00-\\x7f]")))).select("before", "word")
+    return ends.join(alone, "word").where(F.expr("piece or (begins and before <> '' and opened > 2 * (inner + closed))") & (F.col("piece") | F.rlike("word", F.lit("[^\\x00-\\x7f]")))).select("before", "word")
 
 
 @F.pandas_udf(StructType([StructField("defect", StringType()), StructField("before", StringType()), StructField("word", StringType())]))

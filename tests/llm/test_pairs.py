@@ -85,3 +85,11 @@ def test_flagging(spark):
 def test_greedy_tiling_against_brute_force():
     assert B.tiles(list("abcd"), list("cdab"), 2) in ([(0, 2, 2), (2, 0, 2)], [(2, 0, 2), (0, 2, 2)])
     assert B.tiles(list("ab"), list("xy"), 1) == [] and B.tiles([], list("a"), 1) == []
+
+
+def test_a_cut_answer_is_cut_however_often_it_stands(spark):
+    answers = ["Đường không rộng lắm.", "Sân khô ráo, không có xe.", "Ở đây không có ai.", "Biển không ghi giá.", "Nền khô và sạch."]
+    for copies in (1, 2, 30):
+        rows = [(i, Q, a) for i, a in enumerate(answers)] + [(100 + i, Q, "Phía trước khô") for i in range(copies)]
+        got = {r.id: r.defect for r in B.flag_defects(spark.createDataFrame(rows, "id int, question string, answer string")).collect()}
+        assert all(got[100 + i] == "truncated" for i in range(copies)) and not any(got[i] for i in range(len(answers)))
