@@ -12,8 +12,8 @@ are dealt out in proportion to what each split still lacks; what doesn't divide
 integral min-cost flows whose costs are the deviations from the quotas of each split and of
 each label within it. Members of a bundle take their places in the order of a hash.
 
-Nulls: a null entity links nothing; a record without a group key is a component of its own,
-named by its row key. Repeated rows link to themselves. An empty table gives an empty
+Nulls: a null entity links nothing; a record without a group key goes with the
+others of its entity, and one without either is a component of its own, named by its row key. Repeated rows link to themselves. An empty table gives an empty
 result. Extra columns, whatever their names, play no part.
 """
 
@@ -247,9 +247,12 @@ def assign(records: DataFrame, row_key: str, key: str, entity: str, label: str,
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     rows = records.select(F.col(row_key).alias("_row"), F.col(key).alias("_k"), F.col(entity).alias("_e"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_label"))
     members = materialize(groups(rows, "_k", "_e"), "members")
-    # records without a key stand alone, under a name no key has
-    alone = rows.where("_k is null").select("_row", "_label", F.concat(F.lit("r"), F.col("_row").cast("string")).alias("component"))
-    linked = rows.where("_k is not null").join(members, "_k").select("_row", "_label", F.concat(F.lit("k"), F.col("component").cast("string")).alias("component"))
+    linked = rows.where("_k is not null").join(members, "_k").select("_row", "_e", "_label", F.concat(F.lit("k"), F.col("component").cast("string")).alias("component"))
+    # records without a key go with their entity; those without either stand alone, under a name no key has
+    of_entity = linked.where("_e is not null").groupBy("_e").agg(F.min("component").alias("component"))
+    name = lambda c, of: F.concat(F.lit(c), F.col(of).cast("string"))
+    alone = rows.where("_k is null").join(of_entity, "_e", "left").select("_row", "_label", F.coalesce("component", name("e", "_e"), name("r", "_row")).alias("component"))
+    linked = linked.drop("_e")
     placed = linked.unionByName(alone)
     counts = placed.groupBy("component", "_label").agg(F.count("*").alias("n"))
     sized = materialize(counts.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "_label")).getField("_label").alias("label")), "sized")

@@ -228,3 +228,12 @@ def test_small_components_make_up_for_a_large_one():
     total = sum(s * n for s, _, n in bundles)
     for j, p in enumerate([0.8, 0.1, 0.1]):
         assert abs(sum(s * g[j] for g, (s, _, _) in zip(got, bundles)) - p * total) <= 2
+
+
+def test_records_without_a_key_go_with_their_picture(spark):
+    rows = [(i, i, i, "a") for i in range(300)] + [(1000 + i, None, i, "a") for i in range(300)]
+    rows += [(2000 + i, None, 5000 + i // 2, "b") for i in range(200)] + [(3000 + i, None, None, "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id long, item long, pic long, kind string")
+    got = {x.row_id: x.split for x in L.assign(df, "row_id", "item", "pic", "kind").collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == got[1000 + i] for i in range(300)) and all(got[2000 + i] == got[2001 + i] for i in range(0, 200, 2))
