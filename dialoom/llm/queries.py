@@ -69,16 +69,28 @@ def _records(s: SparkSession, d: str, name: str) -> DataFrame:
     return spread(table(s, d, name).select("row_id", "image", "conversations")).select(F.col("row_id").alias("key"), linked_split.picture_number("image").alias("picture"), value(0).alias("question"), value(1).alias("answer"))
 
 
+def _overlap(s: SparkSession, d: str) -> split_overlap.Overlap:
+    return split_overlap.Overlap(_records(s, d, "train"), _records(s, d, "val"))
+
+
 def p3_found(s: SparkSession, d: str) -> DataFrame:
     """All pairs of a training record and an evaluation record that overlap."""
-    pairs = split_overlap.overlaps(_records(s, d, "train"), _records(s, d, "val"))
-    return pairs.select(F.col("train_key").alias("train_row_id"), F.col("held_out_key").alias("val_row_id"))
+    return _overlap(s, d).pairs().select(F.col("train_key").alias("train_row_id"), F.col("held_out_key").alias("val_row_id"))
 
 
 def p3_report(s: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs and records per split and source of the evaluation record."""
-    pairs = split_overlap.overlaps(_records(s, d, "train"), _records(s, d, "val"))
-    return split_overlap.report(pairs, table(s, d, "val"), "row_id", ["split", "source"])
+    return _overlap(s, d).report(table(s, d, "val"), "row_id", ["split", "source"])
+
+
+def p3_class_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Overlapping classes of records; p3_members tells whose they are."""
+    return _overlap(s, d).class_pairs()
+
+
+def p3_members(s: SparkSession, d: str) -> DataFrame:
+    """The class of every record of both sides."""
+    return _overlap(s, d).members()
 
 
 def _linked(s: SparkSession, d: str) -> DataFrame:
@@ -145,6 +157,8 @@ QUERIES: dict[str, Query] = {
     "p5_collapsed": p5_collapsed,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_class_pairs": p3_class_pairs,
+    "p3_members": p3_members,
     "p4_found": p4_found,
     "p4_split": p4_split,
     "p4_split_sizes": p4_split_sizes,

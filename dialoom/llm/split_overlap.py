@@ -1,45 +1,43 @@
 """Records of evaluation splits that are in the training split, exactly or almost.
 
-Method. Records are first collapsed to classes of equal normal form, so copies are matched
-once. Classes get minwise signatures, cut into bands; only buckets with rows of both sides
-give candidates. Two families of buckets are used:
-
-* same picture: character 3-grams of question and answer, bucketed within the picture;
-* texts alone (both answers of at least ``least`` characters): character 4-grams of the words
-  of question and answer that carry facts, written without spaces, weighted by how rare they
-  are among the texts. Stock wording, the same for thousands of records, weighs little, but
-  nothing is set aside: copies of a text that is itself common still meet. The digits of
-  both fields are part of the bucket, since verification wants them equal. Frequencies are
-  counted over all distinct texts.
-
-Candidates are verified in full: exact Jaccard similarity of the 3-gram sets, then an
-alignment of the words in which only slips of the pen (a letter dropped, doubled or
-swapped) and words that carry no fact may differ. Numbers must agree. Classes are expanded
-to rows at the end; no pair of rows is dropped.
-
-Normal form: look (``lookalikes``), case, punctuation and politeness removed, fields of a
-record in sorted order, digit groups joined. If one side is written without accents, the
-accents of the other don't count.
+Method. Texts (question and answer) are brought to a normal form and collapsed to distinct
+ones, so copies are matched once. Character 3-grams of a text give minwise hashes, cut into
+bands; a bucket is one band with the digits of both fields, which must agree. Two families
+of buckets are filled in one pass: within a picture, and over texts alone (for answers of
+at least ``least`` characters). Only buckets with rows of both sides give candidates.
+
+Candidates whose bitmaps of 3-grams rule the similarity out are dropped (an exact bound); the
+others are decided by their exact Jaccard similarity, ``similarity`` or more. A check follows, for another name or number in the same sentence leaves texts similar: words
+are aligned, and all that differs must be a slip of the pen (a letter dropped, doubled or
+swapped, a space misplaced), a word that moved, or a function word. Numbers must agree.
+
+Crowded buckets. A bucket with more than ``crowd`` texts of one side is split further by
+bands of more hashes, salted; nothing is dropped. Verification sees each pair of distinct
+texts once, whichever family or picture brought it.
+
+Normal form: look (``lookalikes``), case, punctuation and forms of address removed, fields
+of a record in sorted order, digit groups joined. If one side is written without accents,
+the accents of the other don't count.
 
 A null question or answer overlaps nothing; a null picture number equals none. Empty texts
 have no words and overlap nothing. Very long texts are hashed in time linear in them and
-aligned only if they became candidates. Empty tables give an empty result. Extra columns
-play no part.
+aligned only if their similarity suffices. Repeated rows give a pair each. Empty tables give
+an empty result. Extra columns play no part. Building a query runs the jobs that fill its
+intermediate tables.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.formatting_copies import fields_of
@@ -50,11 +48,22 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _APART = regex.compile(r"\n|[;|:,]\s")
 _DIGITS = regex.compile(r"\p{N}+$")
 
-# What politeness adds at the ends, without accents.
+# Vietnamese forms of address that may open or close an utterance, without accents.
 POLITE_START = (("ban", "oi"), ("thua", "ban"), ("thua", "anh"), ("thua", "chi"), ("thua", "quy", "khach"), ("da", "thua"), ("da", "vang"), ("da",), ("vang",), ("xin", "chao"), ("chao", "ban"), ("cho", "hoi"), ("cho", "minh", "hoi"), ("cho", "toi", "hoi"), ("lam", "on"), ("vui", "long"), ("xin", "hoi"), ("xin",), ("a",), ("u",), ("uh",), ("oi",), ("theo", "toi"))
 POLITE_END = (("a",), ("vay",), ("vay", "a"), ("vay", "ban"), ("nhe",), ("nhi",), ("the",), ("ha",), ("nha",), ("vay", "nhi"), ("ban", "oi"), ("voi", "a"), ("dung", "khong"))
-# Words that may come, go or move without changing a fact, without accents.
-NO_FACT = frozenset("a ai ban bang bat bay bi bien boi buc cai can chiec chinh co cua cung da dang dau day de den di dia diem do duoc dung ghi gi ha hang hay hien hieu hinh la lac lai len luc ma minh mo moi nam nay ngay nha nhe nhi nhung noi o oi qua quay ra rang rat roi sau su ta tai tam tat the thay theo thi thua tien toa toi tren trong tu u va van vang vao vay ve vi voi xin anh".split())
+# Function words of Vietnamese, the closed classes, without accents.
+STOP_WORDS = frozenset(
+    # articles, classifiers, plural
+    "buc cac cai chiec con cuon moi nhung tam to "
+    # copula, modals, aspect
+    "bat bi can co cung da dang dau deu duoc hay la phai se the van vua "
+    # prepositions and conjunctions
+    "bang boi cho cua de den do duoi gan hoac khi ma nen neu nhu o qua sau tai theo thi trong tren truoc tu va vao ve vi voi "
+    # pronouns, demonstratives, question words
+    "ai anh ban chi day em gi kia minh nao nay no noi ta toi sao "
+    # particles
+    "a ha lam luc lai len nha nhe nhi oi ra rang rat roi thoi thua u vay vang xin".split()
+)
 
 
 _STARTS = sorted(POLITE_START, key=len, reverse=True)
@@ -111,31 +120,46 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-_PRIME = (1 << 61) - 1
-_RANDOM = np.random.default_rng(20_240_607)
-_A = _RANDOM.integers(1, 1 << 31, 256, dtype=np.uint64) | np.uint64(1)
-_B = _RANDOM.integers(0, 1 << 62, 256, dtype=np.uint64)
-
-
-def signature(shingles: set[str], n: int) -> np.ndarray:
-    """n minwise hashes of a set."""
-    x = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
-    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(x), 4096):
-        h = (x[s : s + 4096, None] * _A[None, :n] + _B[None, :n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        out = np.minimum(out, h.min(0))
-    return out
+class _Minwise:
+    """Minwise hashes of sets of strings; the hashes of a string are made once and looked up.
 
+    The table of a worker is emptied when it is full, so its memory is bounded.
+    """
 
-def bands(shingles: set[str], rows: int, n: int) -> list[int]:
-    """One 64-bit bucket per band."""
-    s = signature(shingles, rows * n).reshape(n, rows)
-    h = np.zeros(n, np.uint64)
+    def __init__(self, n: int, seed: int, most: int = 1 << 15):
+        r = np.random.default_rng(seed)
+        self.a, self.b = r.integers(1, 1 << 62, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 62, n, dtype=np.uint64)
+        self.most, self.at, self.table = most, {}, np.empty((1024, n), np.uint32)
+
+    def _row(self, gram: str) -> int:
+        i = self.at.get(gram)
+        if i is None:
+            i = self.at[gram] = len(self.at)
+            if i == len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            h = (np.uint64(_hash(gram)) + self.b) * self.a
+            h ^= h >> np.uint64(29)
+            self.table[i] = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+        return i
+
+    def of(self, grams: set[str]) -> np.ndarray:
+        if len(self.at) + len(grams) > self.most:
+            self.at.clear()
+        rows = np.fromiter(map(self._row, grams), np.int64, len(grams))
+        out = self.table[rows[:1024]].min(0)
+        for s in range(1024, len(rows), 1024):
+            out = np.minimum(out, self.table[rows[s : s + 1024]].min(0))
+        return out
+
+
+def _fold(key: np.ndarray, hashes: np.ndarray, rows: int, n: int) -> np.ndarray:
+    """Buckets (texts x n) of n bands of ``rows`` hashes each, under a key per text."""
+    s = hashes[:, : rows * n].astype(np.uint64).reshape(len(hashes), n, rows)
+    h = key[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for j in range(rows):
-        h = (h ^ s[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ s[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return (h + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
+    return h.view(np.int64)
 
 
 def grams(q: list[str], a: list[str], n: int = 3) -> set[str]:
@@ -147,46 +171,11 @@ def grams(q: list[str], a: list[str], n: int = 3) -> set[str]:
     return out
 
 
-def fact_grams(q: list[str], a: list[str], n: int = 4) -> set[str]:
-    """Character n-grams of the words that carry facts, numbers aside, without accents and spaces."""
-    out = set()
-    for tag, ws in (("q", q), ("a", a)):
-        s = "".join(w for w in map(flat, ws) if w not in NO_FACT and not w[:1].isdigit())
-        out.update(tag + s[i : i + n] for i in range(max(1, len(s) - n + 1)))
-    return out
-
-
 def digits(ws: list[str]) -> str:
     """The digits of a text's numbers, sorted: equal for texts of which ``same_words`` holds."""
     return "".join(sorted(c for w in ws if w[0].isdigit() for c in flat(w) if c.isdigit()))
 
 
-def weighted_bands(q: list[str], a: list[str], weights: dict[str, float], top: float, rows: int, n: int) -> list[int]:
-    """One 64-bit bucket per band of weighted minwise hashes; grams not in ``weights`` weigh ``top``."""
-    grams = sorted(fact_grams(q, a))
-    x = np.fromiter(map(_hash, grams), np.uint64, len(grams))
-    w = np.array([weights.get(g, top) for g in grams])
-    k = rows * n
-    best, least = np.full(k, np.inf), np.zeros(k, np.uint64)
-    for s in range(0, len(x), 4096):
-        h = (x[s : s + 4096, None] * _A[None, :k] + _B[None, :k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        # the least of exponential variables falls on a gram in proportion to its weight
-        v = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / w[s : s + 4096, None]
-        at = v.argmin(0)
-        low = v[at, np.arange(k)]
-        least = np.where(low < best, x[s : s + 4096][at], least)
-        best = np.minimum(best, low)
-    m = least.reshape(n, rows)
-    h = np.full(n, _hash(digits(q)) << 32 | _hash(digits(a)), np.uint64)
-    for j in range(rows):
-        h = (h ^ m[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return (h + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
-
-
 def jaccard(x: set[str], y: set[str]) -> float:
     return len(x & y) / len(x | y) if x or y else 0.0
 
@@ -257,14 +246,14 @@ def same_words(x: list[str], y: list[str]) -> bool:
     if moved > max(2, 0.3 * n) or slips > max(2, 0.25 * n):
         return False
     rest = [flat(w) for w in left_x + left_y]
-    return len(rest) <= max(4, 0.3 * n) and all(w in NO_FACT for w in rest)
+    return len(rest) <= max(4, 0.3 * n) and all(w in STOP_WORDS for w in rest)
 
 
 def _foreign(only_x: list[str], only_y: list[str]) -> bool:
     """Whether a word of one side carries a fact and is no slip, part or sum of the other's words."""
     for own, other in ((only_x, only_y), (only_y, only_x)):
         for w in own:
-            if flat(w) not in NO_FACT and not any(slip(w, v) or w in v or v in w or _part(w, v) for v in other):
+            if flat(w) not in STOP_WORDS and not any(slip(w, v) or w in v or v in w or _part(w, v) for v in other):
                 return True
     return False
 
@@ -285,118 +274,206 @@ def _half_accented(x: list[str], y: list[str]) -> bool:
     return len(lost_x) >= 0.6 * len(only_x) or len(lost_y) >= 0.6 * len(only_y)
 
 
-def same_record(q1: list[str], a1: list[str], q2: list[str], a2: list[str], similarity: float = 0.4) -> bool:
+def same_record(q1: list[str], a1: list[str], q2: list[str], a2: list[str], similarity: float = 0.75) -> bool:
     if not (q1 and q2 and a1 and a2):
         return False
-    return same_words(a1, a2) and same_words(q1, q2) and jaccard(grams(q1, a1), grams(q2, a2)) >= similarity
+    if q1 == q2 and a1 == a2:
+        return True
+    return jaccard(grams(q1, a1), grams(q2, a2)) >= similarity and same_words(a1, a2) and same_words(q1, q2)
 
 
 # ---------------------------------------------------------------- Spark
 
+#: Hashes a band and bands: within a picture, over texts alone, and within a crowded bucket.
+NEAR, FAR, CROWDED = (3, 12), (8, 36), (6, 24)
+#: Words of the bitmap of a text's 3-grams.
+BITS = 8
+_MADE: dict[str, _Minwise] = {}
+
+
+def _minwise(kind: str, n: int, seed: int) -> _Minwise:
+    if kind not in _MADE:
+        _MADE[kind] = _Minwise(n, seed)
+    return _MADE[kind]
+
 
 def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         qs = [question_words(q) for q in pdf["question"]]
         answers = [normal_words(a) for a in pdf["answer"]]
-        yield pdf[["key", "picture"]].assign(
-            q=[" ".join(w) for w in qs], a=[" ".join(w) for w in answers], long=[len(look(a)) for a in pdf["answer"]],
-        )
-
+        yield pdf[["key", "picture"]].assign(q=[" ".join(w) for w in qs], a=[" ".join(w) for w in answers], long=[len(look(a)) for a in pdf["answer"]])
 
-def normal_records(df: DataFrame, key: str, picture: str, question: str, answer: str) -> DataFrame:
-    """(key, picture, q, a, long): the normal form of each record; null texts are left out."""
-    rows = df.select(F.col(key).alias("key"), F.col(picture).alias("picture"), F.col(question).alias("question"), F.col(answer).alias("answer")).where(F.col("question").isNotNull() & F.col("answer").isNotNull())
-    return rows.mapInPandas(_normalised, "key bigint, picture bigint, q string, a string, long int").where("q <> '' and a <> ''")
 
+def normal_records(df: DataFrame, least: int) -> DataFrame:
+    """(key, picture, t0, t1, q, a, far): normal form of each record, 128 bits that stand for it, and
+    whether the text alone may decide. Records with a null or wordless text are left out."""
+    rows = df.select("key", "picture", "question", "answer").where(F.col("question").isNotNull() & F.col("answer").isNotNull())
+    out = rows.mapInPandas(_normalised, "key bigint, picture bigint, q string, a string, long int").where("q <> '' and a <> ''")
+    return out.select("key", "picture", F.xxhash64("q", "a").alias("t0"), F.xxhash64(F.lit(7), "a", "q").alias("t1"), "q", "a", (F.col("long") >= least).alias("far"))
 
-def _classes(records: DataFrame, least: int) -> DataFrame:
-    """Distinct contents (picture, q, a, far) with an id; far: whether the text alone may decide."""
-    far = F.col("long") >= least
-    c = records.select("picture", "q", "a", far.alias("far")).distinct()
-    return c.withColumn("cid", F.xxhash64(F.coalesce(F.col("picture"), F.lit(-1)), F.col("picture").isNull(), "q", "a", "far"))
-
-
-def _picture_bands(rows: int, n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(c, p, b) for c, p, q, a in zip(pdf["cid"], pdf["picture"], pdf["q"], pdf["a"]) for b in bands(grams(q.split(" "), a.split(" ")), rows, n)]
-            yield pd.DataFrame(out, columns=["cid", "picture", "bucket"]).astype({"cid": "int64", "picture": "int64", "bucket": "int64"})
 
-    return run
+def _bitmaps(sets: list[set[str]]) -> np.ndarray:
+    out = np.zeros((len(sets), BITS * 64), bool)
+    for i, g in enumerate(sets):
+        out[i, np.fromiter(map(_hash, g), np.int64, len(g)) % (BITS * 64)] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
 
 
-def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text with its buckets (within the picture, or over texts alone where it is null), the number
+    of its 3-grams and a bitmap of them."""
+    m = _minwise("bands", max(NEAR[0] * NEAR[1], FAR[0] * FAR[1]), 1)
     for pdf in batches:
-        c: Counter = Counter()
-        for q, a in zip(pdf["q"], pdf["a"]):
-            c.update(fact_grams(q.split(" "), a.split(" ")))
-        yield pd.DataFrame({"gram": list(c), "n": list(c.values())})
-
-
-def _text_bands(rows: int, n: int, weights, top: float):
+        if not len(pdf):
+            continue
+        words = [(q.split(" "), a.split(" ")) for q, a in zip(pdf["q"], pdf["a"])]
+        sets = [grams(q, a) for q, a in words]
+        s = np.stack([m.of(g) for g in sets])
+        number = np.array([_hash(digits(q)) << 32 | _hash(digits(a)) for q, a in words], np.uint64)
+        near = pdf["picture"].notna().to_numpy()
+        scope = pd.util.hash_array(pdf["picture"].fillna(0).to_numpy(np.int64))
+        buckets = np.empty(len(pdf), object)
+        for at, key, (rows, n) in ((np.flatnonzero(near), number ^ scope, NEAR), (np.flatnonzero(~near), number, FAR)):
+            for i, b in zip(at, _fold(key[at], s[at], rows, n)):
+                buckets[i] = b
+        bits = _bitmaps(sets)
+        yield pdf.assign(n=[len(g) for g in sets], **{f"w{i}": bits[:, i] for i in range(BITS)}, buckets=buckets)
+
+
+def _signed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bands of further hashes under each crowded bucket."""
+    m = _minwise("crowded", CROWDED[0] * CROWDED[1], 2)
+    for pdf in batches:
+        if len(pdf):
+            s = np.stack([m.of(grams(q.split(" "), a.split(" "))) for q, a in zip(pdf["q"], pdf["a"])])
+            yield pdf[["t0", "t1", "picture"]].assign(buckets=list(_fold(pdf["bucket"].to_numpy().view(np.uint64), s, *CROWDED)))
+
+
+_ID = "t0 bigint, t1 bigint, picture bigint"
+
+
+def _signatures(own: DataFrame, other: DataFrame) -> DataFrame:
+    """The texts of one side, once per picture that the other side has, and once without if it may decide alone."""
+    pictures = other.where("picture is not null").select("picture").distinct()
+    near = own.where("picture is not null").join(pictures, "picture", "left_semi").select("t0", "t1", "picture", "q", "a")
+    far = own.where("far").select("t0", "t1", F.lit(None).cast("bigint").alias("picture"), "q", "a")
+    return near.unionByName(far).distinct().mapInPandas(_signed, f"{_ID}, q string, a string, n int, {', '.join(f'w{i} bigint' for i in range(BITS))}, buckets array<bigint>")
+
+
+def _meet(t: DataFrame, v: DataFrame, salts: int = 1) -> DataFrame:
+    """(picture, x0, x1, y0, y1): texts of both sides that share a bucket, once."""
+    a = t.select(F.col("picture").alias("_p"), "bucket", F.col("t0").alias("x0"), F.col("t1").alias("x1"))
+    b = v.select("picture", F.col("bucket").alias("_b"), F.col("t0").alias("y0"), F.col("t1").alias("y1"))
+    on = (F.col("bucket") == F.col("_b")) & F.col("_p").eqNullSafe(F.col("picture"))
+    if salts > 1:
+        a = a.withColumn("_s", F.pmod("x0", F.lit(salts)))
+        b = b.withColumn("_z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        on = on & (F.col("_s") == F.col("_z"))
+    return a.join(b, on).select("picture", "x0", "x1", "y0", "y1").distinct()
+
+
+def _candidates(t: DataFrame, v: DataFrame, crowd: int, similarity: float) -> DataFrame:
+    """Pairs of texts that share a bucket and may be similar enough; crowded buckets are split by further bands first."""
+    bands = lambda df: df.select("t0", "t1", "picture", F.explode("buckets").alias("bucket"))
+    bt, bv = bands(t), bands(v)
+    full = lambda df: df.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("bucket")
+    crowded = materialize(full(bt).unionByName(full(bv)).distinct(), "crowded")
+    if crowded.isEmpty():
+        met = _meet(bt, bv)
+    else:
+        again = lambda df: bands(df.select("t0", "t1", "picture", "q", "a", F.explode("buckets").alias("bucket")).join(crowded, "bucket", "left_semi").mapInPandas(_signed_again, f"{_ID}, buckets array<bigint>"))
+        met = _meet(bt.join(crowded, "bucket", "left_anti"), bv.join(crowded, "bucket", "left_anti")).unionByName(_meet(again(t), again(v), 8)).distinct()
+    # a bit that only one side has is an element that only one side has: an upper bound of the similarity
+    words = range(BITS)
+    a = t.select(F.col("picture").alias("_p"), F.col("t0").alias("x0"), F.col("t1").alias("x1"), F.col("n").alias("nx"), *(F.col(f"w{i}").alias(f"x_{i}") for i in words))
+    b = v.select(F.col("picture").alias("_q"), F.col("t0").alias("y0"), F.col("t1").alias("y1"), *(F.col(f"w{i}").alias(f"y_{i}") for i in words))
+    both = met.join(a, ["x0", "x1"]).where(F.col("picture").eqNullSafe(F.col("_p"))).join(b, ["y0", "y1"]).where(F.col("picture").eqNullSafe(F.col("_q")))
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}_{i}").bitwiseAND(F.bitwise_not(f"{q}_{i}"))) for i in words), F.lit(0))
+    return both.where(F.col("nx") - only("x", "y") >= similarity * (F.col("nx") + only("y", "x"))).select("picture", "x0", "x1", "y0", "y1")
+
+
+def _verified(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(c, b) for c, q, a in zip(pdf["cid"], pdf["q"], pdf["a"]) for b in weighted_bands(q.split(" "), a.split(" "), weights.value, top, rows, n)]
-            yield pd.DataFrame(out, columns=["cid", "bucket"]).astype({"cid": "int64", "bucket": "int64"})
+            ok = [same_record(q1.split(" "), a1.split(" "), q2.split(" "), a2.split(" "), similarity) for q1, a1, q2, a2 in zip(pdf["q1"], pdf["a1"], pdf["q2"], pdf["a2"])]
+            yield pdf.loc[ok, ["x0", "x1", "y0", "y1"]]
 
     return run
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        ok = [same_record(q1.split(" "), a1.split(" "), q2.split(" "), a2.split(" ")) for q1, a1, q2, a2 in zip(pdf["q1"], pdf["a1"], pdf["q2"], pdf["a2"])]
-        yield pdf.loc[ok, ["c1", "c2"]]
-
+class Overlap:
+    """What of ``held_out`` is in ``train``, both (key, picture, question, answer).
 
-def overlaps(train: DataFrame, held_out: DataFrame, least: int = 70, top: float = 2.0) -> DataFrame:
-    """(train_key, held_out_key) from two tables (key, picture, question, answer).
-
-    ``top``: weight of a rare character 4-gram in the candidate search; one that all texts have weighs 1.
+    ``similarity``: least Jaccard similarity of the 3-grams. ``least``: characters from which
+    an answer may match without its picture. ``crowd``: texts of one side in a bucket from
+    which it is split further.
     """
-    t = materialize(normal_records(train, "key", "picture", "question", "answer"), "train")
-    v = materialize(normal_records(held_out, "key", "picture", "question", "answer"), "heldout")
-    ct, cv = materialize(_classes(t, least), "ctrain"), materialize(_classes(v, least), "cheldout")
-
-    # same picture
-    pics = cv.where("picture is not null").select("picture").distinct()
-    near_t = ct.join(pics, "picture", "left_semi").select("cid", "picture", "q", "a")
-    near_v = cv.where("picture is not null").select("cid", "picture", "q", "a")
-    make = _picture_bands(4, 24)
-    kind = "cid bigint, picture bigint, bucket bigint"
-    a = near_t.mapInPandas(make, kind).withColumnRenamed("cid", "c1")
-    b = near_v.mapInPandas(make, kind).withColumnRenamed("cid", "c2")
-    same_picture = a.join(b, ["picture", "bucket"]).select("c1", "c2").distinct()
-
-    # texts alone
-    far_t, far_v = ct.where("far").select("q", "a").distinct(), cv.where("far").select("q", "a").distinct()
-    tid = lambda df: df.withColumn("cid", F.xxhash64("q", "a"))
-    both = materialize(far_t.unionByName(far_v).distinct(), "texts")
-    total = both.count()
-    counts = both.mapInPandas(_gram_counts, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    # at most (grams of a mean text x e ** (top - 1)) rows
-    common = counts.where(F.col("n") > math.exp(1 - top) * total).collect()
-    make = _text_bands(3, 56, both.sparkSession.sparkContext.broadcast({r.gram: 1 + math.log(total / r.n) for r in common}), top)
-    x = tid(far_t).mapInPandas(make, "cid bigint, bucket bigint").withColumnRenamed("cid", "x1")
-    y = tid(far_v).mapInPandas(make, "cid bigint, bucket bigint").withColumnRenamed("cid", "x2")
-    alike = x.join(y, "bucket").select("x1", "x2").distinct()
-    text_t, text_v = tid(far_t).select(F.col("cid").alias("x1"), F.col("q").alias("q1"), F.col("a").alias("a1")), tid(far_v).select(F.col("cid").alias("x2"), F.col("q").alias("q2"), F.col("a").alias("a2"))
-    far_pairs = alike.join(text_t, "x1").join(text_v, "x2").select(F.col("x1").alias("c1"), F.col("x2").alias("c2"), "q1", "a1", "q2", "a2").mapInPandas(_verified, "c1 bigint, c2 bigint")
-
-    own_t = ct.select(F.col("cid").alias("c1"), F.col("q").alias("q1"), F.col("a").alias("a1"))
-    own_v = cv.select(F.col("cid").alias("c2"), F.col("q").alias("q2"), F.col("a").alias("a2"))
-    near_pairs = same_picture.join(own_t, "c1").join(own_v, "c2").select("c1", "c2", "q1", "a1", "q2", "a2").mapInPandas(_verified, "c1 bigint, c2 bigint")
-
-    # back to rows
-    far = F.col("long") >= least
-    rows = lambda df, cid, key: df.select(F.col("key").alias(key), F.xxhash64(F.coalesce(F.col("picture"), F.lit(-1)), F.col("picture").isNull(), "q", "a", far).alias(cid))
-    far_rows = lambda df, cid, key: df.where(far).select(F.col("key").alias(key), F.xxhash64("q", "a").alias(cid))
-    first = near_pairs.join(rows(t, "c1", "train_key"), "c1").join(rows(v, "c2", "held_out_key"), "c2").select("train_key", "held_out_key")
-    second = far_pairs.join(far_rows(t, "c1", "train_key"), "c1").join(far_rows(v, "c2", "held_out_key"), "c2").select("train_key", "held_out_key")
-    return first.unionByName(second).distinct()
-
-
-def report(pairs: DataFrame, held_out: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Per ``by`` of the held-out records: overlapping pairs, held-out records and training records."""
-    joined = pairs.join(held_out.select(F.col(key).alias("held_out_key"), *by), "held_out_key")
-    per_record = joined.groupBy(*by, "held_out_key").agg(F.count("*").alias("n"))
-    return per_record.groupBy(*by).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_records"))
+
+    def __init__(self, train: DataFrame, held_out: DataFrame, similarity: float = 0.75, least: int = 70, crowd: int = 1000):
+        self.t = materialize(normal_records(train, least), "train")
+        self.v = materialize(normal_records(held_out, least), "heldout")
+        self.similarity, self.crowd = similarity, crowd
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """(picture, x0, x1, y0, y1): the candidates; without a picture where the texts alone brought them."""
+        st, sv = materialize(_signatures(self.t, self.v), "tsigned"), materialize(_signatures(self.v, self.t), "vsigned")
+        return materialize(_candidates(st, sv, self.crowd, self.similarity), "candidates")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(x0, x1, y0, y1): distinct texts of both sides that are the same or nearly so."""
+        sides = [df.select(F.col("t0").alias(f"{c}0"), F.col("t1").alias(f"{c}1"), F.col("q").alias(f"q{i}"), F.col("a").alias(f"a{i}")).distinct() for i, (c, df) in enumerate((("x", self.t), ("y", self.v)), 1)]
+        pairs = self.found.select("x0", "x1", "y0", "y1").distinct().join(sides[0], ["x0", "x1"]).join(sides[1], ["y0", "y1"])
+        return materialize(pairs.mapInPandas(_verified(self.similarity), "x0 bigint, x1 bigint, y0 bigint, y1 bigint"), "verified")
+
+    @cached_property
+    def near(self) -> DataFrame:
+        return self.found.where("picture is not null").join(self.texts, ["x0", "x1", "y0", "y1"], "left_semi")
+
+    def _rows(self, t: DataFrame, v: DataFrame) -> DataFrame:
+        """All pairs of rows; what decides is the text alone if both are long enough, else the picture too."""
+        far = self.texts.join(t.where("tfar"), ["x0", "x1"]).join(v.where("vfar"), ["y0", "y1"])
+        near = self.near.join(t.withColumnRenamed("tpicture", "picture"), ["picture", "x0", "x1"]).join(v.withColumnRenamed("vpicture", "picture"), ["picture", "y0", "y1"]).where("not (tfar and vfar)")
+        return far.drop("tpicture", "vpicture").unionByName(near.drop("picture"))
+
+    def _side(self, df: DataFrame, c: str, side: str, *more: str) -> DataFrame:
+        return df.select(F.col("t0").alias(f"{c}0"), F.col("t1").alias(f"{c}1"), F.col("picture").alias(f"{side}picture"), F.col("far").alias(f"{side}far"), *more)
+
+    def pairs(self) -> DataFrame:
+        """(train_key, held_out_key): all pairs of rows that overlap."""
+        t = self._side(self.t.withColumnRenamed("key", "train_key"), "x", "t", "train_key")
+        v = self._side(self.v.withColumnRenamed("key", "held_out_key"), "y", "v", "held_out_key")
+        return self._rows(t, v).select("train_key", "held_out_key")
+
+    def members(self) -> DataFrame:
+        """(side, key, class): the class of every row; rows of a class have equal normal forms and pictures.
+
+        With :meth:`class_pairs` the whole result, without a row for each pair of copies.
+        """
+        one = lambda df, side: df.select(F.lit(side).alias("side"), "key", _class("t0", "t1", "picture", "far").alias("class"))
+        return one(self.t, "train").unionByName(one(self.v, "held_out"))
+
+    def class_pairs(self) -> DataFrame:
+        """(train_class, held_out_class): classes whose rows overlap."""
+        t, v = (self._side(df, c, s).distinct() for df, c, s in ((self.t, "x", "t"), (self.v, "y", "v")))
+        t = t.withColumn("train_class", _class("x0", "x1", "tpicture", "tfar"))
+        v = v.withColumn("held_out_class", _class("y0", "y1", "vpicture", "vfar"))
+        return self._rows(t, v).select("train_class", "held_out_class")
+
+    def report(self, held_out: DataFrame, key: str, by: list[str]) -> DataFrame:
+        """Per ``by`` of the held-out records: overlapping pairs and held-out records, from counts of copies."""
+        t = self._side(self.t, "x", "t").groupBy("x0", "x1", "tpicture", "tfar").agg(F.count("*").alias("n"))
+        named = self.v.join(held_out.select(F.col(key).alias("key"), *by), "key")
+        v = self._side(named, "y", "v", "key", *by)
+        each = self._rows(t, v).groupBy("key", *by).agg(F.sum("n").alias("n"))
+        return each.groupBy(*by).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_records"))
+
+
+def _class(*columns: str) -> Column:
+    return F.sha2(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)), 256).substr(1, 32)
+
+
+def overlaps(train: DataFrame, held_out: DataFrame, **options) -> DataFrame:
+    """(train_key, held_out_key) from two tables (key, picture, question, answer); see :class:`Overlap`."""
+    return Overlap(train, held_out, **options).pairs()

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,8 +141,19 @@ def test_signatures_estimate_jaccard():
     r = random.Random(3)
     x = {str(r.random()) for _ in range(300)}
     y = set(list(x)[:200]) | {str(r.random()) for _ in range(100)}
-    a, b = S.signature(x, 256), S.signature(y, 256)
-    assert abs((a == b).mean() - S.jaccard(x, y)) < 0.12 and len(S.bands(x, 4, 20)) == 20 and len(S.bands(set(), 2, 3)) == 3
+    m = S._Minwise(256, 5, most=450)  # the table is emptied in between
+    a, b = m.of(x), m.of(y)
+    assert abs((a == b).mean() - S.jaccard(x, y)) < 0.12 and (m.of(x) == a).all()
+    assert S._fold(np.zeros(2, np.uint64), np.stack([a, b]), 4, 20).shape == (2, 20)
+
+
+def test_bitmaps_bound_the_similarity():
+    r = random.Random(8)
+    for _ in range(200):
+        x = {str(r.randrange(300)) for _ in range(r.randrange(1, 200))}
+        y = {str(r.randrange(300)) for _ in range(r.randrange(1, 200))} | set(r.sample(sorted(x), len(x) // 2))
+        bx, by = (int.from_bytes(row.tobytes(), "little") for row in S._bitmaps([x, y]))
+        assert (len(x) - (bx & ~by).bit_count()) / (len(x) + (by & ~bx).bit_count()) >= S.jaccard(x, y)
 
 
 def test_overlaps_against_brute_force(spark):
@@ -169,8 +181,24 @@ def test_overlaps_against_brute_force(spark):
     assert want <= got | set() and got <= want and len(want) > 50
     assert (203, 2001) in got and (204, 2001) in got and (203, 2002) not in got
     assert S.overlaps(t.limit(0), v).count() == 0 and S.overlaps(t, v.limit(0)).count() == 0
-    report = S.report(S.overlaps(t, v), v.withColumn("split", F.lit("val")), "key", ["split"]).first()
-    assert report.n_pairs == len(got)
+    again = S.Overlap(t.unionByName(t.where("key > 200")), v, crowd=5)  # crowded buckets, repeated rows
+    rows = [(x.train_key, x.held_out_key) for x in again.pairs().collect()]
+    assert set(rows) == got and len(rows) == len(got) + sum(x > 200 for x, _ in got)
+    report = again.report(v.withColumn("split", F.lit("val")), "key", ["split"]).first()
+    assert report.n_pairs == len(rows) and report.n_records == len({y for _, y in got})
+    members = [(x.side, x.key, x["class"]) for x in again.members().collect()]
+    classes = [(x.train_class, x.held_out_class) for x in again.class_pairs().collect()]
+    assert len(set(classes)) == len(classes)
+    assert sorted(rows) == sorted((k, y) for c, d in classes for side, k, m in members if side == "train" and m == c for side2, y, n in members if side2 == "held_out" and n == d)
+
+
+def test_a_hot_short_text_meets_only_within_its_picture(spark):
+    """A third of all rows share one short text, over many pictures; no pair across pictures."""
+    schema = "key long, picture long, question string, answer string"
+    train = spark.createDataFrame([(i, i % 50, "Có ai không?", "Không có ai.") for i in range(600)] + [(1000 + i, i, "Tên gì?", f"Chợ {i}") for i in range(1200)], schema)
+    held = spark.createDataFrame([(5000 + i, i % 100, "Có ai không", "không có ai") for i in range(100)], schema)
+    rows = S.overlaps(train, held, crowd=20).collect()
+    assert len(rows) == len(set(rows)) == 600 and all((x.held_out_key - 5000) % 100 == x.train_key % 50 for x in rows)
 
 
 def test_unstated_accents_count():
@@ -195,6 +223,8 @@ def test_copies_of_a_common_text_meet_without_a_picture(spark):
     words = lambda rows: [(k, S.question_words(q), S.normal_words(a)) for k, _, q, a in rows]
     want = {(x, y) for x, q, a in words(train) for y, q2, a2 in words(held) if S.same_record(q, a, q2, a2)}
     assert len(want) > 15_000 and got <= want and len(got) >= 0.99 * len(want)
+    crowded = S.overlaps(spark.createDataFrame(train, schema), spark.createDataFrame(held, schema), crowd=100)
+    assert len(want - {(x.train_key, x.held_out_key) for x in crowded.collect()}) <= 0.01 * len(want)
     assert (2000, 6000) in got
 
 
