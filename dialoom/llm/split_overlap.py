@@ -44,7 +44,7 @@ from dialoom.llm.formatting_copies import fields_of
 from dialoom.llm.lookalikes import look, no_accents
 from dialoom.session import materialize
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*")
 _APART = regex.compile(r"\n|[;|:,]\s")
 _DIGITS = regex.compile(r"\p{N}+$")
 
@@ -184,7 +184,7 @@ def slip(x: str, y: str) -> bool:
     """Whether two words differ by one dropped, doubled or swapped letter."""
     if x == y:
         return True
-    if x[0].isdigit() or y[0].isdigit():
+    if not x or not y or x[0].isdigit() or y[0].isdigit():
         return False
     if len(x) > len(y):
         x, y = y, x
@@ -258,6 +258,21 @@ def _foreign(only_x: list[str], only_y: list[str]) -> bool:
     return False
 
 
+@lru_cache(1 << 13)
+def _flats(text: str) -> frozenset[str]:
+    return frozenset(map(flat, text.split(" ")))
+
+
+def _apart(x: frozenset[str], y: frozenset[str]) -> bool:
+    """Whether a word of one side that carries a fact has no counterpart on the other: a quick no."""
+    if x == y:
+        return False
+    own, other = x - y, y - x
+    like = lambda w, v: w in v or v in w or slip(w, v) or _part(w, v)
+    alone = lambda w, near, all_: w not in STOP_WORDS and not any(like(w, v) for v in near) and not any(slip(w, v) for v in all_)
+    return any(alone(w, other, y) for w in own) or any(alone(v, own, x) for v in other)
+
+
 def _part(w: str, v: str) -> bool:
     """Whether two words may be pieces around a misplaced space: they share a beginning or an end."""
     return len(w) > 1 and len(v) > 1 and (w[:2] == v[:2] or w[-2:] == v[-2:])
@@ -395,7 +410,10 @@ def _candidates(t: DataFrame, v: DataFrame, crowd: int, similarity: float) -> Da
 def _verified(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [same_record(q1.split(" "), a1.split(" "), q2.split(" "), a2.split(" "), similarity) for q1, a1, q2, a2 in zip(pdf["q1"], pdf["a1"], pdf["q2"], pdf["a2"])]
+            ok = [
+                not _apart(_flats(a1), _flats(a2)) and not _apart(_flats(q1), _flats(q2)) and same_record(q1.split(" "), a1.split(" "), q2.split(" "), a2.split(" "), similarity)
+                for q1, a1, q2, a2 in zip(pdf["q1"], pdf["a1"], pdf["q2"], pdf["a2"])
+            ]
             yield pdf.loc[ok, ["x0", "x1", "y0", "y1"]]
 
     return run
