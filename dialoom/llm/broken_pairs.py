@@ -6,19 +6,19 @@ on the look of a text (see ``lookalikes``), without letter case where case means
 
 * ``empty``: null, nothing but blank, invisible, punctuation or symbol characters, or a
   filler for a missing answer.
-* ``copies_question``: greedy string tiling covers the answer with pieces of the question,
-  and the pieces cover what the question asks. (An answer that repeats only a name out of
+* ``copies_question``: greedy string tiling covers the answer with runs of the question, however
+  often they are repeated, and the pieces cover what the question asks. (An answer that repeats only a name out of
   the question's preamble is an answer.)
 * ``refusal``: a sentence outside quotations that the refusal grammar derives.
 * ``other_language``: script, then - for Latin script - whether the words outside names
   and quotations are built like Vietnamese syllables, then the commonest function words.
-* ``truncated``: a pushdown parser over fences, brackets, quotations and markup ends with
-  something open; or the text ends in a separator, a list marker, a word that wants another
+* ``truncated``: a pushdown parser over fences, code, formulas, brackets, quotations, emphasis,
+  markup, lists and tables ends with something open; or the text ends in a separator, a list marker, a word that wants another
   one, or a piece of a word. Pieces of words are learned from all answers: a short final
   word that in the whole corpus stands mostly at open ends and begins longer, commoner words.
 
-Nulls: a null question makes no pair, a null answer is empty. Very long texts are parsed in
-one linear pass; tiling is tried only where lengths allow a copy at all. Repeated rows get
+Nulls: a null question makes no pair, a null answer is empty. Very long texts are parsed,
+tiled and read in linear passes over the whole text. Repeated rows get
 equal defects. No rows give no rows. Extra columns of any name are carried along untouched.
 """
 
@@ -33,9 +33,10 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dialoom.llm.lookalikes import look, no_accents
+from dialoom.session import materialize
 
 # ---------------------------------------------------------------- empty
 
@@ -54,10 +55,14 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)?")
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 400 and _LETTER.search(answer[:400]):
-        return False
     seen = look(answer)
-    return not _LETTER.search(seen) or (len(seen) <= 120 and " ".join(_WORDS.findall(no_accents(seen).casefold())) in FILLERS)
+    if not _LETTER.search(seen):
+        return True
+    first = [m[0] for m, _ in zip(_WORDS.finditer(seen), range(_LONGEST_FILLER + 1))]
+    return len(first) <= _LONGEST_FILLER and " ".join(map(flat_word, first)) in FILLERS
+
+
+_LONGEST_FILLER = max(len(f.split(" ")) for f in FILLERS)
 
 
 # ---------------------------------------------------------------- copies of the question
@@ -75,45 +80,86 @@ def tokens(text: str) -> list[str]:
     return [flat_word(w) for w in _WORDS.findall(look(text))]
 
 
-def tiles(pattern: list[str], text: list[str], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: longest common runs first, no token of either side used twice."""
-    used_p, used_t, out = [False] * len(pattern), [False] * len(text), []
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(text):
-        at.setdefault(w, []).append(j)
-    while True:
-        best, found = least - 1, []
-        for i in range(len(pattern)):
-            for j in at.get(pattern[i], ()):
-                k = 0
-                while i + k < len(pattern) and j + k < len(text) and pattern[i + k] == text[j + k] and not used_p[i + k] and not used_t[j + k]:
-                    k += 1
-                if k > best:
-                    best, found = k, [(i, j, k)]
-                elif k == best and k >= least:
-                    found.append((i, j, k))
-        if best < least or not found:
-            return out
-        for i, j, k in found:
-            if not any(used_p[i : i + k]) and not any(used_t[j : j + k]):
-                used_p[i : i + k] = used_t[j : j + k] = [True] * k
-                out.append((i, j, k))
-
-
-@lru_cache(1 << 14)
-def _asked(question: str) -> tuple[list[str], frozenset[str], int]:
-    """Tokens of a question, and how many of the last ones are the asking clause."""
+class _Runs:
+    """All runs of tokens of a question, as a suffix automaton."""
+
+    def __init__(self, tokens: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size, self.last_end = [-1], [0], [-1]
+        last = 0
+        for j, w in enumerate(tokens):
+            new = self._state({}, self.size[last] + 1, j)
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            else:
+                q = self.next[p][w]
+                if self.size[q] == self.size[p] + 1:
+                    self.link[new] = q
+                else:
+                    twin = self._state(dict(self.next[q]), self.size[p] + 1, j)
+                    self.link[twin] = self.link[q]
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = twin
+                        p = self.link[p]
+                    self.link[q] = self.link[new] = twin
+            last = new
+        # the last place at which each state's runs end
+        for x in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            p = self.link[x]
+            self.last_end[p] = max(self.last_end[p], self.last_end[x])
+
+    def _state(self, after: dict[str, int], size: int, end: int) -> int:
+        self.next.append(after)
+        self.size.append(size)
+        self.link.append(-1)
+        self.last_end.append(end)
+        return len(self.size) - 1
+
+
+def tiles(runs: _Runs, text: list[str], least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (start in the question, start in the text, length) of runs that cover the text.
+
+    From the end of the text, each tile is the longest run that the question has; it may be there
+    several times. Linear in the text: lengths of the longest runs come from one pass through the
+    automaton.
+    """
+    length, end = [], []
+    state = n = 0
+    for w in text:
+        while state and w not in runs.next[state]:
+            state = runs.link[state]
+            n = runs.size[state]
+        if w in runs.next[state]:
+            state, n = runs.next[state][w], n + 1
+        length.append(n)
+        end.append(runs.last_end[state] if n else -1)
+    out, j = [], len(text) - 1
+    while j >= 0:
+        k = length[j]
+        if k >= least:
+            out.append((end[j] - k + 1, j - k + 1, k))
+            j -= k
+        else:
+            j -= 1
+    return out
+
+
+@lru_cache(1 << 13)
+def _asked(question: str) -> tuple[list[str], frozenset[str], _Runs, int]:
+    """Tokens of a question, all their runs, and how many of the last ones are the asking clause."""
     q = tokens(question)
-    return q, frozenset(q), len(tokens(_CLAUSE.split(look(question).rstrip(" :,"))[-1]))
+    return q, frozenset(q), _Runs(q), len(tokens(_CLAUSE.split(look(question).rstrip(" :,"))[-1]))
 
 
 _CLAUSE = regex.compile(r"[:：,，]\s*")
 
 
 def copies_question(question: str, answer: str) -> bool:
-    if len(answer) > 8 * len(question) + 200:
-        return False
-    q, known, core = _asked(question)
+    q, known, runs, core = _asked(question)
     a = tokens(answer)
     for label in LABELS:
         if tuple(a[: len(label)]) == label and tuple(q[: len(label)]) != label:
@@ -121,15 +167,9 @@ def copies_question(question: str, answer: str) -> bool:
             break
     if not a or not q or sum(map(known.__contains__, a)) < 0.9 * len(a):
         return False
-    rest, asked = a, set()
-    while rest:  # the question may be there several times
-        found = tiles(q, rest, min(2, len(q), len(rest)))
-        if not found:
-            break
-        asked.update(i + x for i, _, k in found for x in range(k))
-        gone = {j + x for _, j, k in found for x in range(k)}
-        rest = [w for j, w in enumerate(rest) if j not in gone]
-    return len(rest) <= 0.1 * len(a) and sum(i >= len(q) - core for i in asked) >= 0.8 * core
+    found = tiles(runs, a, min(2, len(q), len(a)))
+    asked = {x for i, k in {(i, k) for i, _, k in found} for x in range(max(i, len(q) - core), i + k)}
+    return len(a) - sum(k for _, _, k in found) <= 0.1 * len(a) and len(asked) >= 0.8 * core
 
 
 # ---------------------------------------------------------------- refusals
@@ -143,25 +183,77 @@ _MARKS = regex.compile(r"[\"“”„‟«‘「『`]")
 def outside_quotes(seen: str) -> str:
     """The text without quotations, unless the whole text is one (then the marks say nothing)."""
     bare = _QUOTED.sub(" ", seen) if _MARKS.search(seen) else seen
+    bare = _REPORT.sub(" ", bare) if ":" in bare else bare
     return bare if _LETTER.search(bare) else ""
 
 
-# Fixed values, without accents and case. A refusal is an act of the speaker: a speaker who
-# can't, mustn't or won't, and something an assistant does.
-_WHO = r"(?:toi|minh|em|chung toi|chung minh|chung em|to|ben minh|tro ly(?: ai)?|mo hinh(?: ngon ngu)?|he thong|ai)"
-_DO = r"(?:tra loi|thuc hien|dap ung|giup(?: do)?|ho tro|xem(?: duoc)?|nhin(?: thay)?|doc(?: duoc)?|mo ta|xac dinh|nhan dien|nhan xet|nhan dinh|binh luan|danh gia|cung cap|dua ra|baan(?: ve)?|noi(?: ve)?|chia se|tiet lo|xu ly|phan tich|truy cap|dich|giai dap|tu van|tiep tuc|lam dieu|lam viec)"
-_VI = [
-    rf"\b(?:khong|chuwa)(?: the| duoc phep| duoc quyen| duoc| the nao| co the)(?: \w+)? {_DO}\b",
-    rf"\b(?:khong|chuwa) {_DO} duoc\b",
-    rf"\b{_WHO}(?: \w+){{0,2}} (?:khong|chuwa) (?:the|duoc phep|co kha nang|co quyen|du thong tin|du du lieu|du kha nang|co du|ho tro|muon {_DO}|dam {_DO}|tien {_DO}|biet cach|giup)\b",
-    rf"\b(?:khong co kha nang|khong du kha nang|khong co quyen|khong du thong tin de) {_DO}\b",
-    rf"\bkhong du (?:thong tin|du lieu|co so) de\b",
-    rf"\b(?:tu choi|xin kieu|xin phep khong|xin phep duoc khong|xin phep bo qua|xin phep tu choi|xin duoc bo qua|xin duoc tu choi|xin bo qua|xin khong) *{_DO}?\b",
-    r"\b(?:vi pham|trai voi|trai) (?:cac )?(?:quy dinh|chinh sach|nguyen tac|tieu chuan|dieu khoan)\b",
-    r"\b(?:nam ngoai|ngoai|vuot qua|vuot ngoai) (?:pham vi|kha nang|tham quyen)\b",
-    r"\bkhong (?:thuoc|nam trong) (?:pham vi|kha nang|tham quyen)\b",
-    r"\bkhong (?:phu hop|an toan) de (?:tra loi|ban|thao luan)\b",
-]
+# Words that announce what a sign says: the rest of the line is its text.
+_REPORT = regex.compile(r"\b(?:ghi|viết|đề|chữ|dòng|rằng|nội dung|thông báo|biển|bảng)(?:\s+(?:là|rằng))?\s*:.*", regex.I)
+
+# The terminals of the Vietnamese refusal grammar and the words they derive, without
+# accents and case ("baan" and "chuwa": see _ACCENTED). A refusal is an act of the speaker.
+TERMINALS = {
+    "S": "toi|minh|em|to|chung toi|chung minh|chung em|ben minh|tro ly|tro ly ai|mo hinh|mo hinh ngon ngu|he thong|ai",
+    "N": "khong|chuwa|chang",
+    "M": "the|duoc phep|duoc quyen|duoc|the nao|co the|co kha nang|co quyen|du kha nang|biet cach|muon|dam|tien",
+    "A": "tra loi|thuc hien|dap ung|giup|giup do|ho tro|xem|nhin|nhin thay|doc|mo ta|xac dinh|nhan dien|nhan xet|nhan dinh|binh luan|danh gia|cung cap|dua ra|baan|baan ve|noi|noi ve|chia se|tiet lo|xu ly|phan tich|truy cap|dich|giai dap|tu van|tiep tuc|lam dieu|lam viec|doan",
+    "D": "tu choi|xin kieu|xin bo qua|xin duoc bo qua|xin phep bo qua|xin tu choi|xin duoc tu choi|xin phep tu choi|xin khong|xin phep khong|xin phep duoc khong|xin phep",
+    "K": "biet|ro|chac|hieu|nhin ro|doc ro|thay ro|du thong tin|du du lieu|du co so|co du|co thong tin|co du lieu",
+    "G": "chiu|chiu thua|chiu chet|bo tay|dau hang|bat luc",
+    "B": "vi pham|trai voi|trai|phu hop|an toan",
+    "P": "quy dinh|cac quy dinh|chinh sach|cac chinh sach|nguyen tac|tieu chuan|dieu khoan",
+    "O": "ngoai|nam ngoai|vuot qua|vuot ngoai|thuoc|nam trong",
+    "R": "pham vi|kha nang|tham quyen",
+    "V": "de",
+    "T": "cua hang|quan|tiem|nha hang|sieu thi|khach|khach hang|quy khach|chu quan|nhan vien|bien|bang hieu|tam bien|thong bao|to giay|nguoi|xe",
+    "c": "hay|nhi|nen|nhung|vi|do",
+}
+#: Productions, as regular expressions over terminals ("w": any other word, "d": duoc).
+# cannot, may not act / acts not with success / declines / lacks what it takes / gives up / against or beyond what it may
+_FREE = regex.compile(r"NMw?A|NAM|D(?:[wc]?A|N|$|w|,)|NKV[wMN]?A|NB?V?A?(?<=BVA)|(?<!N)BP|O[w]?R")
+_SPOKEN = regex.compile(r"S[wc]{0,2}(?:NM|NK|[wNM]{0,1}G|D)|SN(?=A)")
+_BY_WORD: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+for _symbol, _phrases in TERMINALS.items():
+    for _phrase in _phrases.split("|"):
+        _ws = tuple(_phrase.split(" "))
+        _BY_WORD.setdefault(_ws[0], []).append((_ws, _symbol))
+for _list in _BY_WORD.values():
+    _list.sort(key=lambda x: -len(x[0]))
+
+
+def parse_terms(words: list[str]) -> str:
+    """Terminals of a sentence, the longest phrase first."""
+    out, i = [], 0
+    while i < len(words):
+        for ws, symbol in _BY_WORD.get(words[i], ()):
+            if tuple(words[i : i + len(ws)]) == ws:
+                # a child, a schoolgirl: no speaker
+                if ws == ("em",) and words[i + 1 : i + 2] and words[i + 1] in ("be", "hoc", "gai", "trai", "nho"):
+                    symbol = "T"
+                out.append(symbol)
+                i += len(ws)
+                break
+        else:
+            out.append("," if words[i] == "," else "w")
+            i += 1
+    return "".join(out)
+
+
+def derives_refusal(terms: str) -> bool:
+    """Whether the grammar derives a refusal from a part of the sentence.
+
+    What has no speaker of its own is the speaker's unless a shop, a sign or a guest is the subject
+    of its clause.
+    """
+    if _SPOKEN.search(terms):
+        return True
+    for m in _FREE.finditer(terms):
+        left = regex.split("[,c]", terms[: m.start()])[-1]
+        if "T" not in left or left.rfind("S") > left.rfind("T"):
+            return True
+    return False
+
+
 _ME = r"(?:i|we|this assistant|the assistant|the model)"
 _NOT = r"(?:can ?not|cant|can not|could not|couldnt|am unable to|are unable to|unable to|am not able to|are not able to|wont|will not|am not allowed to|am not permitted to|must decline|have to decline|decline to|refuse to|must refuse|would rather not|prefer not to|do not have the ability|dont have the ability|am not going to|do not feel comfortable|dont feel comfortable|am not comfortable|lack the ability)"
 _EN = [
@@ -184,7 +276,7 @@ _OTHER = [
     r"(?:죄송|미안).{0,30}(?:없습니다|못합니다|어렵습니다)|(?:답변|대답|도와)\w*\s?(?:할|드릴) 수 없",
     r"(?:ขออภัย|ขอโทษ).{0,40}ไม่|ไม่สามารถ(?:ตอบ|ช่วย|ดู|ให้)",
 ]
-_REFUSAL = regex.compile("|".join(f"(?:{p})" for p in [*_VI, *_EN]))
+_REFUSAL = regex.compile("|".join(f"(?:{p})" for p in _EN))
 _REFUSAL_RAW = regex.compile("|".join(f"(?:{p})" for p in _OTHER))
 _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|\n+")
 
@@ -205,32 +297,42 @@ def native(seen: str) -> str:
 
 # words whose accents decide: to discuss, not to sell; not yet, not sour
 _ACCENTED = {"bàn": "baan", "chưa": "chuwa"}
-_HINT = regex.compile(r"khong|chuwa|tu choi|xin |vi pham|trai |pham vi|not\b|cant|wont|unable|decline|refuse|sorry|apolog|as an|as a lang|against|violate|outside|lack")
-_UNACCENTED = regex.compile(rf"(?<=\b{_WHO} )chua\b|\bban(?= ve\b)")
+_HINT = regex.compile(r"kh[oô]ng|ch[uư]a|ch[aẳ]ng|từ ch|tu ch|xin |vi ph|tr[aá]i |ph[aạ]m vi|ch[iị]u|b[oó] tay|đầu h|dau h|bất l|bat l|ng?o[aà]i|vượt|vuot", regex.I)
+_HINT_EN = regex.compile(r"not|cant|wont|unable|decline|refuse|sorry|apolog|as an|as a lang|against|violate|outside|lack")
+_HINT_OTHER = regex.compile(r"\bje |impossible|lo siento|no puedo|no me es|\bich |tut mir|kann ich|\b(?:saya|kami|maaf)\b|n[aã]o posso|non posso|\p{Han}|[぀-ヿ가-힯]|\p{Cyrillic}|\p{Thai}", regex.I)
+_UNACCENTED = regex.compile(r"(?<=\b(?:toi|minh|em) )chua\b|\bban(?= ve\b)")
+_CLAUSES = regex.compile(r"[\p{L}\p{N}]+|[,;:()–—]")
 
 
 def flat(seen: str) -> str:
-    """Words without accents, case and punctuation, single-spaced; sentences on their own lines."""
+    """Words without accents, case and punctuation, single-spaced; sentences on their own lines; commas
+    and what else parts clauses stay. Names (capitals inside a sentence) are written as x."""
     lines = []
     for s in _SENTENCE.split(seen):
-        ws = [_ACCENTED.get(w.casefold(), flat_word(w)) for w in _LETTERS.findall(s.replace("'", "").replace("’", ""))]
-        lines.append(" ".join(ws))
+        ws = _CLAUSES.findall(s.replace("'", "").replace("’", ""))
+        shouting = s.upper() == s
+        named = lambda i, w: i and w[0].isupper() and not shouting and w not in ("AI", "I")
+        lines.append(" ".join("," if not w[0].isalnum() else "x" if named(i, w) else _ACCENTED.get(w.casefold(), flat_word(w)) for i, w in enumerate(ws)))
     out = "\n".join(lines)
     return _UNACCENTED.sub(lambda m: "chuwa" if m[0] == "chua" else "baan", out) if "chua" in out or "ban ve" in out else out
 
 
-_LETTERS = regex.compile(r"[\p{L}\p{N}]+")
-
-
-def is_refusal(answer: str, lang: str | None = "") -> bool:
-    """``lang`` saves work: the patterns of other languages are not tried on Vietnamese."""
+def is_refusal(answer: str) -> bool:
     seen = outside_quotes(look(answer))
     if not seen:
         return False
-    text = flat(seen)
-    if _HINT.search(text) and any(_REFUSAL.search(line) for line in text.split("\n")):
+    text = None
+    if _HINT.search(seen):
+        text = flat(seen)
+        if any(derives_refusal(parse_terms(line.split(" "))) for line in text.split("\n")):
+            return True
+    plain = no_accents(seen).casefold().replace("'", "").replace("’", "")
+    if _HINT_EN.search(plain) and _REFUSAL.search(" ".join(_LETTERS.findall(plain))):
         return True
-    return lang not in ("vi", None) and (_REFUSAL_RAW.search(text) is not None or _REFUSAL_RAW.search(native(seen).casefold()) is not None)
+    return _HINT_OTHER.search(seen) is not None and (_REFUSAL_RAW.search(plain) is not None or _REFUSAL_RAW.search(native(seen).casefold()) is not None)
+
+
+_LETTERS = regex.compile(r"[\p{L}\p{N}]+")
 
 
 # ---------------------------------------------------------------- language
@@ -245,8 +347,8 @@ FUNCTION_WORDS = {
     "en": "the a an is are was were it this that they there you i in on at of to and with for from what where how many does do has have by not above",
     "fr": "le la les un une des du de est sont c'est il elle ce cette dans sur au aux et avec pour qui que",
     "es": "el la los las un una es son esta este en de del y con para que se hay",
-    "de": "der die das ein eine ist sind an auf in dem den von mit und fur zu uber nicht direkt kleiner kleine",
-    "id": "ini itu adalah sebuah di ke dari dan yang dengan untuk ada tidak pada terletak menjual",
+    "de": "der die das ein eine ist sind an auf in dem den von mit und fur zu uber nicht",
+    "id": "ini itu adalah sebuah di ke dari dan yang dengan untuk ada tidak pada",
     "pt": "o a os as um uma e sao em de do da no na com para que ha",
     "it": "il lo la i gli le un una e sono in di del della con per che",
 }
@@ -266,7 +368,7 @@ def _like_vietnamese(flat: str) -> bool:
 
 def language(text: str) -> str | None:
     """A language code, ``"latin"`` for foreign text of an unclear language, null without evidence."""
-    seen = native(outside_quotes(look(text)[:20_000]))
+    seen = native(outside_quotes(look(text)))
     foreign = _NON_LATIN.findall(seen)
     if foreign:
         latin = sum(1 for w in _LATIN_WORD.findall(seen) if w[0].islower())
@@ -315,34 +417,70 @@ def other_language(question: str, answer: str, lang: str | None = "") -> bool:
 # ---------------------------------------------------------------- truncation
 
 _STRAIGHT = str.maketrans("“”„‟", '""""')
-_PAIRED = regex.compile(r"[\"“”„‟()\[\]{}«»「」『』（）【】《》<`]")
+_PAIRED = regex.compile(r"[\"“”„‟()\[\]{}«»「」『』（）【】《》<`*_~$|]|\n")
 _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
+_TICKS = regex.compile(r"`+")
+_STRONG = regex.compile(r"\*{1,3}|_{2,3}|~~")
+_ITEM = regex.compile(r"[ \t]*(?:[-*•+]|\d{1,3}[.)]|[a-z]\))(?:[ \t]+|$)")
+_ROW = regex.compile(r"[ \t]*\|.*\|[ \t]*")
 
 
 def left_open(seen: str) -> bool:
-    """Pushdown parser: whether a fence, bracket, quotation or markup element is open at the end.
-
-    A straight quote opens where none is open and closes where one is; inside a quotation
-    brackets are parsed on. A closing bracket without an opening one (as in "a)" lists) is
-    skipped; one that closes an outer bracket drops what was open inside it, unless that
-    was a quotation.
+    """Pushdown parser: whether a construct is open at the end.
+
+    Parsed are fences, inline code, formulas ($$), brackets, quotations, emphasis, markup elements, list
+    items and table rows. A straight quote opens where none is open and closes where one is; inside a
+    quotation brackets are parsed on, inside code and formulas nothing is. A closing bracket without an
+    opening one (as in "a)" lists) is skipped; one that closes an outer bracket drops what was open
+    inside it, unless that was a quotation. Emphasis opens before a word and closes after one, and ends
+    with its paragraph. A list item is open until it has content, a row of a table until its last bar.
     """
     if not _PAIRED.search(seen):
         return False
     stack: list[str] = []
     seen = seen.translate(_STRAIGHT)
     i, n = 0, len(seen)
-    fence = False
+    verbatim = ""  # the fence, ticks or dollars that only their like closes
+    item = rows = False
+    start = True  # of a line
     while i < n:
         c = seen[i]
-        if seen.startswith("```", i):
-            fence = not fence
-            i += 3
+        if c == "`" or c == "$" and seen.startswith("$$", i):
+            mark = _TICKS.match(seen, i)[0] if c == "`" else "$$"
+            if not verbatim:
+                verbatim = mark
+            elif verbatim == mark or mark[:3] == verbatim[:3] == "```" and len(mark) >= len(verbatim):
+                verbatim = ""
+            i += len(mark)
+            start = item = False
             continue
-        if fence:
+        if verbatim:
             i += 1
             continue
+        if start:
+            start = False
+            m = _ITEM.match(seen, i)
+            if m:
+                item = True
+                i = m.end()
+                continue
+            line = seen[i : (seen.find("\n", i) + n + 1) % (n + 1)] if c in " \t|" else ""
+            if line.lstrip().startswith("|"):
+                if rows and not _ROW.fullmatch(line) and i + len(line) >= n:
+                    return True
+                rows = True
+        if c == "\n":
+            if item and stack[-1:] != ["item"]:
+                item = False  # an empty item between others is only empty
+            if seen.startswith("\n", i + 1):
+                stack = [x for x in stack if x[0] not in "*_~"]
+                rows = False
+            start = True
+            i += 1
+            continue
+        if item and not c.isspace():
+            item = False
         if c == "\\":
             i += 2
             continue
@@ -359,6 +497,16 @@ def left_open(seen: str) -> bool:
             top = len(stack) - 1 - stack[::-1].index(_CLOSE[c])
             if '"' not in stack[top + 1 :]:
                 del stack[top:]
+        elif c in "*_~":
+            m = _STRONG.match(seen, i)
+            if m:
+                mark, before, after = m[0], seen[i - 1] if i else " ", seen[m.end()] if m.end() < n else " "
+                if mark in stack and not before.isspace():
+                    del stack[len(stack) - 1 - stack[::-1].index(mark) :]
+                elif not after.isspace() and not before.isalnum() and (len(mark) > 1 or after.isalpha()):
+                    stack.append(mark)
+                i = m.end()
+                continue
         elif c == "<":
             m = _TAG.match(seen, i)
             if m and not m[0].endswith("/>"):
@@ -371,7 +519,8 @@ def left_open(seen: str) -> bool:
                 i = m.end()
                 continue
         i += 1
-    return bool(stack) or fence
+    # a lone star may be a footnote's or a rating's
+    return bool([x for x in stack if x != "*"]) or bool(verbatim) or (item and "\n" in seen.strip())
 
 
 _TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*/?>")
@@ -411,7 +560,7 @@ def last_word(seen: str) -> tuple[str, bool, bool] | None:
     return m[0], True, bool(dots)
 
 
-def is_truncated(answer: str, ends_in_piece: bool) -> bool:
+def is_truncated(answer: str, ends_in_piece: bool = False) -> bool:
     seen = look(answer)
     if left_open(seen):
         return True
@@ -494,20 +643,22 @@ def word_pieces(answers: DataFrame) -> DataFrame:
 
     A piece stands mostly at open ends and begins longer, commoner words; or it is a word in its
     own right that begins longer ones, but follows this word mostly at open ends (words with accents
-    only: texts typed without them are rare and have unseen pairs of their own). Counted over all
-    distinct answers, so that copies change nothing, per batch first, then by word; one row per
-    word and word pair leaves a task.
+    only: texts typed without them are rare and have unseen pairs of their own). Shares decide, not
+    counts. Counted over all distinct answers, so that copies change nothing, per batch first, then by
+    word; one row per word and word pair leaves a task. The counts are a written table: they are used
+    twice and made once.
     """
     uses = answers.select("answer").distinct().mapInPandas(_word_uses, "before string, word string, inner bigint, closed bigint, opened bigint, longer bigint")
     total = uses.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in ("inner", "closed", "opened", "longer")))
-    alone = total.where("before is null").select("word", F.expr("opened > 2 * (inner + closed) and longer > opened").alias("piece"), F.expr("longer > 0.1 * inner and longer > 2").alias("begins"))
-    ends = total.where("before is not null and opened > 0")
-    return ends.join(alone, "word").where(F.expr("piece or (begins and before <> '' and opened > 2 * (inner + closed))") & (F.col("piece") | F.rlike("word", F.lit("[^\\x00-\\x7f]")))).select("before", "word")
+    total = materialize(total.where("before is null or opened > 0"), "uses")
+    alone = total.where("before is null").select("word", F.expr("opened > 2 * (inner + closed) and longer > opened").alias("piece"), F.expr("longer > 0.1 * inner and longer > 0").alias("begins")).where("piece or begins")
+    ends = total.where("before is not null")
+    return ends.join(alone, "word").where(F.expr("piece or (before <> '' and opened > 2 * (inner + closed))") & (F.col("piece") | F.rlike("word", F.lit("[^\\x00-\\x7f]")))).select("before", "word")
 
 
 @F.pandas_udf(StructType([StructField("defect", StringType()), StructField("before", StringType()), StructField("word", StringType())]))
 def _first_look(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
-    """Every defect but truncation; for the rest, the open final word and the one before it."""
+    """Every defect that shows in the pair itself; for the rest, the open final word and the one before it."""
     defects, befores, open_words = [], [], []
     for q, a in zip(question, answer):
         d = b = w = None
@@ -515,10 +666,12 @@ def _first_look(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
             d = "empty"
         elif copies_question(q or "", a):
             d = "copies_question"
-        elif is_refusal(a, lang := language(a)):
+        elif is_refusal(a):
             d = "refusal"
-        elif lang is not None and other_language(q or "", a, lang):
+        elif other_language(q or "", a):
             d = "other_language"
+        elif is_truncated(a):
+            d = "truncated"
         else:
             seen = look(a)
             end = last_word(seen)
@@ -531,22 +684,19 @@ def _first_look(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"defect": defects, "before": befores, "word": open_words})
 
 
-@F.pandas_udf(BooleanType())
-def _truncated(answer: pd.Series, piece: pd.Series) -> pd.Series:
-    return pd.Series([a is not None and is_truncated(a, bool(p)) for a, p in zip(answer, piece)])
-
-
 def flag_defects(pairs: DataFrame, question: str = "question", answer: str = "answer", defect: str = "defect") -> DataFrame:
-    """Add the column ``defect``; all other columns and all rows stay as they are."""
+    """Add the column ``defect``; all other columns and all rows stay as they are.
+
+    Building the query counts the words of all answers (see :func:`word_pieces`).
+    """
     taken = set(pairs.columns)
     fresh = lambda name: name if name not in taken else fresh("_" + name)
     seen, before, word, piece = fresh("_seen"), fresh("_before"), fresh("_word"), fresh("_piece")
     rows = pairs.withColumn(seen, _first_look(F.col(question), F.col(answer))).withColumn(before, F.coalesce(F.col(f"{seen}.before"), F.lit(""))).withColumn(word, F.coalesce(F.col(f"{seen}.word"), F.lit("")))
-    # most pairs have no open word, and some words are hot: both are spread by a salt
+    # most pairs have no open word, and some words are hot: both are spread by a salt, and AQE splits what is skewed still
     salt = fresh("_salt")
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(question, answer, *[c for c, t in pairs.dtypes if t in ("bigint", "int")]), F.when(F.col(word) == "", F.lit(65_536)).otherwise(F.lit(_SALTS))))
     pieces = word_pieces(pairs.select(F.col(answer).alias("answer"))).select(F.col("before").alias(before), F.col("word").alias(word), F.lit(True).alias(piece), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))).alias(salt))
     joined = rows.join(pieces, [before, word, salt], "left")
     keep = [F.col(f"`{c}`") for c in pairs.columns if c != defect]
-    left = F.when(F.col(f"{seen}.defect").isNull(), F.col(answer))
-    return joined.select(*keep, F.coalesce(F.col(f"{seen}.defect"), F.when(_truncated(left, F.coalesce(F.col(piece), F.lit(False))), "truncated")).alias(defect))
+    return joined.select(*keep, F.coalesce(F.col(f"{seen}.defect"), F.when(F.col(piece), "truncated")).alias(defect))

@@ -1,5 +1,7 @@
 """Broken pairs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,12 +34,12 @@ def test_a_name_out_of_the_question_is_an_answer():
 
 @pytest.mark.parametrize("a", ["Tôi không thể trả lời.", "Xin lỗi, tôi không giúp được.", "Không được phép trả lời ạ.", "Câu này tôi xin phép bỏ qua.", "Hiện tại em xin phép không trả lời ạ về Chợ Hoa.", "Toi khong the tra loi cau hoi nay.", "I am unable to view images.", "Sorry, I can't help with that.", "As an AI model, I am not able to describe it.", "Unfortunately I must decline to comment.", "Je ne peux pas répondre.", "抱歉，我无法回答。", "Я не могу ответить на этот вопрос."])
 def test_refusals(a):
-    assert B.is_refusal(a, B.language(a))
+    assert B.is_refusal(a)
 
 
 @pytest.mark.parametrize("a", ['Tờ giấy ghi "Xin lỗi quý khách, tạm nghỉ".', 'Thông báo viết "Không thể nhận thẻ", khách phải trả tiền mặt.', "Không đỗ xe ở đây.", "Không có người nào trong ảnh.", "Ở Tiệm may, sữa chua được bán với giá 11.000 đồng.", "Không."])
 def test_negative_and_quoted_answers_are_no_refusals(a):
-    assert not B.is_refusal(a, B.language(a))
+    assert not B.is_refusal(a)
 
 
 @pytest.mark.parametrize("a", ["It is a shop.", "C'est un petit magasin.", "Ini adalah sebuah pasar.", "这是一家卖早餐的小店。", "На вывеске написано название магазина.", "Das Schild von Quán phở Mết Vân hängt direkt über der Eingangstür.", "ป้ายร้านอยู่เหนือประตูทางเข้า"])
@@ -83,8 +85,19 @@ def test_flagging(spark):
 
 
 def test_greedy_tiling_against_brute_force():
-    assert B.tiles(list("abcd"), list("cdab"), 2) in ([(0, 2, 2), (2, 0, 2)], [(2, 0, 2), (0, 2, 2)])
-    assert B.tiles(list("ab"), list("xy"), 1) == [] and B.tiles([], list("a"), 1) == []
+    assert B.tiles(B._Runs(list("abcd")), list("cdab"), 2) in ([(0, 2, 2), (2, 0, 2)], [(2, 0, 2), (0, 2, 2)])
+    assert B.tiles(B._Runs(list("ab")), list("xy"), 1) == [] and B.tiles(B._Runs([]), list("a"), 1) == []
+    r = random.Random(4)
+    for _ in range(200):  # against all runs of the question
+        q, t = ["".join(r.choices("abc", k=r.randrange(n))) for n in (9, 30)]
+        found = B.tiles(B._Runs(list(q)), list(t), 2)
+        assert all(q[i : i + k] == t[j : j + k] and k >= 2 for i, j, k in found)
+        covered, j = 0, len(t)
+        while j:
+            k = max((k for k in range(j + 1) if t[j - k : j] in q), default=0)
+            covered += k if k >= 2 else 0
+            j -= k if k >= 2 else 1
+        assert sum(k for *_, k in found) == covered
 
 
 def test_a_cut_answer_is_cut_however_often_it_stands(spark):
@@ -93,3 +106,44 @@ def test_a_cut_answer_is_cut_however_often_it_stands(spark):
         rows = [(i, Q, a) for i, a in enumerate(answers)] + [(100 + i, Q, "Phía trước khô") for i in range(copies)]
         got = {r.id: r.defect for r in B.flag_defects(spark.createDataFrame(rows, "id int, question string, answer string")).collect()}
         assert all(got[100 + i] == "truncated" for i in range(copies)) and not any(got[i] for i in range(len(answers)))
+
+
+def test_whole_texts_are_judged():
+    vi, zh = "Đây là một quán cà phê ở góc phố. ", "这家店卖很多种类的水果和蔬菜，"
+    assert B.language(vi * 600 + zh * 4000) == "zh" and B.language(vi * 600) == "vi"
+    q = "Biển hiệu trong ảnh ghi gì?"
+    assert all(B.copies_question(q, " ".join([q] * n)) for n in (1, 20, 20_000))
+    assert not B.copies_question(q, " ".join([q] * 20) + " Chợ Lớn" * 20)
+    assert B.is_empty("N/A" + "\u200b" * 450) and not B.is_empty("na " * 50) and not B.is_empty("\u200b" * 500 + "8")
+    assert B.is_refusal("Đây là biển hiệu. " * 50 + "抱歉，我无法回答这个问题。") and B.is_refusal("Đây là quán. Lo siento, no puedo responder.")
+
+
+# phrasings that the grammar wasn't written from
+@pytest.mark.parametrize("a", ["Tôi chịu, hình mờ quá.", "Câu này mình bó tay.", "Em xin lỗi nhưng em không thể đọc được chữ trong hình.", "Mình không rõ nội dung trên biển.", "Tôi không biết.", "Rất tiếc, không thể xác định được từ bức ảnh này.", "Toi khong tra loi duoc cau nay", "Ảnh mờ quá nên không đọc được.", "Không đủ thông tin để trả lời.", "Yêu cầu này trái với chính sách.", "Tôi đành chịu thua câu này."])
+def test_other_refusals(a):
+    assert B.is_refusal(a)
+
+
+@pytest.mark.parametrize("a", ["Biển ghi: Không thể trả lời điện thoại khi lái xe.", "Cửa hàng không thể cung cấp hàng trong ngày lễ.", "Khách không được phép nói chuyện trong thư viện.", "Không được đỗ xe trước cửa.", "Nhân viên không thể giúp khách ngoài giờ.", "Một em bé không thể với tới quầy.", "Người đàn ông không nhìn được biển vì xe che", "The shop cannot provide goods on holidays.", "Quán không bán trái cây."])
+def test_no_refusals(a):
+    assert not B.is_refusal(a)
+
+
+@pytest.mark.parametrize("a", ["Biển ghi **Quán", "Giá là `12 đồng", "Dùng ```\ncode", "Công thức $$a+b", "| a | b |\n|---|---|\n| 1 | 2", "- một\n- hai\n-", "Tên (gọi tắt", "1. a\n2. b\n3.", "~~bỏ"])
+def test_constructs_left_open(a):
+    assert B.left_open(a)
+
+
+@pytest.mark.parametrize("a", ["Quán *Hoa* rất đẹp", "5 * 3 = 15", "giá 5$ một cái", "**Quán**", "| a | b |\n| 1 | 2 |", "a_b_c", "* một\n* hai", "Khách sạn ***", "`x` và `(y`", "$$a(b$$", "- một\n-\n- hai", "**a\n\nb"])
+def test_constructs_closed(a):
+    assert not B.left_open(a)
+
+
+def test_copies_change_nothing(spark):
+    """A table united with itself gives each defect twice; a cut answer is cut however often it stands."""
+    answers = ["Phía trước khô"] * 2 + ["Phía trước không có ai, không có xe."] * 3 + ["Không có ai.", "Tôi không thể trả lời.", "", None, "Bên phải không có biển hiệu nào."] * 4
+    rows = [(i, "Phía trước có gì?", f"{a}" if a is not None else None) for i, a in enumerate(answers)]
+    df = spark.createDataFrame(rows, "id int, question string, answer string")
+    once, twice = (sorted((r.defect or "", r.n) for r in B.flag_defects(x).groupBy("defect").agg(F.count("*").alias("n")).collect()) for x in (df, df.unionAll(df)))
+    assert [(d, 2 * n) for d, n in once] == twice
+    assert ("truncated", 2) in once
