@@ -94,13 +94,17 @@ def is_plain(text: str) -> bool:
     return text.isascii() and text.isprintable() or _PLAIN_TEXT.fullmatch(text) is not None
 
 
+def keep_joiners(text: str) -> str:
+    """Zero-width joiners between pictographs, which change the picture, under a code of their own, once each."""
+    if "‍" not in text:
+        return text
+    return regex.sub(f"{_JOINER}(?:\\p{{Default_Ignorable_Code_Point}}*{_JOINER})+", _JOINER, _JOINED.sub(_JOINER, text))
+
+
 def look(text: str | None) -> str | None:
     if text is None or is_plain(text):
         return text
-    if "‍" in text:
-        text = _JOINED.sub(_JOINER, text)
-        text = regex.sub(f"{_JOINER}(?:\\p{{Default_Ignorable_Code_Point}}*{_JOINER})+", _JOINER, text)
-    return unicodedata.normalize("NFC", text.translate(TABLE))
+    return unicodedata.normalize("NFC", keep_joiners(text).translate(TABLE))
 
 
 def no_accents(text: str) -> str:

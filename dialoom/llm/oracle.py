@@ -30,6 +30,9 @@ P2_FOUND = f"""WITH t AS (SELECT 'conversations' AS tab, msg_id AS k, content AS
 l AS (SELECT tab, k, x, {look('x')} AS look FROM t WHERE x IS NOT NULL)
 SELECT a.tab, a.k AS key_a, b.k AS key_b FROM (SELECT * FROM l WHERE {_LONG}) a JOIN l b ON a.tab = b.tab AND a.look = b.look AND a.k < b.k AND a.x <> b.x"""
 
+P2_CLASSES = f"""WITH t AS (SELECT 'conversations' AS tab, msg_id AS key, content AS x FROM conversations UNION ALL SELECT 'dataset', id, description FROM dataset)
+SELECT tab, key, min(key) OVER (PARTITION BY tab, {look('x')}) AS "class" FROM t WHERE x IS NOT NULL"""
+
 P4_FOUND = r"""WITH RECURSIVE r AS (SELECT DISTINCT try_cast(regexp_extract(id, '^\s*(.*)_[^_]*$', 1) AS BIGINT) AS i,
   try_cast(nullif(regexp_extract(lower(image), 'image[^0-9a-z/\\]*([0-9]+)[^/\\]*$', 1), '') AS BIGINT) AS p FROM train),
 e AS (SELECT DISTINCT a.i AS x, b.i AS y FROM r a JOIN r b ON a.p = b.p WHERE a.i <> b.i),
@@ -48,4 +51,4 @@ keyed AS (SELECT tab, k, CASE
 P5_FOUND = f"WITH {_P5_KEYS}, g AS (SELECT *, min(k) OVER (PARTITION BY tab, key) AS keep_id FROM keyed) SELECT tab, keep_id, k AS copy_id FROM g WHERE k <> keep_id"
 P5_COLLAPSED = f"WITH {_P5_KEYS} SELECT tab, min(k) AS keep_id, count(*)::BIGINT AS n_copies FROM keyed GROUP BY tab, key"
 
-ORACLE: dict[str, str] = {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}
+ORACLE: dict[str, str] = {"p2_found": P2_FOUND, "p2_classes": P2_CLASSES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}

@@ -44,7 +44,14 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 
 def p2_canonical(s: SparkSession, d: str) -> DataFrame:
     """Every row with its text in the consistent form."""
-    return canonical_text.canonical(_look_texts(s, d), "text", ["tab", "key"]).select("tab", "key", "canonical")
+    return canonical_text.canonical(_look_texts(s, d), "text").select("tab", "key", "canonical")
+
+
+def p2_classes(s: SparkSession, d: str) -> DataFrame:
+    """Every row with its class: the least key of its table whose text looks the same."""
+    rows = canonical_text.canonical(_look_texts(s, d), "text").where("canonical is not null").select("tab", "key", *canonical_text.digests("canonical", "_c"))
+    least = rows.groupBy("tab", "_c0", "_c1").agg(F.min("key").alias("class"))
+    return rows.join(least, ["tab", "_c0", "_c1"]).select("tab", "key", "class")
 
 
 def _repeated_texts(s: SparkSession, d: str) -> DataFrame:
@@ -153,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "p1_defect_counts": p1_defect_counts,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p2_classes": p2_classes,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p3_found": p3_found,

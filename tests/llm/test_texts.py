@@ -58,7 +58,7 @@ TEXTS = [*VARIANTS, BASE, BASE.upper(), None, "", " ", "​", "вход", "вxо
 
 
 def test_canonical_spellings_are_consistent(spark):
-    got = {r.key: r.canonical for r in C.canonical(rows(spark, TEXTS), "text", ["tab", "key"]).collect()}
+    got = {r.key: r.canonical for r in C.canonical(rows(spark, TEXTS), "text").collect()}
     assert len(got) == len(TEXTS)
     for (i, a), (j, b) in itertools.combinations(enumerate(TEXTS), 2):
         if a is not None and b is not None:
@@ -88,6 +88,36 @@ def test_trie_finds_zero_cost_and_counts_other_edits():
     assert C.canonical_spelling(trie, "вxод") == "вход" and C.canonical_spelling(trie, "ｚ") == "z"
 
 
+def test_repeated_rows_have_equal_forms(spark):
+    text = unicodedata.normalize("NFD", "Quán cà phê Hoa")
+    df = spark.createDataFrame([("t", 1, text, "x")] * 3 + [("t", 1, "Quán cà phê Hoa", "y")], "tab string, key bigint, text string, form string").withColumn("_t0", F.lit(5))
+    got = C.canonical(df, "text").collect()
+    assert [r.canonical for r in got] == ["Quán cà phê Hoa"] * 4 and {r._t0 for r in got} == {5} and sorted(r.form for r in got) == ["x", "x", "x", "y"]
+
+
+def test_the_automaton_decides_what_the_table_cannot():
+    trie = C.Trie([("lớn", 9), ("In", 4), ("OK", 2)])
+    assert look("\u0399ớn") == "Iớn"  # a Greek capital iota: the table knows one twin
+    assert C.canonical_spelling(trie, "\u0399ớn") == "lớn"  # only the vocabulary knows which letter is meant
+    assert C.canonical_spelling(trie, "\u0399n") == "In" and C.canonical_spelling(trie, "\uff10K") == "OK"
+    assert C.canonical_spelling(trie, "\u0399x") == "Ix"
+
+
+def test_the_automaton_reads_tokens_as_stored():
+    trie = C.Trie([("việt", 1), ("ﬁx"[0] + "x", 1), ("cafe", 2)])
+    # marks in another order, parted by something invisible
+    assert [x[:2] for x in trie.search("vie\u0302\u200b\u0323t")] == [(0, "việt")] == [x[:2] for x in trie.search("vi\u1ec7\u00adt\u200d")]
+    assert trie.search("viet") == [] and [x[:2] for x in trie.search("viet", 2)] == [(2, "việt")]
+    assert [x[:2] for x in trie.search("ｃаf\u2060e")] == [(0, "cafe")] and [x[0] for x in trie.search("cаf", 1)] == [1] and [x[0] for x in trie.search("cxafe", 1)] == [1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abêệhо", min_size=1, max_size=5), min_size=1, max_size=6), st.text(alphabet="abeệ̂hоо​ｈ", min_size=1, max_size=6))
+def test_zero_cost_is_an_equal_look(words, token):
+    found = {s for _, s, _ in C.Trie((w, 1) for w in words).search(token)}
+    assert found == {w for w in words if look(w) == look(token)}
+
+
 FORMS = [
     "Tên: Quán phở Mết; Điện thoại: 0123 456 789; Địa chỉ: số 4 đường Hoa",
     "ĐỊA CHỈ: SỐ 4 ĐƯỜNG HOA;TÊN: QUÁN PHỞ MẾT;ĐIỆN THOẠI: 0123 456 789",
