@@ -1,38 +1,48 @@
 """Splits that keep linked records together.
 
 Records hang together through entities (here the item number and the picture number), also
-by way of others. Connected components of the bipartite graph record group - entity are
-found by alternating large-star and small-star steps; each halves long chains, works on
-distinct edges, pre-aggregates minima before its shuffle and spreads the edges of hot nodes
-over several tasks. Intermediate edges are written tables in the shared folder.
-
-Allocation. Components of identical size and label profile form a bundle; only the bundle
-table, whose size is checked, is solved on the driver. Size by size from the largest, bundles
-are dealt out in proportion to what each split still lacks; what doesn't divide is placed by
-integral min-cost flows whose costs are the deviations from the quotas of each split and of
-each label within it. Members of a bundle take their places in the order of a hash.
-
-Nulls: a null entity links nothing; a record without a group key goes with the
-others of its entity, and one without either is a component of its own, named by its row key. Repeated rows link to themselves. An empty table gives an empty
-result. Extra columns, whatever their names, play no part.
+by way of others. Each entity ties its keys to the least of them, which leaves a graph of
+keys alone, without those that share nothing. Its connected components are found by
+alternating large-star and small-star steps; each halves long chains, works on distinct
+edges, pre-aggregates minima before its shuffle and spreads the edges of hot nodes over
+several tasks. Intermediate edges are written tables in the shared folder. Keys and entities
+may be of any type that can be ordered.
+
+Allocation. Components of identical size and label profile (how many records of each label)
+form a bundle; only the table of bundles is solved on the driver. Sizes are dealt from the
+largest: each bundle in proportion to what the splits still lack of its labels, and what doesn't
+divide by an integral min-cost flow whose costs are the deviations from the quotas of each split
+and of each label within it. Members of a bundle take their places in the order of a hash. One
+flow over all sizes is no network flow, since a unit would weigh differently on each arc; for
+one size it is, and it is solved exactly, given what larger components took.
+
+Bounds. A size has at most ``PROFILES`` bundles: its commonest profiles, and one of the others
+with their mean profile; sizes stay exact. Different sizes can't be more than the square root of
+twice the records. Labels beyond the ``LABELS`` commonest are one label.
+
+Nulls: a null entity links nothing; a record without a group key goes with the others of its
+entity, and one without either is a component of its own, named by its row key. Repeated rows
+link to themselves. An empty table gives an empty result. Extra columns, whatever their names,
+play no part. Building a query runs the steps.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.operators.ranking import with_global_index
+from dialoom.operators.skew import lookup
 from dialoom.session import forget, materialize
 
 #: Edges of one node that one task joins at most.
 HOT = 200_000
-#: Bundles the driver solves at most; beyond it sizes are rounded to two digits.
-MAX_BUNDLES = 50_000
+#: Profiles that one size keeps apart, and labels that a profile does.
+PROFILES, LABELS = 200, 32
 
 
 def item_number(c: Column | str = "id") -> Column:
@@ -41,6 +51,12 @@ def item_number(c: Column | str = "id") -> Column:
     return F.regexp_extract(c, r"^\s*(.*)_[^_]*$", 1).try_cast("bigint")
 
 
+def item_key(c: Column | str = "id") -> Column:
+    """The item number as a string; where it isn't a number, whatever stands before the last underscore."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(item_number(c).cast("string"), F.nullif(F.trim(F.regexp_extract(col, r"^\s*(.*)_[^_]*$", 1)), F.lit("")))
+
+
 def picture_number(c: Column | str = "image") -> Column:
     """The number that follows the word image in the file name, however the rest is written."""
     c = F.col(c) if isinstance(c, str) else c
@@ -87,31 +103,34 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def links(records: DataFrame, key: str, entity: str) -> DataFrame:
+    """(k, component): the keys that hang together with a lesser one, and the least they reach."""
+    pairs = records.select(F.col(key).alias("v"), F.col(entity).alias("u")).where("u is not null and v is not null").distinct()
+    tied = _minima(materialize(pairs, "links")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return components(tied).select(F.col("node").alias("k"), F.col("root").alias("component"))
+
+
 def groups(records: DataFrame, key: str, entity: str) -> DataFrame:
     """(key, component): distinct keys, with the least key of what each hangs together with.
 
-    ``key`` and ``entity`` are numeric columns; two keys hang together if they share a
-    value of ``entity``, also by way of others. Null keys are left out.
+    Two keys hang together if they share a value of ``entity``, also by way of others. Null keys
+    are left out.
     """
-    pairs = records.select(F.col(key).alias("k"), F.col(entity).alias("e")).where("k is not null").distinct()
-    pairs = materialize(pairs, "links")
-    # nodes: keys even and entities odd, so a root that is a key is not certain; it's mapped back below
-    edges = pairs.where("e is not null").select((F.col("k") * 2).alias("u"), (F.col("e") * 2 + 1).alias("v"))
-    roots = components(edges)
-    of_key = roots.where("node % 2 = 0").select((F.col("node") / 2).cast("bigint").alias("k"), "root")
-    # a root is no node of the list itself
-    keys = pairs.select("k").distinct().join(of_key, "k", "left").withColumn("root", F.coalesce("root", F.col("k") * 2))
-    least = keys.groupBy("root").agg(F.min("k").alias("component"))
-    return keys.join(least, "root").select(F.col("k").alias(key), "component")
-
-
-def linked_pairs(members: DataFrame, key: str) -> DataFrame:
-    """(a, b): all pairs of different keys of one component, smaller first."""
-    a = members.select("component", F.col(key).alias("a"))
-    b = members.select("component", F.col(key).alias("b"))
-    many = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    a = a.join(many, "component", "left_semi")
-    return a.join(b, "component").where("a < b").select("a", "b")
+    keys = records.select(F.col(key).alias("k")).where("k is not null").distinct()
+    return keys.join(links(records, key, entity), "k", "left").select(F.col("k").alias(key), F.coalesce("component", "k").alias("component"))
+
+
+def linked_pairs(members: DataFrame, key: str, part: int = 4096) -> DataFrame:
+    """(a, b): all pairs of different keys of one component, smaller first.
+
+    A component of more than ``part`` keys is cut into parts, and each pair of parts is a task of its own.
+    """
+    sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    m = lookup(members.select("component", F.col(key).alias("k")), sized, ["component"]).withColumn("p", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = m.select("component", F.col("k").alias("a"), F.col("p").alias("pa"), other.alias("pb"))
+    b = m.select("component", F.col("k").alias("b"), F.col("p").alias("pb"), other.alias("pa"))
+    return a.join(b, ["component", "pa", "pb"]).where("a < b").select("a", "b")
 
 
 # ---------------------------------------------------------------- allocation
@@ -162,72 +181,74 @@ class Flow:
             total += push * dist[t]
 
 
-def allocate(bundles: Sequence[tuple[int, str, int]], shares: Sequence[float], weight: float = 4.0) -> list[list[int]]:
-    """How many components of each bundle (size, label, number) go to each split.
+Profile = str | Mapping[str, float]
+
 
+def allocate(bundles: Sequence[tuple[int, Profile, int]], shares: Sequence[float], weight: float = 4.0) -> list[list[int]]:
+    """How many components of each bundle (size, profile, number) go to each split.
+
+    A profile says how many records of a component have each label; a string is one label of all.
     ``weight``: how much more a record's deviation from a split's quota costs than one from
     the quota of its label within the split.
     """
     k = len(shares)
+    profiles = [{p: s} if isinstance(p, str) else dict(p) for s, p, _ in bundles]
     whole = [[0] * k for _ in bundles]
     total = sum(s * n for s, _, n in bundles)
-    of_label: dict[str, int] = defaultdict(int)
-    for s, label, n in bundles:
-        of_label[label] += s * n
+    rest: dict[str, float] = defaultdict(float)
+    for (_, _, n), profile in zip(bundles, profiles):
+        for label, c in profile.items():
+            rest[label] += c * n
     lack = [total * p for p in shares]
-    lack_label = {label: [v * p for p in shares] for label, v in of_label.items()}
-    rest = dict(of_label)
+    lack_label = {label: [v * p for p in shares] for label, v in rest.items()}
     sizes: dict[int, list[int]] = defaultdict(list)
     for b, (s, _, _) in enumerate(bundles):
         sizes[s].append(b)
+
+    def take(b: int, j: int, n: int) -> None:
+        whole[b][j] += n
+        lack[j] -= bundles[b][0] * n
+        for label, c in profiles[b].items():
+            lack_label[label][j] -= c * n
+
     for s in sorted(sizes, reverse=True):
         wanted = _wanted(lack, lack_label, rest)
-        left: dict[int, list[tuple[int, int]]] = {s: []}
+        left = []
         for b in sizes[s]:
-            _, label, n = bundles[b]
-            whole[b] = [int(math.floor(n * p + 1e-9)) for p in wanted[label]]
-            rest[label] -= s * n
+            n = bundles[b][2]
+            mix = [sum(c * wanted[label][j] for label, c in profiles[b].items()) / s for j in range(k)]
             for j in range(k):
-                lack[j] -= s * whole[b][j]
-                lack_label[label][j] -= s * whole[b][j]
+                take(b, j, math.floor(n * mix[j] + 1e-9))
+            for label, c in profiles[b].items():
+                rest[label] -= c * n
             if n > sum(whole[b]):
-                left[s].append((b, n - sum(whole[b])))
-        labels = sorted({bundles[b][1] for b, _ in left[s]})
-        units = sum(r for _, r in left[s])
-        at_label = {(j, label): 2 + len(left[s]) + j * len(labels) + x for j in range(k) for x, label in enumerate(labels)}
-        at_split = [2 + len(left[s]) + k * len(labels) + j for j in range(k)]
-        g = Flow(2 + len(left[s]) + k * len(labels) + k)
-        arcs = {}
-        per_label: dict[str, int] = defaultdict(int)
-        for b, r in left[s]:
-            per_label[bundles[b][1]] += r
-        step = lambda lack, u: abs(lack - (u + 1) * s) - abs(lack - u * s)  # noqa: E731  (convex in u)
-        for x, (b, r) in enumerate(left[s]):
+                left.append((b, n - sum(whole[b])))
+        # nodes: source, sink, bundles, splits; the costs of both kinds of deviation are convex in the units sent
+        g = Flow(2 + len(left) + k)
+        units, arcs = sum(r for _, r in left), []
+        for x, (b, r) in enumerate(left):
             g.arc(0, 2 + x, r, 0.0)
             for j in range(k):
-                arcs[b, j] = g.arc(2 + x, at_label[j, bundles[b][1]], r, 0.0)
-        for (j, label), node in at_label.items():
-            for u in range(per_label[label]):
-                g.arc(node, at_split[j], 1, step(lack_label[label][j], u))
+                for u in range(r):
+                    cost = sum(abs(lack_label[label][j] - (u + 1) * c) - abs(lack_label[label][j] - u * c) for label, c in profiles[b].items())
+                    arcs.append((b, j, g.arc(2 + x, 2 + len(left) + j, 1, cost)))
         for j in range(k):
             for u in range(units):
-                g.arc(at_split[j], 1, 1, weight * step(lack[j], u))
+                g.arc(2 + len(left) + j, 1, 1, weight * (abs(lack[j] - (u + 1) * s) - abs(lack[j] - u * s)))
         g.run(0, 1)
-        for (b, j), e in arcs.items():
-            got = g.cap[e ^ 1]
-            whole[b][j] += got
-            lack[j] -= s * got
-            lack_label[bundles[b][1]][j] -= s * got
+        for b, j, e in arcs:
+            if g.cap[e ^ 1]:
+                take(b, j, g.cap[e ^ 1])
     return whole
 
 
-def _wanted(lack: Sequence[float], lack_label: dict[str, list[float]], rest: dict[str, int], rounds: int = 10) -> dict[str, list[float]]:
+def _wanted(lack: Sequence[float], lack_label: dict[str, list[float]], rest: Mapping[str, float], rounds: int = 10) -> dict[str, list[float]]:
     """Per label, the shares of what is left of it that go to each split: what the labels lack, fitted
     to what the splits lack."""
     k = len(lack)
     room = [max(0.0, x) for x in lack]
     scale = sum(rest.values()) / (sum(room) or 1.0)
-    table = {x: [max(0.0, v) + 1e-9 * max(1, n) * (room[j] > 0) for j, v in enumerate(lack_label[x])] for x, n in rest.items() if n > 0}
+    table = {x: [max(0.0, v) + 1e-9 * max(1, n) * (room[j] > 0) for j, v in enumerate(lack_label[x])] for x, n in rest.items() if n > 1e-6}
     for _ in range(rounds):
         for j in range(k):
             have = sum(row[j] for row in table.values())
@@ -239,38 +260,51 @@ def _wanted(lack: Sequence[float], lack_label: dict[str, list[float]], rest: dic
     return {x: [v / rest[x] for v in row] for x, row in table.items()}
 
 
-def assign(records: DataFrame, row_key: str, key: str, entity: str, label: str, shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
+def components_of(records: DataFrame, row_key: str, key: str, entity: str) -> DataFrame:
+    """(row_key, key, entity, component) of every record, the component as a string.
+
+    Records without a key go with their entity; those without either stand alone, under a name no
+    key has.
+    """
+    name = lambda c, of: F.concat(F.lit(c), F.col(of).cast("string"))
+    linked = lookup(records.where(F.col(key).isNotNull()), links(records, key, entity).withColumnRenamed("k", key), [key], "left")
+    linked = linked.withColumn("component", F.concat(F.lit("k"), F.coalesce("component", key).cast("string")))
+    of_entity = linked.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.min("component").alias("component"))
+    alone = lookup(records.where(F.col(key).isNull()), of_entity, [entity], "left").withColumn("component", F.coalesce("component", name("e", entity), name("r", row_key)))
+    return linked.unionByName(alone)
+
+
+def assign(records: DataFrame, row_key: str, key: str, entity: str, label: str, shares: dict[str, float] | None = None, seed: int = 42, profiles: int = PROFILES, labels: int = LABELS) -> DataFrame:
     """(row_key, split) for every record; all that hang together share a split.
 
-    ``label`` is a column of few values; a component's profile is its most frequent one.
+    ``label`` is the column whose values should be spread evenly, too.
     """
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     rows = records.select(F.col(row_key).alias("_row"), F.col(key).alias("_k"), F.col(entity).alias("_e"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_label"))
-    members = materialize(groups(rows, "_k", "_e"), "members")
-    linked = rows.where("_k is not null").join(members, "_k").select("_row", "_e", "_label", F.concat(F.lit("k"), F.col("component").cast("string")).alias("component"))
-    # records without a key go with their entity; those without either stand alone, under a name no key has
-    of_entity = linked.where("_e is not null").groupBy("_e").agg(F.min("component").alias("component"))
-    name = lambda c, of: F.concat(F.lit(c), F.col(of).cast("string"))
-    alone = rows.where("_k is null").join(of_entity, "_e", "left").select("_row", "_label", F.coalesce("component", name("e", "_e"), name("r", "_row")).alias("component"))
-    linked = linked.drop("_e")
-    placed = linked.unionByName(alone)
-    counts = placed.groupBy("component", "_label").agg(F.count("*").alias("n"))
-    sized = materialize(counts.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "_label")).getField("_label").alias("label")), "sized")
-    n_bundles = sized.select("size", "label").distinct().count()
-    size = F.col("size") if n_bundles <= MAX_BUNDLES else F.round(F.col("size") / F.pow(F.lit(10), F.floor(F.log10("size")) - 1)).cast("bigint") * F.pow(F.lit(10), F.floor(F.log10("size")) - 1).cast("bigint")
-    sized = sized.withColumn("_size", size)
-    bundles = sized.groupBy("_size", "label").agg(F.count("*").alias("n")).orderBy("_size", "label").collect()
+    placed = materialize(components_of(rows, "_row", "_k", "_e").select("_row", "_label", "component"), "placed")
+    common = [r._label for r in placed.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(labels).collect()]
+    counts = placed.groupBy("component", F.when(F.col("_label").isin(common), F.col("_label")).otherwise(F.lit("\0")).alias("label")).agg(F.count("*").alias("n"))
+    sized = counts.groupBy("component").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("label", "n"))).alias("profile"))
+    sized = materialize(sized.withColumn("_h", F.xxhash64(F.lit(seed), "component")), "sized")
+    table = sized.groupBy("size", "profile").agg(F.count("*").alias("n"))
+    kept = table.withColumn("_r", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("n"), "profile"))).where(F.col("_r") <= profiles).select("size", "profile", F.lit(True).alias("own"))
+    bundled = sized.join(kept, ["size", "profile"], "left").withColumn("bundle", F.when(F.col("own"), F.col("profile"))).drop("own")
+    ranked = with_global_index(bundled.select("component", "size", "bundle", "_h", "profile"), ["size", "bundle", "_h", "component"], "_at")
+    each = ranked.select("size", "bundle", F.explode("profile").alias("x")).groupBy("size", "bundle", "x.label").agg(F.sum("x.n").alias("n")).groupBy("size", "bundle").agg(F.collect_list(F.struct("label", "n")).alias("labels"))
+    of = lambda c: [F.col("size").alias(f"{c}s"), F.col("bundle").alias(f"{c}b")]
+    n = ranked.groupBy("size", "bundle").agg(F.count("*").alias("n")).select(*of("n"), "n")
+    bundles = each.join(n, (F.col("size") == F.col("ns")) & F.col("bundle").eqNullSafe(F.col("nb"))).orderBy("size", "bundle").select("size", "labels", n["n"]).collect()
     names = list(shares)
-    dealt = allocate([(r._size, r.label, r.n) for r in bundles], [shares[x] for x in names])
+    dealt = allocate([(r["size"], {x.label: x.n / r["n"] for x in r["labels"]}, r["n"]) for r in bundles], [shares[x] for x in names])
     cuts, start = [], 0
     for r, parts in zip(bundles, dealt):
-        for name, n in zip(names, parts):
-            if n:
-                cuts.append((r._size, r.label, start, start + n, name))
-                start += n
-    ranked = with_global_index(sized.withColumn("_h", F.xxhash64(F.lit(seed), "component")), ["_size", "label", "_h", "component"], "_at")
+        for name, m in zip(names, parts):
+            if m:
+                cuts.append((r["size"], start, start + m, name))
+                start += m
     if not cuts:
         return placed.select(F.col("_row").alias(row_key), F.lit(None).cast("string").alias("split"))
-    cut = F.broadcast(records.sparkSession.createDataFrame(cuts, "_size bigint, label string, _from bigint, _to bigint, split string"))  # at most splits x bundles
-    chosen = ranked.join(cut, ["_size", "label"]).where("_at >= _from and _at < _to").select("component", "split")
-    return placed.join(chosen, "component").select(F.col("_row").alias(row_key), "split")
+    # splits x bundles rows; positions of a size are consecutive
+    cut = records.sparkSession.createDataFrame(cuts, "size bigint, _from bigint, _to bigint, split string")
+    chosen = ranked.select("component", "size", "_at").join(cut, "size").where("_at >= _from and _at < _to").select("component", "split")
+    return lookup(placed, chosen, ["component"]).select(F.col("_row").alias(row_key), "split")

@@ -39,6 +39,10 @@ e AS (SELECT DISTINCT a.i AS x, b.i AS y FROM r a JOIN r b ON a.p = b.p WHERE a.
 reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
 SELECT DISTINCT x AS item_a, y AS item_b FROM reach WHERE x < y"""
 
+P4_GROUPS = P4_FOUND.split("\nSELECT DISTINCT x AS item_a")[0] + "\nSELECT r.i AS item, least(r.i, min(reach.y)) AS group_id FROM (SELECT DISTINCT i FROM r WHERE i IS NOT NULL) r LEFT JOIN reach ON reach.x = r.i GROUP BY r.i"
+# what a split has to fulfil: quotas met to a record, no group torn
+P4_SPLIT_SIZES = "SELECT split, (SELECT count(*) FROM train) AS total, true AS meets_quota, 0::BIGINT AS n_torn FROM (VALUES ('train'), ('validation'), ('test')) v(split)"
+
 _P5_KEYS = rf"""t AS (SELECT 'conversations' AS tab, msg_id AS k, content AS x FROM conversations UNION ALL SELECT 'predictions', pred_id, ground_truth FROM predictions),
 l AS (SELECT tab, k, {look('x')} AS look FROM t WHERE x IS NOT NULL),
 m AS (SELECT *, regexp_extract(look, '(?s)^[\s\p{{P}}$+<=>^`|~]*?(\{{.*\}})[\s\p{{P}}$+<=>^`|~]*$', 1) AS j,
@@ -51,4 +55,4 @@ keyed AS (SELECT tab, k, CASE
 P5_FOUND = f"WITH {_P5_KEYS}, g AS (SELECT *, min(k) OVER (PARTITION BY tab, key) AS keep_id FROM keyed) SELECT tab, keep_id, k AS copy_id FROM g WHERE k <> keep_id"
 P5_COLLAPSED = f"WITH {_P5_KEYS} SELECT tab, min(k) AS keep_id, count(*)::BIGINT AS n_copies FROM keyed GROUP BY tab, key"
 
-ORACLE: dict[str, str] = {"p2_found": P2_FOUND, "p2_classes": P2_CLASSES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}
+ORACLE: dict[str, str] = {"p2_found": P2_FOUND, "p2_classes": P2_CLASSES, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p4_split_sizes": P4_SPLIT_SIZES, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm import broken_pairs, canonical_text, chunking, formatting_copies, leakage, linked_split, packing, split_overlap
@@ -101,8 +101,8 @@ def p3_members(s: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(s: SparkSession, d: str) -> DataFrame:
-    """Training records with their item number, picture number and kind of source."""
-    return table(s, d, "train").select("row_id", linked_split.item_number("id").alias("item"), linked_split.picture_number("image").alias("picture"), F.regexp_extract("source", "^([a-z]+(-[a-z]+)?)-", 1).alias("kind"))
+    """Training records with their item number and picture number."""
+    return table(s, d, "train").select("row_id", linked_split.item_number("id").alias("item"), linked_split.picture_number("image").alias("picture"))
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
@@ -111,15 +111,29 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return linked_split.linked_pairs(members, "item").select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
 
 
+def p4_groups(s: SparkSession, d: str) -> DataFrame:
+    """Every item with its group: the least item number that it hangs together with."""
+    return linked_split.groups(_linked(s, d), "item", "picture").withColumnRenamed("component", "group_id")
+
+
 def p4_split(s: SparkSession, d: str) -> DataFrame:
     """Every training record with its split: 80, 10 and 10 percent of the records."""
-    return linked_split.assign(_linked(s, d).withColumn("kind", F.substring_index("kind", "-", 1)), "row_id", "item", "picture", "kind")
+    kind = F.regexp_extract("source", "^([a-z]+)-", 1)
+    rows = table(s, d, "train").select("row_id", linked_split.item_key("id").alias("item"), linked_split.picture_number("image").alias("picture"), kind.alias("kind"))
+    return linked_split.assign(rows, "row_id", "item", "picture", "kind")
 
 
 def p4_split_sizes(s: SparkSession, d: str) -> DataFrame:
-    """Records, and their share, per split."""
-    n = p4_split(s, d).groupBy("split").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("split", "n", (F.col("n") / F.col("total")).alias("share"))
+    """Per split: its records, how far they are from its quota, and its groups that another split has, too."""
+    records = table(s, d, "train").select("row_id", linked_split.item_number("id").alias("item"))
+    groups = p4_groups(s, d)
+    rows = records.join(p4_split(s, d), "row_id").join(groups, "item", "left")
+    n = rows.groupBy("split").agg(F.count("*").alias("n"))
+    torn = rows.where("group_id is not null").groupBy("group_id").agg(F.collect_set("split").alias("splits")).where(F.size("splits") > 1).select(F.explode("splits").alias("split")).groupBy("split").agg(F.count("*").alias("n_torn"))
+    quota = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    off = F.abs(F.col("n") - quota * F.col("total")) <= 1
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a handful of rows
+    return n.withColumn("total", total).join(torn, "split", "left").select("split", "total", off.alias("meets_quota"), F.coalesce("n_torn", F.lit(0).cast("bigint")).alias("n_torn"))
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:
@@ -168,6 +182,7 @@ QUERIES: dict[str, Query] = {
     "p3_class_pairs": p3_class_pairs,
     "p3_members": p3_members,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p4_split": p4_split,
     "p4_split_sizes": p4_split_sizes,
     "p6_containers": p6_containers,

@@ -267,3 +267,46 @@ def test_records_without_a_key_go_with_their_picture(spark):
     got = {x.row_id: x.split for x in L.assign(df, "row_id", "item", "pic", "kind").collect()}
     assert len(got) == len(rows)
     assert all(got[i] == got[1000 + i] for i in range(300)) and all(got[2000 + i] == got[2001 + i] for i in range(0, 200, 2))
+
+
+def test_large_and_textual_keys(spark):
+    base = [2**53, 2**60, 2**62, -(2**62)]
+    rows = [(i + d, g) for g, i in enumerate(base) for d in (0, 1)] + [(i + 2, None) for i in base]
+    df = spark.createDataFrame(rows, "item long, pic long")
+    got = {r.item: r.component for r in L.groups(df, "item", "pic").collect()}
+    assert got == {i + d: i + (2 if d == 2 else 0) for i in base for d in (0, 1, 2)}
+    text = spark.createDataFrame([("a", "p"), ("b", "p"), ("b", "q"), ("c", "q"), ("d", None), ("d", "r")], "item string, pic string")
+    assert {r.item: r.component for r in L.groups(text, "item", "pic").collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+    keys = spark.createDataFrame([("12_3",), ("x_1",), ("_1",), (None,), ("007_2",)], "id string").select(L.item_key().alias("k"))
+    assert [r.k for r in keys.collect()] == ["12", "x", None, None, "7"]
+
+
+def test_pairs_of_a_large_component_are_spread(spark):
+    members = spark.createDataFrame([(i, 0 if i < 50 else i) for i in range(60)], "item long, component long")
+    got = L.linked_pairs(members, "item", part=7).collect()
+    assert sorted((r.a, r.b) for r in got) == list(itertools.combinations(range(50), 2))
+
+
+def test_mixed_profiles_keep_all_quotas():
+    r = random.Random(2)
+    bundles = []
+    for s in (1, 2, 3, 5, 8):
+        for p in {tuple(sorted(Counter(r.choices("abc", k=s)).items())) for _ in range(6)}:
+            bundles.append((s, dict(p), r.randrange(20, 200)))
+    got = L.allocate(bundles, [0.8, 0.1, 0.1])
+    assert all(sum(g) == n and min(g) >= 0 for g, (_, _, n) in zip(got, bundles))
+    total = sum(s * n for s, _, n in bundles)
+    for j, p in enumerate([0.8, 0.1, 0.1]):
+        assert abs(sum(s * g[j] for g, (s, _, _) in zip(got, bundles)) - p * total) <= 1
+        for label in "abc":
+            of = [c.get(label, 0) for _, c, _ in bundles]
+            assert abs(sum(c * g[j] for g, c in zip(got, of)) - p * sum(c * n for c, (_, _, n) in zip(of, bundles))) <= 8
+
+
+def test_few_profiles_and_labels_still_meet_the_quotas(spark):
+    r = random.Random(6)
+    rows = [(i, r.randrange(500), None, f"l{r.randrange(40)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, item long, pic long, kind string")
+    got = {x.row_id: x.split for x in L.assign(df, "row_id", "item", "pic", "kind", profiles=2, labels=3).collect()}
+    assert len(got) == 3000 and all(len({got[i] for i, k, *_ in rows if k == item}) == 1 for item in {k for _, k, *_ in rows})
+    assert abs(Counter(got.values())["train"] - 2400) <= 1
