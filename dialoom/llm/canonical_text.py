@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.lookalikes import PLAIN, TWINS, UNCOMMON, atoms, keep_joiners, look
+from dialoom.llm.lookalikes import PLAIN, TWINS, UNCOMMON, UNCOMMON_FAST, atoms, keep_joiners, look
 from dialoom.session import materialize, shuffle_partitions
 
 #: Characters between tokens. All of category Zs, tabs and line breaks.
@@ -200,7 +200,7 @@ def spellings(texts: DataFrame) -> DataFrame:
 
 def uncommon(c: Column | str) -> Column:
     """Whether a text has a character that may be written otherwise; JVM only."""
-    return F.rlike(F.col(c) if isinstance(c, str) else c, F.lit(UNCOMMON))
+    return F.rlike(F.col(c) if isinstance(c, str) else c, F.lit(UNCOMMON_FAST))
 
 
 def digests(c: Column | str, name: str) -> list[Column]:
@@ -208,11 +208,11 @@ def digests(c: Column | str, name: str) -> list[Column]:
     return [F.xxhash64(c).alias(f"{name}0"), F.xxhash64(F.lit(7), c).alias(f"{name}1")]
 
 
-def odd_forms(df: DataFrame, column: str) -> DataFrame:
-    """(_t0, _t1, form): the consistent form of each distinct text with uncommon characters, by its digest."""
-    texts = df.select(F.col(column).alias("text"))
-    odd = texts.where(uncommon("text")).select(*digests("text", "_t"), F.regexp_replace("text", ODD_SPACE, " ").alias("text"))
-    odd = materialize(odd.groupBy("_t0", "_t1").agg(F.first("text").alias("text")), "odd")
+def odd_forms(odd: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_t0, _t1, form): the consistent form of each distinct text of ``odd`` (_t0, _t1, text), all with
+    uncommon characters; ``texts`` (text) is the corpus that the vocabulary comes from."""
+    odd = odd.groupBy("_t0", "_t1").agg(F.regexp_replace(F.first("text"), ODD_SPACE, " ").alias("text"))
+    odd = materialize(odd, "odd")
     tokens = odd.select("_t0", "_t1", F.posexplode(F.regexp_extract_all("text", F.lit(ODD_TOKEN), F.lit(0))).alias("i", "token"))
     spelled = tokens.join(spellings(texts), "token", "left").groupBy("_t0", "_t1").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("spelling", "token").alias("s")))), lambda x: x.s).alias("s"))
     # what stands between the uncommon tokens, and the spellings, in turn
@@ -226,7 +226,8 @@ def canonical(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
     base = df.drop(out) if out in df.columns else df
     common = base.where(~F.coalesce(uncommon(column), F.lit(False))).withColumn(out, F.col(column))
     clash = {c: c + "_" for c in base.columns if c in ("_t0", "_t1")}
-    forms = odd_forms(df, column).withColumnRenamed("form", out)
+    texts = df.select(F.col(column).alias("text"))
+    forms = odd_forms(texts.where(uncommon("text")).select(*digests("text", "_t"), "text"), texts).withColumnRenamed("form", out)
     rest = base.withColumnsRenamed(clash).where(uncommon(column)).select("*", *digests(column, "_t")).join(forms, ["_t0", "_t1"])
     back = {v: k for k, v in clash.items()}
     return common.unionByName(rest.drop("_t0", "_t1").withColumnsRenamed(back).select(*common.columns))
@@ -243,11 +244,12 @@ def same_look(df: DataFrame, column: str, key: str, by: list[str], least: int =
     A hot text is spread over ``salts`` tasks and further by skew-join splitting.
     """
     rows = df.select(*by, F.col(key).alias("_key"), F.col(column).alias("_text")).where(F.col("_text").isNotNull())
-    stored = rows.select(*by, "_key", *digests("_text", "_t"), uncommon("_text").alias("_odd"))
-    forms = materialize(odd_forms(rows, "_text").select("_t0", "_t1", *digests("form", "_f"), (F.length(F.regexp_replace("form", LETTERS_AND_DIGITS, "")) >= least).alias("_long")), "forms")
-    odd = stored.where("_odd").join(forms, ["_t0", "_t1"])
+    # one pass over the texts keeps their digests, and the texts only where they are uncommon
+    stored = materialize(rows.select(*by, "_key", *digests("_text", "_t"), F.when(uncommon("_text"), F.col("_text")).alias("text")), "stored")
+    forms = materialize(odd_forms(stored.where("text is not null").select("_t0", "_t1", "text"), rows.select(F.col("_text").alias("text"))).select("_t0", "_t1", *digests("form", "_f"), (F.length(F.regexp_replace("form", LETTERS_AND_DIGITS, "")) >= least).alias("_long")), "forms")
+    odd = stored.where("text is not null").drop("text").join(forms, ["_t0", "_t1"])
     own = [*by, "_key", "_t0", "_t1", "_f0", "_f1"]
-    every = stored.where("not _odd").withColumns({"_f0": F.col("_t0"), "_f1": F.col("_t1")}).select(*own).unionByName(odd.select(*own))
+    every = stored.where("text is null").withColumns({"_f0": F.col("_t0"), "_f1": F.col("_t1")}).select(*own).unionByName(odd.select(*own))
     left = odd.where("_long and (_t0 <> _f0 or _t1 <> _f1)")
     left = left.select(*by, F.col("_key").alias("_a"), F.col("_t0").alias("_a0"), F.col("_t1").alias("_a1"), "_f0", "_f1", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     right = every.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int"))

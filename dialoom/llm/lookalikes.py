@@ -60,6 +60,9 @@ PLAIN = "\\t\\n\\r -~" + _ranges(VIETNAMESE)
 #: Java and Python pattern: a text with a match may be written in an uncommon way.
 UNCOMMON = f"[^{PLAIN}]"
 
+#: The same for Java, whose classes test ranges one by one but single characters below 256 at once.
+UNCOMMON_FAST = "[^{}Ā-ưẠ-ỹ]|[Ā-ư&&[^{}]]".format("".join(f"\\x{o:02x}" for o in range(256) if regex.match(f"[{PLAIN}]", chr(o))), "".join(c for c in VIETNAMESE if "Ā" <= c <= "ư"))
+
 _PLAIN_TEXT = regex.compile(f"[{PLAIN}]*+")
 _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _JOINED = regex.compile(r"(?<=\p{Extended_Pictographic}[\p{Emoji_Modifier}\p{Default_Ignorable_Code_Point}]*)‍(?=\p{Default_Ignorable_Code_Point}*\p{Extended_Pictographic})")

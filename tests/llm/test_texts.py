@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm import canonical_text as C
 from dialoom.llm import formatting_copies as K
-from dialoom.llm.lookalikes import UNCOMMON, bare, is_plain, letters_and_digits, look, no_accents
+from dialoom.llm.lookalikes import bare, is_plain, letters_and_digits, look, no_accents
 
 BASE = "Trước cửa Nhà hàng Hang Ninh Boa có tất cả 11 chiếc xe máy dựng ở đó."
 VARIANTS = [
@@ -76,8 +76,8 @@ def test_same_look_against_brute_force(spark):
 
 
 def test_java_and_python_agree_on_uncommon(spark):
-    texts = [t for t in TEXTS if t is not None]
-    got = [r.u for r in rows(spark, texts).orderBy("key").select(F.rlike("text", F.lit(UNCOMMON)).alias("u")).collect()]
+    texts = [t for t in TEXTS if t is not None] + [f"a{chr(o)}" for o in [*range(0x1FFF), 0x2028, 0x3000, 0xFF41, 0xFEFF, 0x1F600] if not 0xD800 <= o < 0xE000]
+    got = [r.u for r in rows(spark, texts).orderBy("key").select(C.uncommon("text").alias("u")).collect()]
     assert got == [not is_plain(t) for t in texts]
 
 
