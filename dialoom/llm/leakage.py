@@ -3,22 +3,24 @@
 Method: winnowing. Words are compared without case, accents, punctuation and look-alike
 differences. Every window of ``window`` successive k-grams keeps its least k-gram, on both
 sides by the same order, so any shared run of ``k + window - 1`` words has a common
-fingerprint. The order is by hash, with k-grams that many items share last: they are kept
-only where a window has nothing more telling. Fingerprints of corpus and test set are
+fingerprint. The order is by the number of passages that have a k-gram, then by hash: common
+ones are kept only where a window has nothing more telling. Fingerprints of corpus and test set are
 joined, and each hit is extended along its diagonal: a document contains an item if at
 least ``least`` words in a row of the item's passage are there, ``altered`` of them at most
 changed (a few insertions and deletions may shift the rest), and so many of the passage's
 telling k-grams (those few other items have) are whole that it isn't merely the same stock
 wording with another content.
 
-An item's instruction and question are no part of its passage: sentences and leading
-clauses that several items share are stock phrases and are cut off.
+An item's instruction and question are no part of its passage: sentences and leading clauses
+at its ends that stand beside ``STOCK`` or more different sentences are stock phrases and are cut
+off. A passage that several items share keeps its sentences, for they stand side by side each time;
+word statistics count it once.
 
-Scale. The test set is the stated query set. It goes to the workers in blocks of
-``BLOCK_CHARS`` characters, whose size is checked, one pass over the corpus for each; its
-word statistics cover the whole set. The corpus is read once per block and never shuffled;
-only hits leave a task. A text of any length is handled in time linear in it. Copies of a
-document are documents of their own.
+Scale. The test set is the stated query set. Up to ``block_chars`` characters go to the workers
+at once; a larger set goes in blocks whose real size is checked (long items in overlapping parts),
+one pass over the corpus and one index at a time, with statistics of the whole set. The corpus
+is never shuffled; only hits leave a task. A text of any length is handled in time linear in it.
+Copies of a document are documents of their own.
 
 Nulls and empty texts contain nothing. Items with short passages can't leak by definition.
 Repeated rows give one result. Empty tables give an empty result. Extra columns are ignored.
@@ -26,18 +28,21 @@ Repeated rows give one result. Empty tables give an empty result. Extra columns
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm.lookalikes import look, no_accents
+from dialoom.session import materialize
 
 #: Characters of test text that go to the workers at once.
 BLOCK_CHARS = 8_000_000
@@ -54,19 +59,63 @@ def _segments(text: str) -> list[list[str]]:
     return [w for w in (norm_words(s) for s in regex.split(r"(?<=[.!?])\s+|(?<=:)\s+|\n+", look(text))) if w]
 
 
-def passages(texts: dict[int, str], shared: Counter | None = None, n_items: int | None = None) -> dict[int, list[str]]:
-    """The words of each item without stock segments (those of many items) at its ends."""
+#: Different neighbours from which a sentence at an item's end is a stock phrase.
+STOCK = 3
+
+
+def neighbours(segments: list[list[str]]) -> Iterator[tuple[str, str, str]]:
+    """(sentence, "after" or "before", the sentence on that side) of one text; and (sentence, "in", the text's digest)."""
+    flat = [" ".join(w) for w in segments]
+    text = hashlib.blake2b("\n".join(flat).encode(), digest_size=8).hexdigest()
+    for x in flat:
+        yield x, "in", text
+    for x, y in zip(flat, flat[1:]):
+        yield x, "after", y
+        yield y, "before", x
+
+
+def stock_phrases(beside: Iterable[tuple[str, str, str]]) -> tuple[set[str], set[str]]:
+    """Phrases that open texts and phrases that close them, from :func:`neighbours` of all texts.
+
+    An instruction stands before different passages and a question after different ones. The
+    sentences of a passage that several items share have the same neighbours in all of them, but
+    for what opens and closes the items, which doesn't count.
+    """
+    near: dict[str, dict[str, set[str]]] = {side: defaultdict(set) for side in ("after", "before", "in")}
+    for x, side, y in beside:
+        near[side][x].add(y)
+
+    def spread(side: str, other: str, found: set[str]) -> set[str]:
+        """With phrases of several texts that stand only beside stock phrases."""
+        recur = [x for x, texts in near["in"].items() if len(texts) >= STOCK and near[side].get(x)]
+        while more := {x for x in recur if x not in found and near[side][x] <= found and near[other].get(x, set()) <= found}:
+            found = found | more
+        return found
+
+    sides = (("after", "before"), ("before", "after"))
+    apart = lambda side, but: {x for x, ys in near[side].items() if len(ys - but) >= STOCK}
+    first = {side: apart(side, set()) for side, _ in sides}
+    likely = {side: spread(side, other, apart(side, first[other])) for side, other in sides}
+    opening, closing = (spread(side, other, apart(side, likely[other])) for side, other in sides)
+    return opening, closing
+
+
+def passages(texts: Mapping[Any, str], opening: set[str] | None = None, closing: set[str] | None = None, ends: Mapping[Any, tuple[bool, bool]] | None = None) -> dict[Any, list[str]]:
+    """The words of each item without stock phrases at its ends.
+
+    ``ends``: of a part of a long item, whether its beginning and its end are the item's.
+    """
     parts = {i: _segments(t) for i, t in texts.items() if t}
-    if shared is None:
-        shared = Counter(s for p in parts.values() for s in {" ".join(w) for w in p})
-    many = max(3, 0.01 * (n_items or len(parts)))
+    if opening is None or closing is None:
+        opening, closing = stock_phrases(x for p in parts.values() for x in neighbours(p))
     out = {}
     for i, p in parts.items():
-        stock = [shared[" ".join(w)] >= many for w in p]
+        flat = [" ".join(w) for w in p]
+        from_start, to_end = ends[i] if ends else (True, True)
         a, b = 0, len(p)
-        while a < b and stock[a]:
+        while from_start and a < b and flat[a] in opening:
             a += 1
-        while b > a and stock[b - 1]:
+        while to_end and b > a and flat[b - 1] in closing:
             b -= 1
         out[i] = [w for s in p[a:b] for w in s]
     return out
@@ -79,22 +128,26 @@ def _grams_of(words: list[str], k: int) -> list[str]:
 class _Index:
     """The winnowed fingerprints of one block of test passages, ready to be sent to workers."""
 
-    def __init__(self, items: dict[int, list[str]], shared: Counter | None, n_items: int, k: int, window: int, least: int, altered: float, telling: float):
+    def __init__(self, items: Mapping[Any, list[str]], shared: Counter | None, n_passages: int | None, k: int, window: int, least: int, altered: float, telling: float):
+        """``items``: words by key, or by (key, part). ``shared``: in how many different passages of
+        the whole set each k-gram is; by default those of ``items``."""
         items = {i: w for i, w in items.items() if len(w) >= least}
         self.k, self.window, self.least, self.altered, self.telling = k, window, least, altered, telling
-        self.keys = np.array(sorted(items), dtype=np.int64)
+        names = sorted(items, key=lambda i: i if isinstance(i, tuple) else (i, 0))
+        self.keys = np.array([i[0] if isinstance(i, tuple) else i for i in names], dtype=np.int64)
         self.vocabulary = {w: n + 1 for n, w in enumerate(sorted({x for w in items.values() for x in w}))}
-        self.words = [np.array([self.vocabulary[x] for x in items[i]], dtype=np.int32) for i in self.keys]
+        self.words = [np.array([self.vocabulary[x] for x in items[i]], dtype=np.int32) for i in names]
         each = [self._grams(w) for w in self.words]
-        spelled = [_grams_of(items[i], k) for i in self.keys]
-        if shared is None:  # this block is the whole set
-            shared = Counter(g for gs in spelled for g in set(gs))
+        spelled = [_grams_of(items[i], k) for i in names]
+        if shared is None or n_passages is None:  # these are the whole set
+            different = {tuple(gs) for gs in spelled}
+            shared, n_passages = Counter(g for gs in different for g in set(gs)), len(different)
         grams = {h: shared[g] for hs, gs in zip(each, spelled) for h, g in zip(hs.tolist(), gs)}
         self.grams = np.array(sorted(grams), dtype=np.uint64)
-        noise = _mix(self.grams)
-        common = np.array([grams[int(g)] > max(2, 0.02 * n_items) for g in self.grams], dtype=bool)
-        self.rank = np.where(common, noise | np.uint64(1 << 63), noise >> np.uint64(1)) if len(self.grams) else noise
-        few = np.array([grams[int(g)] <= max(1, 0.02 * n_items) for g in self.grams], dtype=bool)
+        count = np.array([grams[int(g)] for g in self.grams], dtype=np.uint64)
+        # the order of fingerprints: by the number of passages, then by hash
+        self.rank = np.minimum(count, np.uint64(0x7FFF)) << np.uint64(48) | _mix(self.grams) >> np.uint64(16)
+        few = count <= max(1, 0.02 * n_passages)
         self.rare = [np.concatenate([np.zeros(k - 1, bool), few[np.searchsorted(self.grams, g)]]) for g in each]
         post: list[tuple[int, int, int]] = []
         for n, g in enumerate(each):
@@ -160,6 +213,8 @@ class _Index:
         within = np.arange(len(pos)) - np.repeat(np.cumsum(counts) - counts, counts)
         p = np.repeat(self.start[a], counts) + within
         item, q = self.post_item[p], self.post_at[p]
+        if not len(item):
+            return []
         off = pos - q
         text = np.searchsorted(begin, pos, side="right") - 1
         # around each hit: the most words that agree within ``least`` successive ones
@@ -218,13 +273,18 @@ class _Index:
             whole[d:] &= same[: n - d]
         have, tells, told = (np.concatenate([[0], np.cumsum(x)]) for x in (same, rare, whole))
         starts = np.flatnonzero(same)
-        ends = starts + 1
-        size = ends[None, :] - starts[:, None]
-        match = have[ends][None, :] - have[starts][:, None]
-        inner = np.minimum(starts + self.k - 1, n)
-        of, got = tells[ends][None, :] - tells[inner][:, None], told[ends][None, :] - told[inner][:, None]
-        near = ((got >= self.telling * of) & (got >= 2)) | (match >= (1 - self.altered / 3) * size)
-        return bool(((size >= self.least) & (match >= (1 - self.altered) * size) & near).any())
+        reach = 16 * self.least  # longer spans have good ones of this length within them
+        for c in range(0, len(starts), 1024):
+            own = starts[c : c + 1024]
+            ends = starts[c : np.searchsorted(starts, own[-1] + reach, side="right")] + 1
+            size = ends[None, :] - own[:, None]
+            match = have[ends][None, :] - have[own][:, None]
+            inner = np.minimum(own + self.k - 1, n)
+            of, got = tells[ends][None, :] - tells[inner][:, None], told[ends][None, :] - told[inner][:, None]
+            near = ((got >= self.telling * of) & (got >= 2)) | (match >= (1 - self.altered / 3) * size)
+            if ((size >= self.least) & (size <= reach) & (match >= (1 - self.altered) * size) & near).any():
+                return True
+        return False
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -268,40 +328,61 @@ class _Ids(dict):
 _NO_WORD = -2
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", least: int = 18, k: int = 3, window: int = 4, altered: float = 0.14, telling: float = 0.45) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", least: int = 18, k: int = 3, window: int = 4, altered: float = 0.14, telling: float = 0.45, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(item_id, doc_id): every document that contains part of an item's passage."""
     spark = docs.sparkSession
-    queries = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars")).first()
-    blocks = max(1, math.ceil((size.chars or 0) / BLOCK_CHARS))
+    queries = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where(F.col("k").isNotNull() & (F.length("t") > 0)).distinct()
+    corpus = docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text"))
+    options = (k, window, least, altered, telling)
+    chars = queries.agg(F.sum(F.length("t"))).first()[0] or 0
+    if chars <= block_chars:
+        own = passages({(r.k, n): r.t for n, r in enumerate(queries.collect())})
+        return _search(corpus, spark.sparkContext.broadcast(_Index(own, None, None, *options))).distinct()
+    # parts of long items overlap, so no span of ``least`` words is cut; stock phrases go at an item's ends only
+    part = max(1, block_chars // 16)
+    at = F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(part)))
+    parts = queries.select("k", "t", at.alias("p", "at")).select("k", "p", F.substring("t", F.col("at") + 1, F.lit(part + 64 * least)).alias("t"), (F.col("p") == 0).alias("first"), (F.col("at") + part >= F.length("t")).alias("last"))
+    parts, blocks = materialize(parts, "items"), math.ceil(2 * chars / block_chars)
+    block = lambda n: F.pmod(F.xxhash64("k", "p"), F.lit(n))
+    while parts.groupBy(block(blocks).alias("b")).agg(F.sum(F.length("t")).alias("n")).agg(F.max("n")).first()[0] > 1.5 * block_chars:
+        blocks *= 2
     found = []
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
-        own = {r.k: r.t for r in rows}
-        segments, grams = _statistics(queries, own, k) if blocks > 1 else (None, None)
-        index = _Index(passages(own, segments, size.n), grams, size.n, k, window, least, altered, telling)
-        found.append(_search(docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")), spark.sparkContext.broadcast(index)))
-    return reduce(DataFrame.unionByName, found).distinct() if blocks > 1 else found[0].distinct()
+        rows = parts.where(block(blocks) == b).collect()  # their size is checked above
+        own = {(r.k, r.p): r.t for r in rows}
+        opening, closing, grams, n = _statistics(parts, own, k)
+        kept = passages(own, opening, closing, {(r.k, r.p): (r["first"], r["last"]) for r in rows})
+        index = spark.sparkContext.broadcast(_Index(kept, grams, n, *options))
+        found.append(materialize(_search(corpus, index), "leaks"))
+        index.destroy()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _statistics(queries: DataFrame, own: dict[int, str], k: int) -> tuple[Counter, Counter]:
-    """In how many of all items the segments and the k-grams of one block occur."""
+def _statistics(parts: DataFrame, own: Mapping[Any, str], k: int) -> tuple[set[str], set[str], Counter, int]:
+    """Stock phrases of one block, in how many different passages of all its k-grams are, and the number of passages."""
 
-    def parts(t: str) -> set[str]:
+    def wanted_of(t: str) -> set[str]:
         segments = _segments(t)
         return {"s " + " ".join(s) for s in segments} | {"g " + g for g in _grams_of([w for s in segments for w in s], k)}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            c: Counter = Counter()
+            out = set()
             for t in pdf["t"]:
-                c.update(parts(t))
-            yield pd.DataFrame({"x": list(c), "n": list(c.values())})
-
-    wanted = queries.sparkSession.createDataFrame([(x,) for x in {x for t in own.values() for x in parts(t)}], "x string")
-    rows = queries.select("t").mapInPandas(count, "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")).join(wanted, "x", "left_semi").collect()
-    pick = lambda kind: Counter({r.x[2:]: r.n for r in rows if r.x[0] == kind})
-    return pick("s"), pick("g")
+                segments = _segments(t)
+                out.update(("s " + x, f"{side} {y}") for x, side, y in neighbours(segments))
+                # a passage goes by its longest sentence: items that share it count once
+                name = " ".join(max(segments, key=len)) if segments else ""
+                out.update(("g " + g, name) for g in _grams_of([w for s in segments for w in s], k))
+            yield pd.DataFrame(sorted(out), columns=["x", "y"])
+
+    spark = parts.sparkSession
+    wanted = spark.createDataFrame([(x,) for x in {x for t in own.values() for x in wanted_of(t)}], "x string")
+    seen = parts.select("t").mapInPandas(spell, "x string, y string").join(wanted, "x", "left_semi").distinct()
+    beside = [(r.x[2:], *r.y.split(" ", 1)) for r in seen.where(F.startswith("x", F.lit("s "))).withColumn("_r", F.row_number().over(Window.partitionBy("x", F.substring_index("y", " ", 1)).orderBy("y"))).where(F.col("_r") <= 4 * STOCK).collect()]
+    grams = Counter({r.x[2:]: r.n for r in seen.where(F.startswith("x", F.lit("g "))).groupBy("x").agg(F.count("*").alias("n")).collect()})
+    opening, closing = stock_phrases(beside)
+    return opening, closing, grams, parts.select("k").distinct().count()
 
 
 def _search(docs: DataFrame, index) -> DataFrame:
