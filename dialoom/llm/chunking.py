@@ -8,8 +8,8 @@ an edit moves the cuts beside it and later ones fall where they fell before.
 
 Sizes are counted in tokens and checked on the finished piece. A piece starts up to
 ``overlap`` tokens before the end of the piece before it, at a word. Text without any
-boundary is cut between characters at landmarks of its own. Pieces cover the text without
-gaps. A text of at most ``most`` tokens is one piece.
+boundary, and any word larger than a quarter of the limit, is cut between characters at
+landmarks of its own. Pieces cover the text without gaps. A text of at most ``most`` tokens is one piece.
 
 Null and empty texts give no piece. Repeated rows give equal pieces. An empty table gives an
 empty result. Extra columns are ignored.
@@ -35,10 +35,6 @@ KINDS = ("word", "sentence", "line", "paragraph", "heading", "end")
 _ENDS = regex.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _ENUMERATION = regex.compile(r"^\W*(?:\p{N}{1,3}|\p{L})[.)]$")
 _HEADING = regex.compile(r"^(?:#{1,6}$|#{1,6}\p{L})")
-#: Characters of a run without spaces beyond which it is taken apart.
-_LONG = 120
-
-
 class _Units(dict):
     """What is known of a chunk: an index into growing arrays of size, hash and boundary level."""
 
@@ -66,18 +62,22 @@ class _Units(dict):
             self.rows.clear()
 
 
-def _micro(chunk: str) -> list[str]:
-    """A run without spaces in small parts that end at landmarks of their own."""
-    out, start = [], 0
-    for i in range(4, len(chunk) + 1):
-        if i - start >= 32 or (i - start >= 4 and zlib.crc32(chunk[i - 4 : i].encode()) % 12 == 0):
+def _micro(chunk: str, most: int) -> list[str]:
+    """A run without spaces in small parts, of ``most`` / 16 characters at most, that end at landmarks of their own."""
+    out, start, longest = [], 0, max(1, min(32, most // 16))
+    least = min(4, longest)
+    for i in range(least, len(chunk) + 1):
+        if i - start >= longest or (i - start >= least and zlib.crc32(chunk[i - least : i].encode()) % 12 == 0):
             out.append(chunk[start:i])
             start = i
     return [*out, chunk[start:]] if start < len(chunk) else out
 
 
-def _chunks(text: str) -> tuple[list[str], list[int]]:
-    """Words with the line breaks after them, and the white space (0 or 1) that follows each."""
+def _chunks(text: str, most: int, units: _Units) -> tuple[list[str], list[int]]:
+    """Words with the line breaks after them, and the white space (0 or 1) that follows each.
+
+    A word of more than a quarter of ``most`` tokens is taken apart (a token is a byte at least).
+    """
     words, gaps = [], []
     for line in text.split("\n"):
         parts = line.split(" ")
@@ -85,10 +85,12 @@ def _chunks(text: str) -> tuple[list[str], list[int]]:
         gaps += [1] * (len(parts) - 1) + [0]
         words[-1] += "\n"
     words[-1] = words[-1][:-1]
-    if len(text) > _LONG and max(map(len, words)) > _LONG:
+    room = most // 4
+    if any(4 * len(w) >= room and len(w.encode()) >= room for w in set(words)):
         fine, after = [], []
         for w, g in zip(words, gaps):
-            parts = _micro(w) if len(w) > _LONG else [w]
+            large = 4 * len(w) >= room and len(w.encode()) >= room and (len(w) > 2 * most or units.rows[units[w]][0] > room)
+            parts = _micro(w, most) if large else [w]
             fine += parts
             after += [0] * (len(parts) - 1) + [g]
         words, gaps = fine, after
@@ -110,8 +112,8 @@ def cut(text: str, units: _Units, most: int, least: int, overlap: int) -> list[t
         whole = sizer.size(text)
         if whole <= most:
             return [(0, len(text), len(KINDS) - 1, whole)]
-    words, gaps = _chunks(text)
     units.tidy()
+    words, gaps = _chunks(text, most, units)
     at = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
     seen, inverse = np.unique(at, return_inverse=True)
     size, hashed, level, heads, length = (np.array(c)[inverse] for c in zip(*(units.rows[i] for i in seen)))
