@@ -68,8 +68,13 @@ def _inside(sizer: Sizer, text: str, start: int, end: int, capacity: int) -> lis
     """Cuts between characters, as late as the capacity allows."""
     out = []
     while start < end:
-        stop = min(end, start + 8 * capacity)
+        reach = 8 * capacity
+        stop = min(end, start + reach)
         ids = sizer.encoding.encode_ordinary(text[start:stop])
+        while len(ids) < capacity and stop < end:  # few tokens of many characters
+            reach *= 2
+            stop = min(end, start + reach)
+            ids = sizer.encoding.encode_ordinary(text[start:stop])
         if len(ids) > capacity:
             whole = sizer.encoding.decode_bytes(ids[:capacity]).decode("utf-8", "ignore")
             stop = start + max(1, len(whole))
@@ -101,27 +106,40 @@ def best_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     count = np.array([histogram[s] for s in sizes], dtype=np.float64)
     n = len(sizes)
     number, mass = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * sizes)])
-    # cost[i, j]: sizes i..j in one bucket bounded by sizes[j]
-    cost = sizes[None, :] * (number[1:][None, :] - number[:-1][:, None]) - (mass[1:][None, :] - mass[:-1][:, None])
-    cost[np.tril_indices(n, -1)] = np.inf
-    best, back = cost[0].copy(), []
-    for _ in range(buckets - 1):
-        through = best[:-1, None] + cost[1:, :]  # the bucket before ends at i - 1
-        choice = through.argmin(0)
-        value = through[choice, np.arange(n)]
-        better = value < best
-        back.append(np.where(better, choice, -1))
-        best = np.where(better, value, best)
-    bounds, j = [], n - 1
-    for k in range(len(back) - 1, -1, -1):
-        bounds.append(int(sizes[j]))
-        i = back[k][j]
-        if i < 0:  # fewer buckets are as good; the bound stands for all that is left here
-            bounds.pop()
-            continue
-        j = int(i)
-    bounds.append(int(sizes[j]))
-    return sorted(set(bounds))
+    top = np.concatenate([[0], sizes]).astype(np.float64)
+    # one bucket of the sizes q + 1 .. p wastes padding(q, p), which is concave (Monge): the best q
+    # never falls as p grows, so each layer is solved by divide and conquer, all middles of a depth at once
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    back = np.zeros((buckets, n + 1), np.int32)
+    step = 1 << max(0, n.bit_length() - 1)
+    for k in range(buckets):
+        after, choice = np.full(n + 1, np.inf), np.zeros(n + 2, np.int64)
+        choice[n + 1] = n
+        known = np.array([0, n + 1])  # borders whose choice bounds their neighbours'
+        after[0] = 0.0
+        width = step
+        while width:
+            p = np.arange(width, n + 1, 2 * width)
+            at = np.searchsorted(known, p)
+            low, high = choice[known[at - 1]], np.minimum(choice[known[at]], p)
+            size = high - low + 1
+            first = np.cumsum(size) - size
+            q = np.arange(size.sum()) - np.repeat(first - low, size)
+            pp = np.repeat(p, size)
+            value = best[q] + top[pp] * (number[pp] - number[q]) - (mass[pp] - mass[q])
+            after[p] = np.minimum.reduceat(value, first)
+            hit = np.flatnonzero(value == np.repeat(after[p], size))
+            choice[p] = q[hit[np.searchsorted(hit, first)]]
+            known = np.sort(np.concatenate([known, p]))
+            width //= 2
+        best, back[k] = after, choice[: n + 1]
+    bounds, p = set(), n
+    for k in range(buckets - 1, -1, -1):
+        if p > back[k][p]:
+            bounds.add(int(sizes[p - 1]))
+        p = int(back[k][p])
+    return sorted(bounds)
 
 
 def recipes(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:

@@ -60,11 +60,27 @@ def test_leaks(spark):
     out = leakage.leaks(df, items)
     assert {(r.item_id, r.doc_id) for r in out.collect()} == want and out.count() == len(want)
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
-    old, leakage.BLOCK_CHARS = leakage.BLOCK_CHARS, 700
-    try:
-        assert {(r.item_id, r.doc_id) for r in leakage.leaks(df, items).collect()} == want
-    finally:
-        leakage.BLOCK_CHARS = old
+    # items in several blocks and parts
+    assert {(r.item_id, r.doc_id) for r in leakage.leaks(df, items, block_chars=3000).collect()} == want
+
+
+@pytest.mark.parametrize("sharing", [1, 2, 3, 5, 30])
+def test_a_passage_that_items_share_leaks_for_all_of_them(spark, sharing):
+    shared = f"{sentence()}. {sentence()}. {sentence()}."
+    ask = ["Hỏi: đúng hay sai?", "Hỏi: ở đâu?", "Hỏi: vì sao?", "Hỏi: bao giờ?", "Hỏi: ai nói?"]
+    items = [(i, f"Đọc đoạn văn sau: {shared} {ask[i % 5]}") for i in range(sharing)]
+    items += [(100 + i, f"{'Đọc đoạn văn sau: ' if i % 2 else ''}{sentence()}. {sentence()}. {ask[i % 5]}") for i in range(100)]
+    ws = leakage.passages(dict(items))
+    assert all(len(ws[i]) == 90 for i in range(sharing)) and all(len(ws[100 + i]) == 60 for i in range(100))
+    docs = spark.createDataFrame([(1, "x " * 30 + shared), (2, " ".join(alter(ws[0][20:60], 10)))], "doc_id bigint, text string")
+    got = {(r.item_id, r.doc_id) for r in leakage.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, d) for i in range(sharing) for d in (1, 2)}
+
+
+def test_long_items_take_linear_time():
+    words = [f"w{i % 997}" for i in range(60_000)]
+    ix = leakage._Index({1: words}, None, None, 3, 4, 18, 0.14, 0.45)
+    assert ix.search([" ".join(words[30_000:30_400]), " ".join(words)], leakage._Ids(ix.vocabulary)) == [(0, 1), (1, 1)]
 
 
 def test_every_shared_run_has_a_common_fingerprint():
@@ -109,6 +125,20 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_containers_of_few_tokens_and_many_characters_are_full():
+    sizer = Sizer.get()
+    text = " " * 40_000  # many characters a token
+    got = packing.split_text(sizer, text, 50)
+    assert "".join(text[a:b] for a, b, _ in got) == text and all(n <= 50 for *_, n in got)
+    parts = packing._inside(sizer, text, 0, len(text), 50)
+    assert all(sizer.exact(text[a:b]) >= 45 for a, b in parts[:-1])
+
+
+def test_bounds_of_a_large_capacity():
+    h = {s: 1_000_000 // s for s in range(1, 20_000)}
+    assert len(packing.best_bounds(h, 64)) == 64
+
+
 @pytest.mark.parametrize("buckets", [1, 2, 3, 5, 9])
 def test_bounds_are_optimal(buckets):
     from itertools import combinations
@@ -152,6 +182,15 @@ def test_pieces_cover_and_fit(text):
         assert s.exact(text[a2:b]) <= 64 + 8
 
 
+@pytest.mark.parametrize("most,least,overlap", [(64, 24, 8), (100, 40, 16), (128, 40, 16), (512, 160, 64)])
+def test_small_limits_hold(most, least, overlap):
+    u = chunking._Units(Sizer.get())
+    for text in (" ".join("😀𝒳𝕐🜁" * 27 + "x" for _ in range(40)), "𠀀" * 5000, ESSAY, " ".join("ǣ" * n for n in range(1, 118)), "x" * 119 + " " + ESSAY):
+        got = chunking.cut(text, u, most, least, overlap)
+        assert got[0][0] == 0 and got[-1][1] == len(text) and all(b[0] <= a[1] for a, b in zip(got, got[1:]))
+        assert all(n == u.sizer.exact(text[a:b]) <= most for a, b, _, n in got)
+
+
 def test_natural_boundaries_first():
     got = chunking.cut(ESSAY, chunking._Units(Sizer.get()), 512, 160, 64)
     kinds = [chunking.KINDS[k] for *_, k, _ in got[:-1]]
