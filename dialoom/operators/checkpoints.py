@@ -24,3 +24,10 @@ def latest(names: DataFrame, numeric: bool = False) -> DataFrame:
 def status(counts: dict[str, DataFrame]) -> DataFrame:
     """(what, n) for each named table."""
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counts.items()])
+
+
+def status_report(counts: dict[str, DataFrame], names: DataFrame) -> DataFrame:
+    """One row: a count for each named table, and the checkpoints in the order of their names."""
+    found = checkpoints(names).agg(F.array_sort(F.collect_list("name")).alias("checkpoints"))
+    wide = status(counts).groupBy().agg(*(F.max(F.when(F.col("what") == what, F.col("n"))).alias(what) for what in counts))
+    return wide.join(F.broadcast(found))

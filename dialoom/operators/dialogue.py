@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import basename
 from dialoom.functions.scalar import IMAGE_PREFIX
-from dialoom.operators.ranking import with_global_index
+from dialoom.operators.ranking import running_total
 
 # The two role dialects.
 USER_ROLES = ("user", "human")
@@ -83,11 +83,20 @@ def qa_turns(conversations: DataFrame, keep_empty_question: bool = True) -> Data
     A null answer makes a pair; a null question makes none. With ``keep_empty_question``
     false an empty question makes none either. Null roles and all other roles are skipped.
     """
+    return _paired(conversations, keep_empty_question).select("conv_id", "turn", "question", "answer")
+
+
+def _paired(conversations: DataFrame, keep_empty_question: bool = True) -> DataFrame:
     once = delivered_once(conversations)
     turns = once.select("conv_id", "_block", "turn", "role", "content").where(is_user() | is_assistant()).withColumn("_carried", F.lit(False))
+    if _has_long(conversations):  # the hand-over rows; without long dialogues there are none
+        turns = turns.unionByName(_carried(conversations))
     w = Window.partitionBy("conv_id", "_block").orderBy("turn")
-    q = F.lag(F.when(is_user(), F.col("content"))).over(w)
-    return _pairs_of(turns.unionByName(_carried(conversations)) if _has_long(conversations) else turns, q, keep_empty_question)
+    question = F.lag(F.when(is_user(), F.col("content"))).over(w)
+    pairs = turns.withColumn("question", question).where(is_assistant() & F.col("question").isNotNull() & ~F.col("_carried"))
+    if not keep_empty_question:
+        pairs = pairs.where("question <> ''")
+    return pairs.select("conv_id", "_block", "turn", "question", F.col("content").alias("answer"))
 
 
 def _has_long(conversations: DataFrame) -> bool:
@@ -97,26 +106,16 @@ def _has_long(conversations: DataFrame) -> bool:
 
 def _carried(conversations: DataFrame) -> DataFrame:
     """For each further block of a long dialogue, the last question or answer before it."""
-    blocks = conversations.where(F.col("turn") >= BLOCK).select("conv_id", F.floor(F.col("turn") / BLOCK).alias("_block")).distinct()
-    kept = (
-        conversations.where(is_user() | is_assistant()).join(blocks.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", F.floor(F.col("turn") / BLOCK).alias("_b"), "turn", "role", "content", "loaded_at", "msg_id")
-    )
-    first = F.struct(F.col("turn"), -F.unix_micros(F.col("loaded_at").cast("timestamp")), -F.col("msg_id"))
-    last = kept.groupBy("conv_id", "_b").agg(F.max_by(F.struct("turn", "role", "content"), first).alias("t"))
+    long = conversations.where(F.col("turn") >= BLOCK).select("conv_id").distinct()
+    once = delivered_once(conversations.join(long, "conv_id", "left_semi"))
+    last = once.where(is_user() | is_assistant()).groupBy("conv_id", "_block").agg(F.max_by(F.struct("turn", "role", "content"), "turn").alias("t"))
+    blocks = once.where("_block > 0").select("conv_id", "_block").distinct()
     w = Window.partitionBy("conv_id").orderBy("_block")
-    both = blocks.join(last.withColumnRenamed("_b", "_block"), ["conv_id", "_block"], "full")
+    both = blocks.join(last, ["conv_id", "_block"], "full")
     carried = both.withColumn("t", F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_block > 0 and t is not null")
     return carried.select("conv_id", "_block", "t.turn", "t.role", "t.content", F.lit(True).alias("_carried"))
 
 
-def _pairs_of(turns: DataFrame, q: Column, keep_empty_question: bool) -> DataFrame:
-    pairs = turns.withColumn("question", q).where(is_assistant() & F.col("question").isNotNull() & ~F.col("_carried"))
-    if not keep_empty_question:
-        pairs = pairs.where("question <> ''")
-    return pairs.select("conv_id", "turn", "question", F.col("content").alias("answer"))
-
-
 def qa_pairs_nested(df: DataFrame, key: str = "id", keep_empty_question: bool = True) -> DataFrame:
     """The same rule over nested dialogues, inside each row: no shuffle at all."""
     kept = F.filter(F.transform("conversations", lambda t, i: F.struct(i.cast("bigint").alias("turn"), t.role.alias("role"), t.content.alias("content"))), lambda t: t.role.isin(*USER_ROLES, *ASSISTANT_ROLES))
@@ -129,9 +128,35 @@ def qa_pairs_nested(df: DataFrame, key: str = "id", keep_empty_question: bool =
     return rows.select(F.col(key).alias("conv_id"), F.explode("_pairs").alias("p")).select("conv_id", "p.turn", F.col("p.before.content").alias("question"), "p.answer")
 
 
+def _before(conversations: DataFrame, keep_empty_question: bool) -> DataFrame:
+    """(conv_id, _block, _first): the number of pairs before each block of a dialogue. Reads no further than
+    whether a text is there, so no text moves."""
+    slim = conversations.withColumn("content", F.when(F.col("content") == "", "").when(F.col("content").isNotNull(), "x"))
+    counts = _paired(slim, keep_empty_question).groupBy("conv_id", "_block").agg(F.count("*").alias("n"))
+    return running_total(counts, ["conv_id", "_block"], "n", "_first")
+
+
+def samples(conversations: DataFrame, keep_empty_question: bool = True, texts: bool = True) -> DataFrame:
+    """The pairs of :func:`qa_turns` with ``id`` = "{conv_id}_{n}", n counting all pairs in (conv_id, turn) order from 0.
+
+    The number of a pair is that of the pairs of earlier dialogues, a sum over one count a dialogue,
+    and its place in its own. Texts are shuffled once, for the pairing; without ``texts`` not at all.
+    """
+    first = _before(conversations, keep_empty_question)
+    if not texts:
+        conversations = conversations.withColumn("content", F.when(F.col("content") == "", "").when(F.col("content").isNotNull(), "x"))
+    w = Window.partitionBy("conv_id", "_block").orderBy("turn")
+    pairs = _paired(conversations, keep_empty_question).withColumn("_n", F.row_number().over(w) - 1)
+    out = pairs.join(first, ["conv_id", "_block"]).withColumn("id", F.concat_ws("_", F.col("conv_id").cast("string"), (F.col("_first") + F.col("_n")).cast("string")))
+    return out.select("conv_id", "turn", *(["question", "answer"] if texts else []), "id")
+
+
 def with_sample_id(pairs: DataFrame) -> DataFrame:
-    """Add ``id`` = "{conv_id}_{n}", n counting all pairs in (conv_id, turn) order from 0."""
-    return with_global_index(pairs, ["conv_id", "turn"], "n").withColumn("id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("n").cast("string"))).drop("n")
+    """Add ``id`` = "{conv_id}_{n}" to pairs of any origin, n counting all of them in (conv_id, turn) order from 0."""
+    counts = pairs.groupBy("conv_id").agg(F.count("*").alias("n"))
+    first = running_total(counts, ["conv_id"], "n", "_first")
+    numbered = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    return numbered.join(first, "conv_id").withColumn("id", F.concat_ws("_", F.col("conv_id").cast("string"), (F.col("_first") + F.col("_n")).cast("string"))).select(*pairs.columns, "id")
 
 
 def image_name(key: Column | str = "conv_id") -> Column:
@@ -154,13 +179,13 @@ def message_records(samples: DataFrame, folder: str = "images") -> DataFrame:
     return samples.select("id", path.alias("image"), F.array(user, bot).alias("conversations"), F.col("conv_id").alias("original_index"))
 
 
-def messages_to_records(messages: DataFrame) -> DataFrame:
-    """Format A to B: the first text part of the first message, the first part of the second."""
+def messages_to_records(messages: DataFrame, *keep: str) -> DataFrame:
+    """Format A to B: the first text part of the first message, the first part of the second; ``keep`` names further columns."""
     texts = F.filter(F.get("conversations", F.lit(0)).content, lambda c: c.type == "text")
     question = F.coalesce(F.get(texts, F.lit(0)).text, F.lit(""))
     answer = F.get(F.get("conversations", F.lit(1)).content, F.lit(0)).text
     turn = lambda who, what: F.struct(F.lit(who).alias("from"), what.alias("value"))
-    return messages.select("id", basename("image").alias("image"), F.array(turn("human", F.concat(F.lit(IMAGE_PREFIX), question)), turn("gpt", answer)).alias("conversations"))
+    return messages.select("id", basename("image").alias("image"), F.array(turn("human", F.concat(F.lit(IMAGE_PREFIX), question)), turn("gpt", answer)).alias("conversations"), *keep)
 
 
 def first_of(role: str) -> Column:

@@ -10,15 +10,15 @@ from dialoom.functions.similarity import similarity
 from dialoom.operators.dialogue import first_of
 
 
-def prompts_by_role(records: DataFrame) -> DataFrame:
+def prompts_by_role(records: DataFrame, *keep: str) -> DataFrame:
     """Question and truth: first human and first gpt value; the prompt prefix goes, and the ends are trimmed."""
-    return records.select("id", py_strip(strip_prompt(first_of("human"))).alias("question"), first_of("gpt").alias("truth"))
+    return records.select(*keep, "id", py_strip(strip_prompt(first_of("human"))).alias("question"), first_of("gpt").alias("truth"))
 
 
-def prompts_by_position(records: DataFrame) -> DataFrame:
+def prompts_by_position(records: DataFrame, *keep: str) -> DataFrame:
     """Question and truth by position, whatever the roles; the prefix goes, nothing is trimmed."""
     at = lambda i: F.get("conversations", F.lit(i)).value
-    return records.select("id", strip_prompt(at(0)).alias("question"), at(1).alias("truth"))
+    return records.select(*keep, "id", strip_prompt(at(0)).alias("question"), at(1).alias("truth"))
 
 
 def scored(predictions: DataFrame, with_similarity: bool = False) -> DataFrame:
@@ -51,6 +51,6 @@ def eval_report(rows: DataFrame, checkpoint: str, order: str = "pred_id", detail
 
 
 def best_per_id(rows: DataFrame) -> DataFrame:
-    """The last scored prediction of each id."""
-    w = Window.partitionBy("id").orderBy(F.col("scored_at").desc_nulls_last(), F.desc("pred_id"))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last scored prediction of each id: a maximum, combined before the shuffle."""
+    last = F.struct(F.coalesce(F.col("scored_at").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01"))), F.col("pred_id"))
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), last).alias("r")).select("r.*")

@@ -1,11 +1,30 @@
-"""Exact global positions without a single-task window."""
+"""Exact global positions without a single-task window.
+
+Range partitioning reads its input twice (for the bounds, then for the rows), so inputs are
+written first. The number of ranges follows the number of rows.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.session import materialize, shuffle_partitions
+from dialoom.session import materialize, shuffle_partitions, written
+
+
+#: Rows of one range.
+RANGE_ROWS = 2_000_000
+
+
+def _ordered(df: DataFrame, order_by: list, partitions: int | None) -> DataFrame:
+    stored = df if written(df) else materialize(df, "unordered")
+    n = partitions or max(shuffle_partitions(df.sparkSession), math.ceil(stored.count() / RANGE_ROWS))
+    return stored.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
 
 
 def with_global_index(df: DataFrame, order_by: list, name: str = "idx", partitions: int | None = None) -> DataFrame:
@@ -13,11 +32,10 @@ def with_global_index(df: DataFrame, order_by: list, name: str = "idx", partitio
 
     Rows are range-partitioned and sorted, so no task sees more than its range (equal keys
     may be split when ``order_by`` ends in a unique column). The driver only gets one count
-    per partition; the offsets go back as a map of that size.
+    per partition; the offsets go back as a map of that size. All columns move: give it keys
+    and join the rest, or use :func:`running_total`.
     """
-    n = partitions or shuffle_partitions(df.sparkSession)
-    numbered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("_mid", F.monotonically_increasing_id())
-    stored = materialize(numbered, "ranked")
+    stored = materialize(_ordered(df, order_by, partitions).withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     part = F.shiftrightunsigned("_mid", 33)
     counts = stored.groupBy(part.alias("p")).count().collect()
     offset, start = [], 0
@@ -27,5 +45,25 @@ def with_global_index(df: DataFrame, order_by: list, name: str = "idx", partitio
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     if not offset:
         return stored.withColumn(name, local).drop("_mid")
-    base = F.broadcast(df.sparkSession.createDataFrame(offset, "_p bigint, _base bigint"))
+    base = F.broadcast(df.sparkSession.createDataFrame(offset, "_p bigint, _base bigint"))  # one row a partition
     return stored.withColumn("_p", part).join(base, "_p").withColumn(name, F.col("_base") + local).drop("_mid", "_p", "_base")
+
+
+def running_total(df: DataFrame, keys: list[str], n: str, name: str, partitions: int | None = None) -> DataFrame:
+    """(keys, ``name``): the sum of ``n`` over all rows before this one in the order of ``keys``, bigints that are unique."""
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, start = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            sums = pdf[n].cumsum() + start
+            yield pdf[keys].assign(_part=part, _before=sums - pdf[n], _n=pdf[n])
+            start = int(sums.iloc[-1]) if len(sums) else start
+
+    kinds = ", ".join(f"`{k}` bigint" for k in keys)
+    stored = materialize(_ordered(df.select(*keys, n), keys, partitions).mapInPandas(within, f"{kinds}, _part int, _before bigint, _n bigint"), "totals")
+    offset, start = [], 0
+    for r in sorted(stored.groupBy("_part").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r._part):
+        offset.append((r._part, start))
+        start += r.n
+    base = F.broadcast(df.sparkSession.createDataFrame(offset, "_part int, _base bigint"))  # one row a partition
+    return stored.join(base, "_part").select(*keys, (F.col("_base") + F.col("_before")).alias(name))

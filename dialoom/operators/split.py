@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.operators.ranking import with_global_index
+from dialoom.session import materialize
+
+#: Rows that are left to sort on the driver when the cut is looked for.
+FEW = 1000
+
+
+def _cut(hashes: DataFrame, rank: int) -> tuple[str, str | None] | None:
+    """The (hash, key) at a position of their order: counts by the next four digits lead to it."""
+    prefix = ""
+    while True:
+        rows = hashes.where(F.startswith("_h", F.lit(prefix))) if prefix else hashes
+        counts = rows.groupBy(F.substring("_h", len(prefix) + 1, 4).alias("d")).count().orderBy("d").collect()  # at most 65,536
+        for r in counts:
+            if rank < r["count"]:
+                break
+            rank -= r["count"]
+        else:
+            return None
+        prefix += r.d
+        if r["count"] <= FEW:
+            found = hashes.where(F.startswith("_h", F.lit(prefix))).orderBy("_h", "_key").collect()
+            return found[rank]._h, found[rank]._key
+        if len(prefix) == 32:  # one key, many times
+            return prefix, hashes.where(F.col("_h") == prefix).agg(F.min("_key")).first()[0]
 
 
 def shuffle_split(df: DataFrame, key: str = "id", share: float = 0.9, seed: int = 42) -> DataFrame:
     """An exact split: the first floor(n * share) rows in the order of md5("{seed}:{key}") train.
 
     The same rows come out on any cluster and in any engine with md5. (A pseudo-random
-    permutation of another runtime isn't reproduced.) Sizes are exact, unlike randomSplit's.
+    permutation of another runtime isn't reproduced.) Sizes are exact, unlike randomSplit's, but
+    for rows with equal keys, which share a side. Only keys are read to find where to cut; then
+    each row is compared with that one value, and nothing is shuffled. A null key comes last.
     """
-    ranked = with_global_index(df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))), ["_h", key], "_rank").drop("_h")
-    total = df.agg(F.count("*").alias("_total"))
-    return ranked.join(F.broadcast(total)).withColumn("split", F.when(F.col("_rank") < F.floor(F.col("_total") * share), "train").otherwise("val")).drop("_rank", "_total")
+    h = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit("g" * 32))
+    hashes = materialize(df.select(h.alias("_h"), F.col(key).cast("string").alias("_key")), "hashes")
+    at = _cut(hashes, math.floor(hashes.count() * share))
+    if at is None:  # nothing is left for the other side
+        return df.withColumn("split", F.lit("train"))
+    first = (h < at[0]) | ((h == at[0]) & (F.col(key).cast("string") < F.lit(at[1])))
+    return df.withColumn("split", F.when(first, "train").otherwise("val"))
 
 
 def split_summary(df: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom import schemas, sinks, sources
 from dialoom.functions import ellipsis
-from dialoom.operators import checkpoints, dialogue, evaluate, infer, split, stats
+from dialoom.operators import checkpoints, dialogue, evaluate, infer, pipeline, split, stats
+from dialoom.session import shared_dir
 from dialoom.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +33,11 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _samples(s: SparkSession, d: str) -> DataFrame:
-    return dialogue.with_sample_id(_pairs(s, d))
+    return dialogue.samples(_conv(s, d))
+
+
+def _sample_ids(s: SparkSession, d: str) -> DataFrame:
+    return dialogue.samples(_conv(s, d), texts=False)
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
@@ -71,10 +78,11 @@ def training_records(s: SparkSession, d: str) -> DataFrame:
 
 def message_records(s: SparkSession, d: str) -> DataFrame:
     a = dialogue.message_records(_samples(s, d))
-    b = dialogue.messages_to_records(a).select("id", F.col("image").alias("file"), F.get("conversations", F.lit(0)).value.alias("prompt"))
-    first = F.get("conversations", F.lit(0)).content
-    flat = a.select("id", "image", "original_index", F.get(first, F.lit(0)).type.alias("type_0"), F.get(first, F.lit(1)).text.alias("question"), F.get(F.get("conversations", F.lit(1)).content, F.lit(0)).text.alias("answer"))
-    return flat.join(b, "id")
+    first, second = (F.get("conversations", F.lit(i)).content for i in (0, 1))
+    flat = a.withColumns({"type_0": F.get(first, F.lit(0)).type, "question": F.get(first, F.lit(1)).text, "answer": F.get(second, F.lit(0)).text, "path": F.col("image")})
+    b = dialogue.messages_to_records(flat, "path", "original_index", "type_0", "question", "answer")
+    value = lambda i: F.get("conversations", F.lit(i)).value
+    return b.select("id", F.col("path").alias("image"), "original_index", "type_0", "question", "answer", F.col("image").alias("file"), value(0).alias("prompt"), value(1).alias("record_answer"))
 
 
 def exact_match_by_source(s: SparkSession, d: str) -> DataFrame:
@@ -82,17 +90,85 @@ def exact_match_by_source(s: SparkSession, d: str) -> DataFrame:
     return p.select("pred_id", "id", "exact_match")
 
 
-def batch_infer_stub(s: SparkSession, d: str) -> DataFrame:
-    def make():
-        def answer(image, question):
-            if not question:
-                raise ValueError("no question")
-            return question[::-1]
+def _stub():
+    """An answerer without a model: knows one kind of question, fails on none at all, turns the others round."""
+
+    def answer(image, question):
+        if not question:
+            raise ValueError("no question")
+        return "4" if "bao nhiêu chiếc xe" in question else question[::-1]
 
-        return answer
+    return answer
 
+
+def batch_infer_stub(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "val").select("row_id", "image", F.get("conversations", F.lit(0)).value.alias("question"))
-    return infer.batch_infer(q, make).select("row_id", "prediction", "error")
+    return infer.batch_infer(q, _stub).select("row_id", "prediction", "error")
+
+
+def batch_evaluation(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.batch_evaluate(table(s, d, "val"), _stub, position="row_id")[0]
+
+
+def batch_evaluation_file(s: SparkSession, d: str) -> DataFrame:
+    """The predictions as read back from the file they were written to."""
+    path = f"{shared_dir(s)}/predictions-{uuid.uuid4().hex}.json"
+    pipeline.batch_evaluate(table(s, d, "val"), _stub, path, position="row_id")
+    return s.read.schema(schemas.PREDICTION).option("multiLine", True).json(path)
+
+
+def model_evaluation(s: SparkSession, d: str) -> DataFrame:
+    """The report over the first 100 records, as read back from its file, one row a result."""
+    path = f"{shared_dir(s)}/report-{uuid.uuid4().hex}.json"
+    pipeline.evaluate_model(table(s, d, "val"), _stub, "checkpoint-500", output=path)
+    report = s.read.schema("checkpoint string, num_samples bigint, exact_match double, results array<struct<id string, question string, ground_truth string, prediction string, exact_match boolean>>").option("multiLine", True).json(path)
+    return report.select("checkpoint", "num_samples", F.round("exact_match", 6).alias("exact_match_pct"), F.posexplode("results").alias("pos", "r")).select("checkpoint", "num_samples", "exact_match_pct", F.col("pos").cast("bigint").alias("pos"), "r.id", "r.question", "r.ground_truth", "r.prediction", "r.exact_match")
+
+
+def eval_report_rows(s: SparkSession, d: str) -> DataFrame:
+    """The evaluation report without the similarity, one row a result."""
+    r = evaluate.eval_report(evaluate.scored(table(s, d, "predictions")).withColumn("similarity", F.lit(None).cast("double")), "checkpoint-500")
+    return r.select("checkpoint", "num_samples", F.round("exact_match", 6).alias("exact_match_pct"), F.explode("results").alias("r")).select("checkpoint", "num_samples", "exact_match_pct", "r.pred_id", "r.id", "r.exact_match")
+
+
+def _flat_records(df: DataFrame) -> DataFrame:
+    at = lambda i, f: F.get("conversations", F.lit(i))[f]
+    return df.select("id", "image", at(0, "from").alias("from_0"), at(0, "value").alias("value_0"), at(1, "from").alias("from_1"), at(1, "value").alias("value_1"))
+
+
+def records_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The training records as read back from JSON Lines."""
+    path = f"{shared_dir(s)}/records-{uuid.uuid4().hex}.jsonl"
+    sinks.write_json_lines(table(s, d, "train").select("id", "image", "conversations"), path)
+    return _flat_records(sources.records(s, path))
+
+
+def records_array_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The evaluation records as read back from one JSON array."""
+    path = f"{shared_dir(s)}/records-{uuid.uuid4().hex}.json"
+    sinks.write_json_array(table(s, d, "val").select("id", "image", "conversations"), path)
+    return _flat_records(sources.records(s, path))
+
+
+def images_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Pictures as stored and read back: name and bytes."""
+    folder = f"{shared_dir(s)}/images-{uuid.uuid4().hex}"
+    sinks.write_images(table(s, d, "dataset"), folder.removeprefix("file://").removeprefix("file:")).agg(F.count_if("image_ok")).collect()
+    return sources.images(s, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").cast("bigint").alias("n_bytes"))
+
+
+def prepared_once(s: SparkSession, d: str) -> DataFrame:
+    """Both record files prepared twice: the second time they are there."""
+    folder = f"{shared_dir(s)}/prepared-{uuid.uuid4().hex}"
+    files = {n: table(s, d, n).select("id", "image", "conversations") for n in ("train", "val")}
+    runs = [(i, *(r := sinks.prepare_once(files, folder)).values()) for i in range(2) for _ in (0,)]
+    return s.createDataFrame(runs, "run bigint, train bigint, val bigint, status string")
+
+
+def listed_checkpoints(s: SparkSession, d: str) -> DataFrame:
+    counts = {"train": table(s, d, "train"), "val": table(s, d, "val"), "images": table(s, d, "dataset").where(F.col("image").isNotNull()).select("id")}
+    r = checkpoints.status_report(counts, s.createDataFrame([(n,) for n in CHECKPOINT_NAMES], "name string"))
+    return r.select("train", "val", "images", F.array_join("checkpoints", ",").alias("checkpoints"))
 
 
 QUERIES: dict[str, Query] = {
@@ -117,8 +193,8 @@ QUERIES: dict[str, Query] = {
     "rank_frequency": lambda s, d: stats.rank_frequency(_answers(s, d).drop("first")),
     "training_records": training_records,
     "message_records": message_records,
-    "train_val_split": lambda s, d: split.shuffle_split(_samples(s, d)).select("id", "split"),
-    "split_summary": lambda s, d: split.split_summary(split.shuffle_split(_samples(s, d))),
+    "train_val_split": lambda s, d: split.shuffle_split(_sample_ids(s, d)).select("id", "split"),
+    "split_summary": lambda s, d: split.split_summary(split.shuffle_split(_sample_ids(s, d))),
     "head_100": lambda s, d: split.head(_pairs(s, d), 100, "conv_id", "turn"),
     "extract_prompt": lambda s, d: evaluate.prompts_by_role(table(s, d, "train").select("row_id", "id", "conversations")),
     "extract_prompt_positional": lambda s, d: evaluate.prompts_by_position(table(s, d, "train")),
@@ -133,6 +209,19 @@ QUERIES: dict[str, Query] = {
     "latest_checkpoint_numeric": lambda s, d: checkpoints.latest(s.createDataFrame([(n,) for n in CHECKPOINT_NAMES], "name string"), numeric=True),
     "status_counts": lambda s, d: checkpoints.status({"train": table(s, d, "train"), "val": table(s, d, "val"), "images": table(s, d, "dataset").where(F.col("image").isNotNull()).select("id"), "predictions": table(s, d, "predictions")}),
     "batch_infer_stub": batch_infer_stub,
+    "batch_evaluation": batch_evaluation,
+    "batch_evaluation_report": lambda s, d: pipeline.batch_evaluate(table(s, d, "val"), _stub)[1],
+    "batch_evaluation_file": batch_evaluation_file,
+    "model_evaluation": model_evaluation,
+    "eval_report_rows": eval_report_rows,
+    "records_round_trip": records_round_trip,
+    "records_array_round_trip": records_array_round_trip,
+    "images_round_trip": images_round_trip,
+    "prepared_once": prepared_once,
+    "listed_checkpoints": listed_checkpoints,
+    "split_selection": lambda s, d: sources.corpus(s, f"{d}/val.parquet", "test").select("row_id", "id", "split"),
+    "row_at_7": lambda s, d: sources.row_at(table(s, d, "dataset"), 7, "id").select("id", "description"),
+    "pairs_with_image": lambda s, d: dialogue.qa_turns(_conv(s, d).join(dialogue.with_image(table(s, d, "dataset").select(F.col("id").alias("conv_id"), F.col("image").isNotNull().alias("image_ok"))), "conv_id", "left_semi")),
 }
 
 _TURNS = """turns AS (SELECT conv_id, turn, role, content FROM (
@@ -152,6 +241,14 @@ _REPORT = """SELECT count(*)::BIGINT AS n_requested, count(exact_match)::BIGINT
   coalesce((count(*) FILTER (exact_match))::DOUBLE / nullif({n}, 0) * 100, 0.0) AS exact_match_pct FROM {t}"""
 
 
+_VALUE = "list_filter(conversations, lambda t: t['from'] = '{r}')[1]['value']"
+_ASKED = f"asked AS (SELECT row_id, id, trim(replace(coalesce({_VALUE.format(r='human')}, ''), '<image>' || chr(10), ''), {_WS}) AS question, coalesce({_VALUE.format(r='gpt')}, '') AS ground_truth FROM val)"
+_ASKED_AT = "asked AS (SELECT row_id, id, replace(conversations[1]['value'], '<image>' || chr(10), '') AS question, conversations[2]['value'] AS ground_truth FROM val ORDER BY row_id LIMIT 100)"
+_ANSWERED = f"answered AS (SELECT *, CASE WHEN coalesce(question, '') = '' THEN NULL WHEN contains(question, 'bao nhiêu chiếc xe') THEN '4' ELSE array_to_string(list_reverse(regexp_split_to_array(question, '')), '') END AS prediction FROM asked)"
+_JUDGED = f"scored AS (SELECT *, trim(prediction, {_WS}) = trim(ground_truth, {_WS}) AS exact_match FROM answered)"
+_FLAT = "SELECT id, image, conversations[1]['from'] AS from_0, conversations[1]['value'] AS value_0, conversations[2]['from'] AS from_1, conversations[2]['value'] AS value_1 FROM "
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -186,7 +283,7 @@ ORACLE: dict[str, str] = {
     "vocab_coverage": _with(_TURNS, _ANSWERS, "run AS (SELECT row_number() OVER (ORDER BY n DESC) AS k, sum(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS covered FROM answers)") + "SELECT k::BIGINT AS k, covered::DOUBLE / (SELECT sum(n) FROM answers) * 100 AS pct FROM run WHERE k IN (100, 500, 1000, 2000, 5000, 10000)",
     "rank_frequency": _with(_TURNS, _ANSWERS) + "SELECT row_number() OVER (ORDER BY n DESC)::BIGINT AS rank, n FROM answers QUALIFY rank <= 5000",
     "training_records": _with(_TURNS, _PAIRS, _SAMPLES) + "SELECT id, 'image_' || conv_id::VARCHAR || '.jpg' AS image, 'human' AS from_0, '<image>' || chr(10) || question AS value_0, 'gpt' AS from_1, answer AS value_1 FROM samples",
-    "message_records": _with(_TURNS, _PAIRS, _SAMPLES) + "SELECT id, 'images/image_' || conv_id::VARCHAR || '.jpg' AS image, conv_id AS original_index, 'image' AS type_0, question, answer, 'image_' || conv_id::VARCHAR || '.jpg' AS file, '<image>' || chr(10) || question AS prompt FROM samples",
+    "message_records": _with(_TURNS, _PAIRS, _SAMPLES) + "SELECT id, 'images/image_' || conv_id::VARCHAR || '.jpg' AS image, conv_id AS original_index, 'image' AS type_0, question, answer, 'image_' || conv_id::VARCHAR || '.jpg' AS file, '<image>' || chr(10) || question AS prompt, answer AS record_answer FROM samples",
     "train_val_split": _with(_TURNS, _PAIRS, _SAMPLES) + "SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || id), id) <= floor((SELECT count(*) FROM samples) * 0.9) THEN 'train' ELSE 'val' END AS split FROM samples",
     "split_summary": _with(_TURNS, _PAIRS, _SAMPLES) + ", s AS (SELECT CASE WHEN row_number() OVER (ORDER BY md5('42:' || id), id) <= floor((SELECT count(*) FROM samples) * 0.9) THEN 'train' ELSE 'val' END AS split FROM samples) SELECT split, count(*)::BIGINT AS n, count(*)::DOUBLE / (SELECT count(*) FROM s) * 100 AS pct FROM s GROUP BY split",
     "head_100": _with(_TURNS, _PAIRS) + "SELECT * FROM pairs ORDER BY conv_id, turn LIMIT 100",
@@ -198,5 +295,19 @@ ORACLE: dict[str, str] = {
     "exact_match_last_per_id": _with(_SCORED, "last AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY scored_at DESC NULLS LAST, pred_id DESC) = 1)") + _REPORT.format(n="count(exact_match)", t="last"),
     "latest_checkpoint": "SELECT max(name) AS name FROM (VALUES " + ", ".join(f"('{n}')" for n in CHECKPOINT_NAMES) + ") v(name) WHERE starts_with(name, 'checkpoint-')",
     "latest_checkpoint_numeric": "SELECT arg_max(name, try_cast(substring(name, 12) AS BIGINT)) AS name FROM (VALUES " + ", ".join(f"('{n}')" for n in CHECKPOINT_NAMES) + ") v(name) WHERE starts_with(name, 'checkpoint-')",
+    "batch_infer_stub": _with("asked AS (SELECT row_id, conversations[1]['value'] AS question FROM val)", _ANSWERED) + "SELECT row_id, prediction, CASE WHEN prediction IS NULL THEN 'ValueError: no question' END AS error FROM answered",
+    "batch_evaluation": _with(_ASKED, _ANSWERED) + "SELECT row_id, id, question, ground_truth, prediction FROM answered WHERE prediction IS NOT NULL",
+    "batch_evaluation_file": _with(_ASKED, _ANSWERED) + "SELECT id, question, ground_truth, prediction FROM answered WHERE prediction IS NOT NULL",
+    "batch_evaluation_report": _with(_ASKED, _ANSWERED, _JUDGED) + _REPORT.format(n="count(exact_match)", t="scored"),
+    "model_evaluation": _with(_ASKED_AT, _ANSWERED, _JUDGED, "good AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM scored WHERE exact_match IS NOT NULL)") + "SELECT 'checkpoint-500' AS checkpoint, (SELECT count(*) FROM good) AS num_samples, (SELECT round(avg(exact_match::INT) * 100, 6) FROM good) AS exact_match_pct, pos, id, question, ground_truth, prediction, exact_match FROM good WHERE pos < 20",
+    "eval_report_rows": _with(_SCORED, "good AS (SELECT * FROM scored WHERE exact_match IS NOT NULL)") + "SELECT 'checkpoint-500' AS checkpoint, (SELECT count(*) FROM good) AS num_samples, (SELECT round(avg(exact_match::INT) * 100, 6) FROM good) AS exact_match_pct, pred_id, id, exact_match FROM good ORDER BY pred_id LIMIT 20",
+    "records_round_trip": _FLAT + "train",
+    "records_array_round_trip": _FLAT + "val",
+    "images_round_trip": "SELECT 'image_' || id || '.jpg' AS name, octet_length(image)::BIGINT AS n_bytes FROM dataset WHERE image IS NOT NULL",
+    "prepared_once": "SELECT r::BIGINT AS run, (SELECT count(*) FROM train) AS train, (SELECT count(*) FROM val) AS val, s AS status FROM (VALUES (0, 'prepared'), (1, 'cached')) v(r, s)",
+    "listed_checkpoints": "SELECT (SELECT count(*) FROM train) AS train, (SELECT count(*) FROM val) AS val, (SELECT count(image) FROM dataset) AS images, (SELECT string_agg(name, ',' ORDER BY name) FROM (VALUES " + ", ".join(f"('{n}')" for n in CHECKPOINT_NAMES) + ") v(name) WHERE starts_with(name, 'checkpoint-')) AS checkpoints",
+    "split_selection": "SELECT row_id, id, split FROM val WHERE split = 'test'",
+    "row_at_7": "SELECT id, description FROM dataset WHERE id = 7",
+    "pairs_with_image": "WITH turns AS (SELECT conv_id, turn, role, content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY loaded_at NULLS LAST, msg_id) AS rn FROM conversations WHERE conv_id IN (SELECT id FROM dataset WHERE image IS NOT NULL) AND turn IS NOT NULL) WHERE rn = 1),\n" + _PAIRS + " SELECT * FROM pairs",
     "status_counts": "SELECT 'train' AS what, count(*)::BIGINT AS n FROM train UNION ALL SELECT 'val', count(*) FROM val UNION ALL SELECT 'images', count(image) FROM dataset UNION ALL SELECT 'predictions', count(*) FROM predictions",
 }

@@ -47,6 +47,11 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     return out
 
 
+def written(df: DataFrame) -> bool:
+    """Whether ``df`` is a table that :func:`materialize` returned."""
+    return getattr(df, "_dialoom_path", None) is not None
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

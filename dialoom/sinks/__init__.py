@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.sources import exists
+from dialoom.sources import exists, file_system
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -14,6 +15,22 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def _stream(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """Write text to one file of any file system that the session knows, a megabyte at a time."""
+    target, fs = file_system(spark, path)
+    out, held, size = fs.create(target, True), [], 0
+    try:
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
+
+
 def write_json_array(df: DataFrame, path: str) -> int:
     """One pretty-printed top-level array in one file, for tools that need just that.
 
@@ -21,24 +38,44 @@ def write_json_array(df: DataFrame, path: str) -> int:
     for anything large. Returns the number of rows.
     """
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+
+    def parts() -> Iterator[str]:
+        nonlocal n
+        yield "["
         for row in df.toLocalIterator():
-            f.write(",\n" if n else "\n")
             body = json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2, default=str)
-            f.write("\n".join("  " + line for line in body.splitlines()))
+            yield (",\n" if n else "\n") + "\n".join("  " + line for line in body.split("\n"))
             n += 1
-        f.write("\n]\n" if n else "]\n")
+        yield "\n]\n" if n else "]\n"
+
+    _stream(df.sparkSession, path, parts())
     return n
 
 
-def prepare_once(df: DataFrame, path: str) -> dict:
-    """Write unless the output is there already; returns the counts and how they came about."""
-    spark = df.sparkSession
-    cached = exists(spark, path)
+def write_predictions(df: DataFrame, path: str) -> int:
+    """Predictions as one JSON array with the four fields that readers expect; returns their number."""
+    return write_json_array(df.select("id", "question", "ground_truth", "prediction"), path)
+
+
+def write_report(report: DataFrame, path: str) -> dict:
+    """The one row of an evaluation report as a JSON object; returns it without the detail rows."""
+    row = report.first().asDict(recursive=True)
+    for x in row["results"]:
+        x.pop("row_id", None)
+        x.pop("pred_id", None)
+    _stream(report.sparkSession, path, [json.dumps(row, ensure_ascii=False, indent=2, default=str)])
+    return {k: v for k, v in row.items() if k != "results"}
+
+
+def prepare_once(outputs: dict[str, DataFrame], folder: str) -> dict:
+    """Write each named output below ``folder`` unless all of them are there; returns their counts and the status."""
+    spark = next(iter(outputs.values())).sparkSession
+    paths = {name: f"{folder.rstrip('/')}/{name}.jsonl" for name in outputs}
+    cached = all(exists(spark, p) for p in paths.values())
     if not cached:
-        write_json_lines(df, path)
-    return {"count": spark.read.text(path).count(), "status": "cached" if cached else "prepared"}
+        for name, df in outputs.items():
+            write_json_lines(df, paths[name], "overwrite")
+    return {name: spark.read.text(p).count() for name, p in paths.items()} | {"status": "cached" if cached else "prepared"}
 
 
 def write_images(df: DataFrame, folder: str, encoder=None) -> DataFrame:

@@ -12,13 +12,14 @@ from dialoom import schemas
 log = logging.getLogger(__name__)
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """A path and the file system it is on."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     return bool(fs.exists(p))
 
 
@@ -61,7 +62,7 @@ def images(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Names in a folder, one row each."""
-    p, fs = _fs(spark, require(spark, path))
+    p, fs = file_system(spark, require(spark, path))
     names = sorted(s.getPath().getName() for s in fs.listStatus(p))
     return spark.createDataFrame([(n,) for n in names], schemas.CHECKPOINTS)
 

@@ -69,6 +69,21 @@ def test_sample_ids(spark):
     assert ids == {"1_0", "1_1", "2_2", "3_3", "5_4", "6_5", "8_6", "10_7", "11_8"}
 
 
+@pytest.mark.parametrize("block", [5, 65_536])
+def test_samples_need_no_texts_for_their_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(dialogue, "BLOCK", block)
+    r = random.Random(5)
+    dialogues = {c: [(r.choice(["user", "gpt", "system", None]), r.choice(["x", "", None])) for _ in range(r.randint(1, 40))] for c in range(-20, 60)}
+    flat = table(spark, dialogues, repeat=True)
+    for keep in (True, False):
+        want = {(x.conv_id, x.turn): x.id for x in dialogue.with_sample_id(dialogue.qa_turns(flat, keep)).collect()}
+        assert {(x.conv_id, x.turn): x.id for x in dialogue.samples(flat, keep, texts=False).collect()} == want
+        rows = dialogue.samples(flat, keep).collect()
+        assert {(x.conv_id, x.turn): x.id for x in rows} == want
+        assert pairs(dialogue.samples(flat, keep)) == pairs(dialogue.qa_turns(flat, keep))
+        assert [int(want[k].rpartition("_")[2]) for k in sorted(want)] == list(range(len(want)))
+
+
 @pytest.mark.parametrize("keep", [True, False])
 def test_random_dialogues(spark, keep):
     r = random.Random(7)

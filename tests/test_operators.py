@@ -1,4 +1,8 @@
 import datetime
+import hashlib
+import json
+import math
+import random
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -6,10 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom import sinks, sources, streaming
+from dialoom import logs, sinks, sources, streaming
 from dialoom.functions import ellipsis
 from dialoom.functions.similarity import ratio
-from dialoom.operators import checkpoints, evaluate, infer, ranking, split, stats
+from dialoom.operators import checkpoints, evaluate, infer, pipeline, ranking, skew, split, stats
 
 
 def test_global_index_is_dense_and_ordered(spark):
@@ -48,6 +52,87 @@ def test_split_is_exact_and_disjoint(spark):
     assert split.split_summary(split.shuffle_split(df)).count() == 2
 
 
+def test_the_cut_is_found_by_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(split, "FEW", 3)
+    df = spark.createDataFrame([(f"{i}",) for i in range(2000)] + [(None,)], "id string")
+    got = {r.id: r.split for r in split.shuffle_split(df, share=0.37, seed=5).collect()}
+    order = sorted(map(str, range(2000)), key=lambda k: (hashlib.md5(f"5:{k}".encode()).hexdigest(), k))
+    n = math.floor(2001 * 0.37)
+    assert {k for k, v in got.items() if v == "train"} == set(order[:n])
+    same = spark.createDataFrame([("a",)] * 20, "id string")  # equal keys share a side
+    assert {r.split for r in split.shuffle_split(same).collect()} == {"val"}
+    assert split.shuffle_split(df.limit(0)).count() == 0
+    assert {r.split for r in split.shuffle_split(df, share=1.0).collect()} == {"train"}
+
+
+def test_running_totals(spark):
+    r = random.Random(1)
+    rows = [(i, r.randrange(3), r.randrange(9)) for i in range(-50, 300)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "a long, b long, n long")
+    got = {(x.a, x.b): x.before for x in ranking.running_total(df, ["a", "b"], "n", "before", partitions=7).collect()}
+    start, want = 0, {}
+    for a, b, n in sorted(rows):
+        want[a, b] = start
+        start += n
+    assert got == want and ranking.running_total(df.limit(0), ["a", "b"], "n", "before").count() == 0
+
+
+def test_lookup_of_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else None if i % 2 else i) for i in range(300)], "i long, k long").withColumn("_x", F.array(F.lit(1)))
+    got = {x.i: x.v for x in skew.lookup(rows, spark.createDataFrame([(7, "h"), (6, "s")], "k long, v string"), ["k"], "left").collect()}
+    assert got == {i: "h" if i % 3 else None if i % 2 or i != 6 else "s" for i in range(300)}
+
+
+def _answerer():
+    def answer(image, question):
+        if question == "bad":
+            raise RuntimeError("no")
+        return f"{image}|{question}"
+
+    return answer
+
+
+def test_evaluation_as_one_call(spark, tmp_path):
+    turns = "conversations array<struct<`from`:string,value:string>>"
+    rows = [(1, "a", "i.jpg", [("human", "<image>\nq "), ("gpt", " p/i.jpg|q")]), (2, "b", None, [("human", "bad"), ("gpt", "x")]), (3, "c", "j.jpg", [("gpt", "y")]), (4, "d", "k.jpg", None)]
+    df = spark.createDataFrame(rows, f"row_id long, id string, image string, {turns}")
+    found, report = pipeline.batch_evaluate(df, _answerer, str(tmp_path / "p.json"), "p/", "row_id")
+    assert [(r.id, r.prediction) for r in found.orderBy("row_id").collect()] == [("a", "p/i.jpg|q"), ("c", "p/j.jpg|"), ("d", "p/k.jpg|")]
+    r = report.first()
+    assert (r.n_requested, r.n_scored, r.n_match) == (4, 3, 1)
+    stored = json.loads((tmp_path / "p.json").read_text())
+    assert [x["id"] for x in stored] == ["a", "c", "d"] and list(stored[0]) == ["id", "question", "ground_truth", "prediction"]
+    pipeline.evaluate_model(df, _answerer, "checkpoint-1", 1, output=str(tmp_path / "r.json"), folder="p")
+    stored = json.loads((tmp_path / "r.json").read_text())
+    assert (stored["checkpoint"], stored["num_samples"], len(stored["results"])) == ("checkpoint-1", 1, 1) and list(stored["results"][0]) == ["id", "question", "ground_truth", "prediction", "exact_match", "similarity"]
+    assert pipeline.evaluate_model(df.limit(0), _answerer, "c", -1).first().num_samples == 0
+    assert pipeline.ask(spark, _answerer, "i", "q") == "i|q"
+    with pytest.raises(RuntimeError):
+        pipeline.ask(spark, _answerer, "i", "bad")
+    assert pipeline.Decoding(0.0).sample is False and pipeline.Decoding().sample is True
+
+
+def test_status_config_and_logging(spark, tmp_path):
+    names = spark.createDataFrame([("checkpoint-500",), ("x",), ("checkpoint-1500",)], "name string")
+    row = checkpoints.status_report({"train": names, "val": names.limit(0)}, names).first()
+    assert (row.train, row.val, row.checkpoints) == (3, 0, ["checkpoint-1500", "checkpoint-500"])
+    (tmp_path / "c.yaml").write_text("data:\n  data_dir: d\n")
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            sources.load_config(str(tmp_path / "c.yaml"))
+    else:
+        assert sources.load_config(str(tmp_path / "c.yaml")) == {"data": {"data_dir": "d"}}
+    with pytest.raises(Exception):  # noqa: B017
+        sources.load_config(str(tmp_path / "none.yaml"))
+    df = spark.createDataFrame([(1, "test"), (2, "val")], "i long, split string")
+    df.write.parquet(str(tmp_path / "corpus"))
+    assert [r.i for r in sources.corpus(spark, str(tmp_path / "corpus"), "test").collect()] == [1] and sources.row_at(df, 2, "i").count() == 1
+    logs.setup(str(tmp_path / "log"))
+
+
 def test_ratio_golden():
     assert ratio("tide", "diet") == 0.25 and ratio("diet", "tide") == 0.5
     assert ratio("Đây là chợ", "đây là khu chợ") == 0.8333333333333334 and ratio(None, "a") is None
@@ -101,8 +186,8 @@ def test_json_forms(spark, tmp_path):
         assert sorted(map(str, sources.records(spark, str(tmp_path / path)).collect())) == sorted(map(str, df.collect()))
     assert sources.sample_count(spark, str(tmp_path / "array.json")) == 2
     assert sinks.write_json_array(df.limit(0), str(tmp_path / "none.json")) == 0
-    first, again = (sinks.prepare_once(df, str(tmp_path / "once")) for _ in range(2))
-    assert (first["status"], again["status"], again["count"]) == ("prepared", "cached", 2)
+    first, again = (sinks.prepare_once({"train": df, "val": df.limit(1)}, str(tmp_path / "once")) for _ in range(2))
+    assert first == {"train": 2, "val": 1, "status": "prepared"} and again == {"train": 2, "val": 1, "status": "cached"}
     with pytest.raises(FileNotFoundError):
         sources.records(spark, str(tmp_path / "missing"))
 
