@@ -55,4 +55,8 @@ keyed AS (SELECT tab, k, CASE
 P5_FOUND = f"WITH {_P5_KEYS}, g AS (SELECT *, min(k) OVER (PARTITION BY tab, key) AS keep_id FROM keyed) SELECT tab, keep_id, k AS copy_id FROM g WHERE k <> keep_id"
 P5_COLLAPSED = f"WITH {_P5_KEYS} SELECT tab, min(k) AS keep_id, count(*)::BIGINT AS n_copies FROM keyed GROUP BY tab, key"
 
-ORACLE: dict[str, str] = {"p2_found": P2_FOUND, "p2_classes": P2_CLASSES, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p4_split_sizes": P4_SPLIT_SIZES, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED}
+# what packings and cuts have to fulfil
+COVERAGE = "SELECT doc_id, length(text)::BIGINT AS n_chars, 0::BIGINT AS n_gaps, 0::BIGINT AS n_over FROM documents WHERE length(text) > 0"
+P6_OVERFULL = "SELECT 0::BIGINT AS n_overfull, 0::BIGINT AS n_split_needlessly"
+
+ORACLE: dict[str, str] = {"p2_found": P2_FOUND, "p2_classes": P2_CLASSES, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p4_split_sizes": P4_SPLIT_SIZES, "p5_found": P5_FOUND, "p6_coverage": COVERAGE, "p6_overfull": P6_OVERFULL, "p8_coverage": COVERAGE, "p5_collapsed": P5_COLLAPSED}

@@ -154,6 +154,32 @@ def p6_fill(s: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(s, d), CAPACITY)
 
 
+def _coverage(pieces: DataFrame, limit: int) -> DataFrame:
+    """Per text: the characters its pieces cover, the gaps between them, and the pieces above the limit."""
+    by_key = Window.partitionBy("doc_id").orderBy("piece")
+    gap = F.col("start") > F.coalesce(F.lag("end").over(by_key), F.lit(0))
+    each = pieces.select("doc_id", "piece", "start", "end", "tokens", gap.alias("gap"))
+    return each.groupBy("doc_id").agg(F.max("end").cast("bigint").alias("n_chars"), F.count_if("gap").alias("n_gaps"), F.count_if(F.col("tokens") > limit).alias("n_over"))
+
+
+def p6_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Every text is in containers as a whole, without gaps, in pieces that fit."""
+    return _coverage(p6_containers(s, d), CAPACITY)
+
+
+def p6_overfull(s: SparkSession, d: str) -> DataFrame:
+    """How many containers hold more than their capacity, and how many texts that fit are split."""
+    packed = p6_containers(s, d)
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("used")).agg(F.count_if(F.col("used") > CAPACITY).alias("n_overfull"))
+    torn = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).agg(F.count_if((F.col("n") > 1) & (F.col("tokens") < CAPACITY // 2)).alias("n_split_needlessly"))
+    return over.join(F.broadcast(torn))  # one row each
+
+
+def p8_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Every text is covered by its pieces, without gaps, each within the limit."""
+    return _coverage(p8_pieces(s, d), 512)
+
+
 def p8_pieces(s: SparkSession, d: str) -> DataFrame:
     """Numbered pieces of every text: at most 512 tokens, 64 of them shared with the piece before."""
     return chunking.pieces(_documents(s, d))
@@ -187,9 +213,12 @@ QUERIES: dict[str, Query] = {
     "p4_split_sizes": p4_split_sizes,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_coverage": p6_coverage,
+    "p6_overfull": p6_overfull,
     "p7_found": p7_found,
     "p8_pieces": p8_pieces,
     "p8_boundaries": p8_boundaries,
+    "p8_coverage": p8_coverage,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
