@@ -35,9 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from dialoom.llm.lookalikes import look, no_accents
+from dialoom.llm.lookalikes import look as any_look
+from dialoom.llm.lookalikes import no_accents
 from dialoom.session import materialize
 
+@lru_cache(8)
+def look(text: str) -> str:
+    """The tests of one pair share its looks."""
+    return any_look(text)
+
+
+@lru_cache(8)
+def folded(seen: str) -> str:
+    """Without accents and case; apostrophes go."""
+    return no_accents(seen).casefold().replace("'", "").replace("’", "")
+
+
 # ---------------------------------------------------------------- empty
 
 # What is written in place of a missing answer, without accents and case.
@@ -58,10 +71,13 @@ def is_empty(answer: str | None) -> bool:
     seen = look(answer)
     if not _LETTER.search(seen):
         return True
+    if flat_word(_WORDS.search(seen)[0]) not in _FILLER_STARTS:
+        return False
     first = [m[0] for m, _ in zip(_WORDS.finditer(seen), range(_LONGEST_FILLER + 1))]
     return len(first) <= _LONGEST_FILLER and " ".join(map(flat_word, first)) in FILLERS
 
 
+_FILLER_STARTS = frozenset(f.split(" ")[0] for f in FILLERS)
 _LONGEST_FILLER = max(len(f.split(" ")) for f in FILLERS)
 
 
@@ -180,6 +196,7 @@ _QUOTED = regex.compile(r"[\"“”„‟][^\"“”„‟]*(?:[\"“”„‟]|
 _MARKS = regex.compile(r"[\"“”„‟«‘「『`]")
 
 
+@lru_cache(8)
 def outside_quotes(seen: str) -> str:
     """The text without quotations, unless the whole text is one (then the marks say nothing)."""
     bare = _QUOTED.sub(" ", seen) if _MARKS.search(seen) else seen
@@ -297,9 +314,10 @@ def native(seen: str) -> str:
 
 # words whose accents decide: to discuss, not to sell; not yet, not sour
 _ACCENTED = {"bàn": "baan", "chưa": "chuwa"}
-_HINT = regex.compile(r"kh[oô]ng|ch[uư]a|ch[aẳ]ng|từ ch|tu ch|xin |vi ph|tr[aá]i |ph[aạ]m vi|ch[iị]u|b[oó] tay|đầu h|dau h|bất l|bat l|ng?o[aà]i|vượt|vuot", regex.I)
-_HINT_EN = regex.compile(r"not|cant|wont|unable|decline|refuse|sorry|apolog|as an|as a lang|against|violate|outside|lack")
-_HINT_OTHER = regex.compile(r"\bje |impossible|lo siento|no puedo|no me es|\bich |tut mir|kann ich|\b(?:saya|kami|maaf)\b|n[aã]o posso|non posso|\p{Han}|[぀-ヿ가-힯]|\p{Cyrillic}|\p{Thai}", regex.I)
+# what each grammar can't do without
+_HINT = ("khong", "chua", "chang", "tu choi", "xin ", "vi pham", "trai ", "pham vi", "chiu", "bo tay", "dau hang", "bat luc", "ngoai", "vuot")
+_HINT_EN = ("not", "cant", "wont", "unable", "decline", "refuse", "sorry", "apolog", "as an", "as a lang", "against", "violate", "outside", "lack")
+_HINT_OTHER = ("je ", "impossible", "lo siento", "no puedo", "no me es", "ich ", "tut mir", "kann ich", "saya", "kami", "maaf", "nao posso", "non posso")
 _UNACCENTED = regex.compile(r"(?<=\b(?:toi|minh|em) )chua\b|\bban(?= ve\b)")
 _CLAUSES = regex.compile(r"[\p{L}\p{N}]+|[,;:()–—]")
 
@@ -321,15 +339,14 @@ def is_refusal(answer: str) -> bool:
     seen = outside_quotes(look(answer))
     if not seen:
         return False
-    text = None
-    if _HINT.search(seen):
-        text = flat(seen)
-        if any(derives_refusal(parse_terms(line.split(" "))) for line in text.split("\n")):
-            return True
-    plain = no_accents(seen).casefold().replace("'", "").replace("’", "")
-    if _HINT_EN.search(plain) and _REFUSAL.search(" ".join(_LETTERS.findall(plain))):
+    plain = folded(seen)
+    if any(map(plain.__contains__, _HINT)) and any(derives_refusal(parse_terms(line.split(" "))) for line in flat(seen).split("\n")):
+        return True
+    if any(map(plain.__contains__, _HINT_EN)) and _REFUSAL.search(" ".join(_LETTERS.findall(plain))):
+        return True
+    if any(map(plain.__contains__, _HINT_OTHER)) and _REFUSAL_RAW.search(plain):
         return True
-    return _HINT_OTHER.search(seen) is not None and (_REFUSAL_RAW.search(plain) is not None or _REFUSAL_RAW.search(native(seen).casefold()) is not None)
+    return _NON_LATIN.search(seen) is not None and _REFUSAL_RAW.search(native(seen).casefold()) is not None
 
 
 _LETTERS = regex.compile(r"[\p{L}\p{N}]+")
@@ -357,6 +374,7 @@ _SCRIPTS = {"zh": r"\p{Han}", "ja": r"[\p{Hiragana}\p{Katakana}]", "ko": r"\p{Ha
 _SCRIPT = {k: regex.compile(v) for k, v in _SCRIPTS.items()}
 _NON_LATIN = regex.compile(r"[^\P{L}\p{Latin}]")
 _NON_LATIN_RUN = regex.compile(r"[^\P{L}\p{Latin}]+")
+_UPPER = regex.compile(r"\p{Uppercase}")
 _LATIN_WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*")
 
 
@@ -377,7 +395,7 @@ def language(text: str) -> str | None:
             best = max(counts, key=counts.get)
             return "ja" if counts["ja"] else best if counts[best] else "other"
     ws = [w for w in _WORDS.findall(seen) if not w[0].isdigit()]
-    shouting = sum(map(str.isupper, seen)) > 0.4 * sum(map(len, ws))
+    shouting = len(_UPPER.findall(seen)) > 0.4 * sum(map(len, ws))
     title = not shouting and len(ws) >= 4 and sum(w[0].isupper() for w in ws) >= 0.9 * len(ws)
     kept = ws if shouting or title else [w for i, w in enumerate(ws) if w[0].islower() or (i == 0 and len(ws) > 1)]
     if len(kept) > 1 and seen.rstrip().endswith(kept[-1]):
@@ -540,7 +558,7 @@ _END = regex.compile(r"[.!?。！？)\]}\"”»’」』】》%ฯ]\s*$")
 
 
 def _tail(seen: str) -> str:
-    return _TAIL.sub("", seen)
+    return _TAIL.sub("", seen) if seen and not seen[-1].isalnum() and seen[-1] not in ".!?" else seen
 
 
 _LAST = regex.compile(r"[\p{L}\p{M}]+$")
@@ -548,6 +566,7 @@ _LAST_CLOSED = regex.compile(r"([\p{L}\p{M}]+)[\p{P}\s]+$")
 _WORD_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
+@lru_cache(8)
 def last_word(seen: str) -> tuple[str, bool, bool] | None:
     """(final word, whether the end is open, whether dots follow) or null if the end isn't a word."""
     t = _tail(seen)
@@ -580,13 +599,14 @@ def is_truncated(answer: str, ends_in_piece: bool = False) -> bool:
         return not regex.search(rf"\bcó\b.*\b{low}$", t.casefold()) if low in ("có",) else True
     if dots:
         return False
-    if regex.search(rf",\s*(?:{'|'.join(sorted(_LINKS))})\s+{word}$", t):
+    if "," in t and _LINKED.search(t):
         return True
     return word.islower() and len(t) > len(word) and _no_word(low, t)
 
 
 # Words that link a phrase to what follows.
 _LINKS = frozenset("và hoặc với của tại trong trên vì để những các được nhưng cho từ như do bởi".split())
+_LINKED = regex.compile(rf",\s*(?:{'|'.join(sorted(_LINKS))})\s+[\p{{L}}\p{{M}}]+$")
 _TONES = str.maketrans("", "", "\u0300\u0301\u0303\u0309\u0323")
 
 
