@@ -153,7 +153,7 @@ def records_array_round_trip(s: SparkSession, d: str) -> DataFrame:
 def images_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Pictures as stored and read back: name and bytes."""
     folder = f"{shared_dir(s)}/images-{uuid.uuid4().hex}"
-    sinks.write_images(table(s, d, "dataset"), folder.removeprefix("file://").removeprefix("file:")).agg(F.count_if("image_ok")).collect()
+    sinks.write_images(table(s, d, "dataset"), folder.removeprefix("file://").removeprefix("file:"), encoder=bytes).agg(F.count_if("image_ok")).collect()
     return sources.images(s, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").cast("bigint").alias("n_bytes"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom import logs, sinks, sources, streaming
-from dialoom.functions import ellipsis
+from dialoom.functions import ellipsis, jpeg
 from dialoom.functions.similarity import ratio
 from dialoom.operators import checkpoints, evaluate, infer, pipeline, ranking, skew, split, stats
 
@@ -194,7 +194,7 @@ def test_json_forms(spark, tmp_path):
 
 def test_images_and_listing(spark, tmp_path):
     df = spark.createDataFrame([(1, bytearray(b"abc")), (2, None)], "id bigint, image binary")
-    out = {r.id: r.image_ok for r in sinks.write_images(df, str(tmp_path / "img")).collect()}
+    out = {r.id: r.image_ok for r in sinks.write_images(df, str(tmp_path / "img"), encoder=bytes).collect()}
     assert out == {1: True, 2: False}
     assert [bytes(r.content) for r in sources.images(spark, str(tmp_path / "img")).select("content").collect()] == [b"abc"]
     assert [r.name for r in sources.listing(spark, str(tmp_path / "img")).collect()] == ["image_1.jpg"]
@@ -221,3 +221,56 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
+
+
+def _java(spark, data):
+    j = spark._jvm
+    image = j.javax.imageio.ImageIO.read(j.java.io.ByteArrayInputStream(bytearray(data)))
+    px = np.array([[image.getRGB(x, y) for x in range(image.getWidth())] for y in range(image.getHeight())], np.int64)
+    return np.stack([px >> 16 & 255, px >> 8 & 255, px & 255], 2)
+
+
+def _java_written(spark, px, kind, layout):
+    j = spark._jvm
+    image = j.java.awt.image.BufferedImage(px.shape[1], px.shape[0], layout)
+    for y, row in enumerate(px.tolist()):
+        for x, (r, g, b) in enumerate(row):
+            image.setRGB(x, y, -(1 << 24) | r << 16 | g << 8 | b)
+    out = j.java.io.ByteArrayOutputStream()
+    assert j.javax.imageio.ImageIO.write(image, kind, out)
+    return bytes(out.toByteArray())
+
+
+Y, X = np.mgrid[0:21, 0:27]
+PICTURES = [np.stack([X * 9 % 256, Y * 12 % 256, X + Y], 2).astype(np.uint8), np.full((8, 8, 3), 200, np.uint8), np.array([[[255, 0, 0]]], np.uint8), np.random.default_rng(1).integers(90, 160, (19, 23, 3)).astype(np.uint8)]
+
+
+@pytest.mark.parametrize("i", range(len(PICTURES)))
+def test_jpeg_as_another_decoder_reads_it(spark, i):
+    px = PICTURES[i]
+    sizes = []
+    for quality, most in ((100, 1.5), (95, 4), (50, 25)):
+        data = jpeg.encode(px, quality)
+        sizes.append(len(data))
+        assert np.abs(_java(spark, data) - px).mean() <= most
+    assert sizes == sorted(sizes, reverse=True)
+    assert jpeg.to_jpeg(data) == data
+
+
+@pytest.mark.parametrize("kind,layout", [("png", 1), ("png", 2), ("png", 13), ("bmp", 5)])
+def test_pictures_as_another_encoder_wrote_them(spark, kind, layout):
+    data = _java_written(spark, PICTURES[0], kind, layout)
+    assert (jpeg.decode(data) == _java(spark, data)).all()
+
+
+def test_netpbm_and_broken_pictures(spark, tmp_path):
+    px = PICTURES[0]
+    ppm = b"P6\n# x\n27 21\n255\n" + px.tobytes()
+    assert (jpeg.decode(ppm) == px).all() and jpeg.decode(b"P5 2 1 255 ab").tolist() == [[[97] * 3, [98] * 3]]
+    for bad in (b"", b"abc", b"\x89PNG\r\n\x1a\n", ppm[:-5], b"BM"):
+        with pytest.raises(ValueError):
+            jpeg.to_jpeg(bad)
+    df = spark.createDataFrame([(1, bytearray(ppm)), (2, bytearray(b"abc")), (3, None)], "id bigint, image binary")
+    assert {r.id: r.image_ok for r in sinks.write_images(df, str(tmp_path / "rgb")).collect()} == {1: True, 2: False, 3: False}
+    stored = sources.images(spark, str(tmp_path / "rgb")).collect()
+    assert len(stored) == 1 and np.abs(_java(spark, bytes(stored[0].content)) - px).mean() < 4
