@@ -92,8 +92,13 @@ def flat_word(word: str) -> str:
     return no_accents(word).casefold()
 
 
+@lru_cache(8)
+def words_of(seen: str) -> tuple[str, ...]:
+    return tuple(_WORDS.findall(seen))
+
+
 def tokens(text: str) -> list[str]:
-    return [flat_word(w) for w in _WORDS.findall(look(text))]
+    return list(map(flat_word, words_of(look(text))))
 
 
 class _Runs:
@@ -378,12 +383,18 @@ _UPPER = regex.compile(r"\p{Uppercase}")
 _LATIN_WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*")
 
 
-@lru_cache(1 << 16)
 def _like_vietnamese(flat: str) -> bool:
     return _SYLLABLE.fullmatch(flat) is not None
 
 
 
+@lru_cache(1 << 16)
+def _kind(word: str) -> tuple[str, str, str, bool]:
+    """(kind of the first character, word, flat form, whether it is built like a Vietnamese syllable)"""
+    c, low = word[0], flat_word(word).replace("’", "'")
+    return "digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else "other", word, low, _like_vietnamese(low)
+
+
 def language(text: str) -> str | None:
     """A language code, ``"latin"`` for foreign text of an unclear language, null without evidence."""
     seen = native(outside_quotes(look(text)))
@@ -394,18 +405,20 @@ def language(text: str) -> str | None:
             counts = {k: len(p.findall(seen)) for k, p in _SCRIPT.items()}
             best = max(counts, key=counts.get)
             return "ja" if counts["ja"] else best if counts[best] else "other"
-    ws = [w for w in _WORDS.findall(seen) if not w[0].isdigit()]
-    shouting = len(_UPPER.findall(seen)) > 0.4 * sum(map(len, ws))
-    title = not shouting and len(ws) >= 4 and sum(w[0].isupper() for w in ws) >= 0.9 * len(ws)
-    kept = ws if shouting or title else [w for i, w in enumerate(ws) if w[0].islower() or (i == 0 and len(ws) > 1)]
-    if len(kept) > 1 and seen.rstrip().endswith(kept[-1]):
+    kinds = [k for k in map(_kind, words_of(seen)) if k[0] != "digit"]
+    ws = [k[1] for k in kinds]
+    capitals = sum(k[0] == "upper" for k in kinds)
+    shouting = capitals > 0 and len(_UPPER.findall(seen)) > 0.4 * sum(map(len, ws))
+    title = not shouting and len(ws) >= 4 and capitals >= 0.9 * len(ws)
+    kept = kinds if shouting or title else [k for i, k in enumerate(kinds) if k[0] == "lower" or (i == 0 and len(ws) > 1)]
+    if len(kept) > 1 and seen.rstrip().endswith(kept[-1][1]):
         kept = kept[:-1]  # an open end may hold a piece of a word
-    if not kept or not title and not shouting and all(w[0].isupper() for w in ws):
+    if not kept or not title and not shouting and capitals == len(ws):
         return None  # names only
-    flats = [flat_word(w).replace("’", "'") for w in kept]
-    good = sum(map(_like_vietnamese, flats))
-    if good == len(flats):
+    good = sum(k[3] for k in kept)
+    if good == len(kept):
         return "vi"
+    flats, kept = [k[2] for k in kept], [k[1] for k in kept]
     guess = {k: sum(f in v for f in flats) for k, v in _FUNCTION.items()}
     best = max(guess, key=guess.get)
     if good >= 0.75 * len(flats):
@@ -427,7 +440,7 @@ def other_language(question: str, answer: str, lang: str | None = "") -> bool:
     if q is None or q == a or "latin" in (q, a) and "vi" not in (q, a) and (q in _FUNCTION or a in _FUNCTION or q == a):
         return False
     if a == "vi":  # a bare name, address or number answers a foreign question, too
-        ws = _WORDS.findall(outside_quotes(look(answer)))
+        ws = words_of(outside_quotes(look(answer)))
         return any(w.casefold() in _VI_FUNCTION for w in ws) or sum(1 for w in ws if w[0].islower()) >= 3
     return True
 
@@ -544,6 +557,7 @@ def left_open(seen: str) -> bool:
 _TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*/?>")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "image", "empty", "p", "li"}
 
+# (?r): these match from the end of a text backwards
 # Words that can't end an answer because another must follow, accents kept.
 WANTS_MORE = frozenset(
     "và hoặc với của tại trong trên dưới là vì để những các một được bị nhưng cho từ đến như gồm mà thì nếu khi do bằng về ở vào theo cùng hay cũng đang sẽ đã có bởi tuy rằng lúc mỗi mọi giữa sau trước ngoài qua"
@@ -551,9 +565,9 @@ WANTS_MORE = frozenset(
 )
 # of these, words that often end a whole phrase as well
 _MAY_END = frozenset("trước sau ngoài trong trên dưới qua về có đến vào lúc khi thì từ theo ở một in on by that as to is are was were".split())
-_MARKER = regex.compile(r"(?:^|\n)\s*(?:[-*•+]|\d{1,3}[.)]|[a-z]\))\s*$")
+_MARKER = regex.compile(r"(?r)(?:^|\n)\s*(?:[-*•+]|\d{1,3}[.)]|[a-z]\))\s*$")
 _TAIL = regex.compile(r"[\s\p{So}\p{Sk}\p{Cf}\p{Emoji_Modifier}‍️]+$")
-_DOTS = regex.compile(r"(?:\.{2,}|…)\s*$")
+_DOTS = regex.compile(r"(?r)(?:\.{2,}|…)\s*$")
 _END = regex.compile(r"[.!?。！？)\]}\"”»’」』】》%ฯ]\s*$")
 
 
@@ -561,8 +575,8 @@ def _tail(seen: str) -> str:
     return _TAIL.sub("", seen) if seen and not seen[-1].isalnum() and seen[-1] not in ".!?" else seen
 
 
-_LAST = regex.compile(r"[\p{L}\p{M}]+$")
-_LAST_CLOSED = regex.compile(r"([\p{L}\p{M}]+)[\p{P}\s]+$")
+_LAST = regex.compile(r"(?r)[\p{L}\p{M}]+$")
+_LAST_CLOSED = regex.compile(r"(?r)([\p{L}\p{M}]+)[\p{P}\s]+$")
 _WORD_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -572,9 +586,9 @@ def last_word(seen: str) -> tuple[str, bool, bool] | None:
     t = _tail(seen)
     dots = _DOTS.search(t)
     body = _DOTS.sub("", t).rstrip() if dots else t
-    m = _LAST.search(body[-200:])
+    m = _LAST.search(body)
     if not m:
-        closed = _LAST_CLOSED.search(body[-200:])
+        closed = _LAST_CLOSED.search(body)
         return (closed[1], False, False) if closed else None
     return m[0], True, bool(dots)
 
