@@ -651,23 +651,26 @@ def _word_uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per batch: how often each short word, alone and with the word before it, stands inside, at a
     closed and at an open end; and how often it begins a longer word."""
     for pdf in batches:
-        inner, closed, opened, longer = Counter(), Counter(), Counter(), Counter()
+        alone, after, closed, opened = Counter(), Counter(), Counter(), Counter()
         for text in pdf["answer"]:
             if text is None:
                 continue
             seen = look(text)
-            ws = _WORD_LETTERS.findall(seen)
-            if not ws:
+            low = _WORD_LETTERS.findall(seen.casefold())
+            if not low:
                 continue
             end = last_word(seen)
-            low = [w.casefold() for w in ws]
             own = low if end is None else low[:-1]
-            inner.update((None, w) for w in own if len(w) <= _PIECE_LETTERS)
-            inner.update((b, w) for b, w in zip(own, own[1:]) if len(w) <= _PIECE_LETTERS)
-            longer.update((None, w[:k]) for w in own for k in range(1, min(_PIECE_LETTERS, len(w) - 1) + 1))
+            alone.update(own)
+            after.update(zip(own, own[1:]))
             if end is not None and len(end[0]) <= _PIECE_LETTERS:
                 kind = opened if end[1] and not end[2] else closed
                 kind.update([(None, low[-1]), (low[-2] if len(low) > 1 else "", low[-1])])
+        inner = {(None, w): n for w, n in alone.items() if len(w) <= _PIECE_LETTERS} | {k: n for k, n in after.items() if len(k[1]) <= _PIECE_LETTERS}
+        inner, longer = Counter(inner), Counter()
+        for w, n in alone.items():
+            for k in range(1, min(_PIECE_LETTERS, len(w) - 1) + 1):
+                longer[None, w[:k]] += n
         keys = list({*inner, *closed, *opened, *longer})
         yield pd.DataFrame({"before": [b for b, _ in keys], "word": [w for _, w in keys], "inner": [inner[k] for k in keys], "closed": [closed[k] for k in keys], "opened": [opened[k] for k in keys], "longer": [longer[k] for k in keys]})
 
