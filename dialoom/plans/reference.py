@@ -125,10 +125,15 @@ def model_evaluation(s: SparkSession, d: str) -> DataFrame:
     return report.select("checkpoint", "num_samples", F.round("exact_match", 6).alias("exact_match_pct"), F.posexplode("results").alias("pos", "r")).select("checkpoint", "num_samples", "exact_match_pct", F.col("pos").cast("bigint").alias("pos"), "r.id", "r.question", "r.ground_truth", "r.prediction", "r.exact_match")
 
 
-def eval_report_rows(s: SparkSession, d: str) -> DataFrame:
-    """The evaluation report without the similarity, one row a result."""
-    r = evaluate.eval_report(evaluate.scored(table(s, d, "predictions")).withColumn("similarity", F.lit(None).cast("double")), "checkpoint-500")
-    return r.select("checkpoint", "num_samples", F.round("exact_match", 6).alias("exact_match_pct"), F.explode("results").alias("r")).select("checkpoint", "num_samples", "exact_match_pct", "r.pred_id", "r.id", "r.exact_match")
+def eval_report(s: SparkSession, d: str) -> DataFrame:
+    """The evaluation report, one row a result."""
+    r = evaluate.eval_report(evaluate.scored(table(s, d, "predictions"), with_similarity=True), "checkpoint-500")
+    return r.select("checkpoint", "num_samples", *(F.round(c, 6).alias(c + "_pct") for c in ("exact_match", "avg_similarity")), F.explode("results").alias("r")).select("checkpoint", "num_samples", "exact_match_pct", "avg_similarity_pct", "r.pred_id", "r.id", "r.exact_match", "r.similarity")
+
+
+def similarity_eval(s: SparkSession, d: str) -> DataFrame:
+    r = evaluate.similarity_report(evaluate.scored(table(s, d, "predictions"), with_similarity=True))
+    return r.withColumn("avg_similarity_pct", F.round("avg_similarity_pct", 6))
 
 
 def _flat_records(df: DataFrame) -> DataFrame:
@@ -203,8 +208,8 @@ QUERIES: dict[str, Query] = {
     "exact_match_requested": lambda s, d: evaluate.exact_match_report(evaluate.scored(table(s, d, "predictions")), "requested"),
     "exact_match_last_per_id": lambda s, d: evaluate.exact_match_report(evaluate.scored(evaluate.best_per_id(table(s, d, "predictions")))),
     "similarity_rows": lambda s, d: evaluate.scored(table(s, d, "predictions"), with_similarity=True).select("pred_id", "similarity"),
-    "similarity_eval": lambda s, d: evaluate.similarity_report(evaluate.scored(table(s, d, "predictions"), with_similarity=True)),
-    "eval_report": lambda s, d: evaluate.eval_report(evaluate.scored(table(s, d, "predictions"), with_similarity=True), "checkpoint-500"),
+    "similarity_eval": similarity_eval,
+    "eval_report": eval_report,
     "latest_checkpoint": lambda s, d: checkpoints.latest(s.createDataFrame([(n,) for n in CHECKPOINT_NAMES], "name string")),
     "latest_checkpoint_numeric": lambda s, d: checkpoints.latest(s.createDataFrame([(n,) for n in CHECKPOINT_NAMES], "name string"), numeric=True),
     "status_counts": lambda s, d: checkpoints.status({"train": table(s, d, "train"), "val": table(s, d, "val"), "images": table(s, d, "dataset").where(F.col("image").isNotNull()).select("id"), "predictions": table(s, d, "predictions")}),
@@ -213,7 +218,6 @@ QUERIES: dict[str, Query] = {
     "batch_evaluation_report": lambda s, d: pipeline.batch_evaluate(table(s, d, "val"), _stub)[1],
     "batch_evaluation_file": batch_evaluation_file,
     "model_evaluation": model_evaluation,
-    "eval_report_rows": eval_report_rows,
     "records_round_trip": records_round_trip,
     "records_array_round_trip": records_array_round_trip,
     "images_round_trip": images_round_trip,
@@ -249,8 +253,25 @@ _JUDGED = f"scored AS (SELECT *, trim(prediction, {_WS}) = trim(ground_truth, {_
 _FLAT = "SELECT id, image, conversations[1]['from'] AS from_0, conversations[1]['value'] AS value_0, conversations[2]['from'] AS from_1, conversations[2]['value'] AS value_1 FROM "
 
 
+# The similarity of two texts as a recursion over segments: the longest common run of two segments (the
+# earliest in the first, then in the second) splits them in two. Runs lie on diagonals, which are spelled
+# as strings of ones and zeros. (From 200 characters of truth on, frequent characters start no run; that
+# rule isn't in the SQL.)
+_BEST = """list_max(list_transform(range(blo - ahi + 1, bhi - alo), lambda d: list_extract(list_transform(
+  [array_to_string(list_transform(range(greatest(alo, blo - d), least(ahi, bhi - d)), lambda i: CASE WHEN a[i + 1] = b[i + d + 1] THEN '1' ELSE '0' END), '')],
+  lambda f: list_extract(list_transform([coalesce(list_max(list_transform(regexp_extract_all(f, '1+'), lambda r: length(r))), 0)],
+    lambda k: {'k': k, 'i': -(greatest(alo, blo - d) + strpos(f, repeat('1', k)) - 1), 'j': -(greatest(alo, blo - d) + strpos(f, repeat('1', k)) - 1 + d)}), 1)), 1)))"""
+_ALIKE = f"""chars AS (SELECT pred_id, string_split(lower(prediction), '') AS a, string_split(lower(ground_truth), '') AS b FROM predictions WHERE prediction <> '' AND ground_truth <> ''),
+seg AS (SELECT pred_id, a, b, 0::BIGINT AS alo, len(a)::BIGINT AS ahi, 0::BIGINT AS blo, len(b)::BIGINT AS bhi, 0::BIGINT AS k FROM chars
+UNION ALL
+SELECT t.pred_id, t.a, t.b, c.alo, c.ahi, c.blo, c.bhi, c.k FROM (SELECT seg.*, {_BEST} AS m FROM seg WHERE ahi > alo AND bhi > blo) t,
+ unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j, 'k': m.k}}, {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi, 'k': 0}}]) u(c) WHERE m.k > 0),
+ratios AS (SELECT pred_id, sum(k)::DOUBLE * 2 / (any_value(len(a)) + any_value(len(b))) AS similarity FROM seg GROUP BY pred_id),
+alike AS (SELECT pred_id, CASE WHEN prediction IS NULL OR ground_truth IS NULL THEN NULL WHEN prediction = '' AND ground_truth = '' THEN 1.0 ELSE coalesce(similarity, 0.0) END AS similarity FROM predictions LEFT JOIN ratios USING (pred_id))"""
+
+
 def _with(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if _ALIKE in parts else "WITH ") + ",\n".join(parts) + "\n"
 
 
 def _hist(source: str) -> str:
@@ -300,7 +321,9 @@ ORACLE: dict[str, str] = {
     "batch_evaluation_file": _with(_ASKED, _ANSWERED) + "SELECT id, question, ground_truth, prediction FROM answered WHERE prediction IS NOT NULL",
     "batch_evaluation_report": _with(_ASKED, _ANSWERED, _JUDGED) + _REPORT.format(n="count(exact_match)", t="scored"),
     "model_evaluation": _with(_ASKED_AT, _ANSWERED, _JUDGED, "good AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM scored WHERE exact_match IS NOT NULL)") + "SELECT 'checkpoint-500' AS checkpoint, (SELECT count(*) FROM good) AS num_samples, (SELECT round(avg(exact_match::INT) * 100, 6) FROM good) AS exact_match_pct, pos, id, question, ground_truth, prediction, exact_match FROM good WHERE pos < 20",
-    "eval_report_rows": _with(_SCORED, "good AS (SELECT * FROM scored WHERE exact_match IS NOT NULL)") + "SELECT 'checkpoint-500' AS checkpoint, (SELECT count(*) FROM good) AS num_samples, (SELECT round(avg(exact_match::INT) * 100, 6) FROM good) AS exact_match_pct, pred_id, id, exact_match FROM good ORDER BY pred_id LIMIT 20",
+    "similarity_rows": _with(_ALIKE) + "SELECT pred_id, similarity FROM alike",
+    "similarity_eval": _with(_ALIKE) + "SELECT count(similarity) AS n_scored, round(coalesce(avg(similarity) * 100, 0), 6) AS avg_similarity_pct FROM alike",
+    "eval_report": _with(_ALIKE, _SCORED, "good AS (SELECT * FROM scored JOIN alike USING (pred_id) WHERE exact_match IS NOT NULL)") + "SELECT 'checkpoint-500' AS checkpoint, (SELECT count(*) FROM good) AS num_samples, (SELECT round(avg(exact_match::INT) * 100, 6) FROM good) AS exact_match_pct, (SELECT round(avg(similarity) * 100, 6) FROM good) AS avg_similarity_pct, pred_id, id, exact_match, similarity FROM good ORDER BY pred_id LIMIT 20",
     "records_round_trip": _FLAT + "train",
     "records_array_round_trip": _FLAT + "val",
     "images_round_trip": "SELECT 'image_' || id || '.jpg' AS name, octet_length(image)::BIGINT AS n_bytes FROM dataset WHERE image IS NOT NULL",
