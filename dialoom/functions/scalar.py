@@ -1,7 +1,8 @@
-"""Scalar functions; all of them stay inside the JVM."""
+"""Scalar functions; all but the number format stay inside the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +31,17 @@ def ellipsis(c: Column | str, n: int = 80) -> Column:
 
 def basename(c: Column | str) -> Column:
     return F.substring_index(F.col(c) if isinstance(c, str) else c, "/", -1)
+
+
+def fixed(c: Column | str, digits: int = 2, width: int = 0) -> Column:
+    """A number with a fixed number of digits, as text for reports.
+
+    The binary value is rounded, ties to even, as Python and C do; the JVM's formats round the shortest
+    decimal, ties up.
+    """
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else f"{v:{width}.{digits}f}" for v in x], dtype=object)
+
+    return text(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"))

@@ -7,24 +7,28 @@ written first. The number of ranges follows the number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.session import materialize, shuffle_partitions, written
+from dialoom.session import forget, materialize, shuffle_partitions, written
 
 
 #: Rows of one range.
 RANGE_ROWS = 2_000_000
 
 
-def _ordered(df: DataFrame, order_by: list, partitions: int | None) -> DataFrame:
+def _ordered(df: DataFrame, order_by: list, partitions: int | None, change: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``df`` in ranges, each sorted and changed, as a written table."""
     stored = df if written(df) else materialize(df, "unordered")
     n = partitions or max(shuffle_partitions(df.sparkSession), math.ceil(stored.count() / RANGE_ROWS))
-    return stored.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    out = materialize(change(stored.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)), name)
+    if stored is not df:
+        forget(stored)
+    return out
 
 
 def with_global_index(df: DataFrame, order_by: list, name: str = "idx", partitions: int | None = None) -> DataFrame:
@@ -35,7 +39,7 @@ def with_global_index(df: DataFrame, order_by: list, name: str = "idx", partitio
     per partition; the offsets go back as a map of that size. All columns move: give it keys
     and join the rest, or use :func:`running_total`.
     """
-    stored = materialize(_ordered(df, order_by, partitions).withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    stored = _ordered(df, order_by, partitions, lambda x: x.withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     part = F.shiftrightunsigned("_mid", 33)
     counts = stored.groupBy(part.alias("p")).count().collect()
     offset, start = [], 0
@@ -60,7 +64,7 @@ def running_total(df: DataFrame, keys: list[str], n: str, name: str, partitions:
             start = int(sums.iloc[-1]) if len(sums) else start
 
     kinds = ", ".join(f"`{k}` bigint" for k in keys)
-    stored = materialize(_ordered(df.select(*keys, n), keys, partitions).mapInPandas(within, f"{kinds}, _part int, _before bigint, _n bigint"), "totals")
+    stored = _ordered(df.select(*keys, n), keys, partitions, lambda x: x.mapInPandas(within, f"{kinds}, _part int, _before bigint, _n bigint"), "totals")
     offset, start = [], 0
     for r in sorted(stored.groupBy("_part").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r._part):
         offset.append((r._part, start))

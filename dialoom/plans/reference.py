@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom import schemas, sinks, sources
-from dialoom.functions import ellipsis
+from dialoom.functions import ellipsis, fixed
 from dialoom.operators import checkpoints, dialogue, evaluate, infer, pipeline, split, stats
 from dialoom.session import shared_dir
 from dialoom.sources import table
@@ -189,6 +189,7 @@ QUERIES: dict[str, Query] = {
     "question_length_hist50": _positional_hist("question"),
     "answer_length_hist50": _positional_hist("answer"),
     "description_length_stats": lambda s, d: stats.length_stats(table(s, d, "dataset"), "description"),
+    "description_length_shown": lambda s, d: stats.length_stats(table(s, d, "dataset"), "description").select(fixed("avg_len", 2).alias("avg_shown"), fixed("avg_len", 1, 9).alias("avg_padded")),
     "description_length_hist50": lambda s, d: stats.equal_width_histogram(table(s, d, "dataset"), F.length("description")),
     "answer_cardinality": lambda s, d: stats.cardinality(stats.assistant_texts(_turns(s, d)), "value"),
     "top20_answers": lambda s, d: stats.top_k(_answers(s, d)),
@@ -296,6 +297,7 @@ ORACLE: dict[str, str] = {
     "question_length_hist50": _with(_TURNS, _POS) + ", " + _hist("SELECT content AS x FROM pos WHERE kind = 'question'"),
     "answer_length_hist50": _with(_TURNS, _POS) + ", " + _hist("SELECT content AS x FROM pos WHERE kind = 'answer'"),
     "description_length_stats": "SELECT count(description)::BIGINT AS n, avg(length(description)) AS avg_len, min(length(description))::BIGINT AS min_len, max(length(description))::BIGINT AS max_len FROM dataset",
+    "description_length_shown": "SELECT printf('%.2f', avg(length(description))) AS avg_shown, printf('%9.1f', avg(length(description))) AS avg_padded FROM dataset",
     "description_length_hist50": "WITH " + _hist("SELECT description AS x FROM dataset"),
     "answer_cardinality": _with(_TURNS) + "SELECT count(content)::BIGINT AS total, count(DISTINCT content)::BIGINT AS distinct_values FROM turns WHERE role IN ('assistant','gpt')",
     "top20_answers": _with(_TURNS, _ANSWERS) + _TOP20.format(v="value", t="answers"),

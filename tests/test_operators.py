@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom import logs, sinks, sources, streaming
-from dialoom.functions import ellipsis, jpeg
+from dialoom.functions import ellipsis, fixed, jpeg
 from dialoom.functions.similarity import ratio
 from dialoom.operators import checkpoints, evaluate, infer, pipeline, ranking, skew, split, stats
 
@@ -81,7 +81,10 @@ def test_running_totals(spark):
 def test_lookup_of_a_hot_key(spark):
     rows = spark.createDataFrame([(i, 7 if i % 3 else None if i % 2 else i) for i in range(300)], "i long, k long").withColumn("_x", F.array(F.lit(1)))
     got = {x.i: x.v for x in skew.lookup(rows, spark.createDataFrame([(7, "h"), (6, "s")], "k long, v string"), ["k"], "left").collect()}
-    assert got == {i: "h" if i % 3 else None if i % 2 or i != 6 else "s" for i in range(300)}
+    want = {i: "h" if i % 3 else None if i % 2 or i != 6 else "s" for i in range(300)}
+    assert got == want
+    table, hot = spark.createDataFrame([(7, "h"), (6, "s")], "k long, v string"), spark.createDataFrame([(7, 5)], "k long, parts int")
+    assert {x.i: x.v for x in skew.lookup(rows, table, ["k"], "left", hot=hot).collect()} == want
 
 
 def _answerer():
@@ -205,6 +208,12 @@ def test_ellipsis(spark):
     assert got == ["a" * 80 + "...", "b", None]
 
 
+def test_fixed_digits_like_python(spark):
+    values = [0.125, 2.675, -0.0, 1e15, 7.0, None, 0.5]
+    got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(fixed("v", 2, 6).alias("s")).collect()]
+    assert got == [None if v is None else f"{v:6.2f}" for v in values]
+
+
 def test_streams(spark, tmp_path):
     t = datetime.datetime(2024, 5, 1, 10)
     rows = [(1, 1, 0, "user", "q", 1, t, t), (2, 1, 0, "user", "q", 1, t, t), (3, 1, 1, "gpt", "a", 1, t, t)]
