@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.formatting_copies import fields_of
 from dialoom.llm.lookalikes import look, no_accents
-from dialoom.session import materialize
+from dialoom.session import forget, materialize
 
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*")
 _APART = regex.compile(r"\n|[;|:,]\s")
@@ -75,18 +75,25 @@ def flat(word: str) -> str:
     return no_accents(word)
 
 
+@lru_cache(1 << 16)
+def _opening(first: tuple[str, ...]) -> int:
+    """Words of the form of address that the first (at most four) words of a text begin with; it's never the whole text."""
+    return next((len(p) for p in _STARTS if len(p) < len(first) and (first[: len(p)] == p or len(p) > 1 and all(map(slip, first, p)))), 0)
+
+
+@lru_cache(1 << 16)
+def _closing(last: tuple[str, ...]) -> int:
+    return next((len(p) for p in _ENDS if len(p) < len(last) and last[len(last) - len(p) :] == p), 0)
+
+
 def _strip(ws: list[str], plain: list[str]) -> tuple[list[str], list[str]]:
-    again = True
-    while again and len(ws) > 1:
-        again = False
-        for p in _STARTS:
-            if len(p) < len(ws) and (tuple(plain[: len(p)]) == p or len(p) > 1 and all(map(slip, plain, p))):
-                ws, plain, again = ws[len(p) :], plain[len(p) :], True
-                break
-        for p in _ENDS:
-            if len(p) < len(ws) and tuple(plain[len(plain) - len(p) :]) == p:
-                ws, plain, again = ws[: -len(p)], plain[: -len(p)], True
-                break
+    while len(ws) > 1:
+        a = _opening(tuple(plain[:4]))
+        ws, plain = ws[a:], plain[a:]
+        b = _closing(tuple(plain[-3:]))
+        ws, plain = ws[: len(ws) - b], plain[: len(plain) - b]
+        if not a and not b:
+            break
     return ws, plain
 
 
@@ -112,6 +119,11 @@ def normal_words(text: str) -> list[str]:
     return _strip(ws, [flat(w) for w in ws])[0] if fields is None else ws
 
 
+@lru_cache(1 << 13)
+def _question(value: str) -> str:
+    return " ".join(question_words(value))  # questions recur
+
+
 def question_words(value: str) -> list[str]:
     return normal_words(value.replace("<image>", " "))
 
@@ -314,9 +326,8 @@ def _minwise(kind: str, n: int, seed: int) -> _Minwise:
 
 def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        qs = [question_words(q) for q in pdf["question"]]
-        answers = [normal_words(a) for a in pdf["answer"]]
-        yield pdf[["key", "picture"]].assign(q=[" ".join(w) for w in qs], a=[" ".join(w) for w in answers], long=[len(look(a)) for a in pdf["answer"]])
+        answers = [" ".join(normal_words(a)) for a in pdf["answer"]]
+        yield pdf[["key", "picture"]].assign(q=list(map(_question, pdf["question"])), a=answers, long=[len(look(a)) for a in pdf["answer"]])
 
 
 def normal_records(df: DataFrame, least: int) -> DataFrame:
@@ -436,7 +447,10 @@ class Overlap:
     def found(self) -> DataFrame:
         """(picture, x0, x1, y0, y1): the candidates; without a picture where the texts alone brought them."""
         st, sv = materialize(_signatures(self.t, self.v), "tsigned"), materialize(_signatures(self.v, self.t), "vsigned")
-        return materialize(_candidates(st, sv, self.crowd, self.similarity), "candidates")
+        out = materialize(_candidates(st, sv, self.crowd, self.similarity), "candidates")
+        for used in (st, sv):
+            forget(used)
+        return out
 
     @cached_property
     def texts(self) -> DataFrame:
