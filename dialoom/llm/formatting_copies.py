@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from dialoom.llm.lookalikes import bare, look
-from dialoom.session import materialize, shuffle_partitions
+from dialoom.operators.ranking import RANGE_ROWS
+from dialoom.session import forget, materialize, shuffle_partitions
 
 _EDGE = r"[\s\p{P}$+<=>^`|~]*"
 _OBJECT = regex.compile(rf"{_EDGE}?(\{{.*\}}){_EDGE}", regex.S)
@@ -115,10 +117,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sorted_runs(records: DataFrame, partitions: int | None = None) -> DataFrame:
     """(tab, id, keep_id) for records (tab, id, key): keep_id is the smallest id with that key."""
     spark = records.sparkSession
-    n = partitions or shuffle_partitions(spark)
     # range partitioning reads its input twice (bounds, then rows): keys are made once
-    ordered = materialize(records.select("tab", "key", "id"), "keys").repartitionByRange(n, "tab", "key", "id").sortWithinPartitions("tab", "key", "id")
+    keys = materialize(records.select("tab", "key", "id"), "keys")
+    n = partitions or max(shuffle_partitions(spark), math.ceil(keys.count() / RANGE_ROWS))
+    ordered = keys.repartitionByRange(n, "tab", "key", "id").sortWithinPartitions("tab", "key", "id")
     scanned = materialize(ordered.mapInPandas(_scan, "tab string, id bigint, keep_id bigint, head boolean, part int, first string, last string"), "runs")
+    forget(keys)
     fixes, before, true_keep = [], None, None
     for b in sorted(scanned.where("first is not null").collect(), key=lambda b: b.part):
         joined = b["first"] == before

@@ -307,4 +307,5 @@ def assign(records: DataFrame, row_key: str, key: str, entity: str, label: str,
     # splits x bundles rows; positions of a size are consecutive
     cut = records.sparkSession.createDataFrame(cuts, "size bigint, _from bigint, _to bigint, split string")
     chosen = ranked.select("component", "size", "_at").join(cut, "size").where("_at >= _from and _at < _to").select("component", "split")
-    return lookup(placed, chosen, ["component"]).select(F.col("_row").alias(row_key), "split")
+    hot = sized.where(F.col("size") > HOT).select("component", F.ceil(F.col("size") / HOT).alias("parts"))  # at most records / HOT rows
+    return lookup(placed, chosen, ["component"], hot=hot).select(F.col("_row").alias(row_key), "split")

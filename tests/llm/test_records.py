@@ -303,7 +303,8 @@ def test_mixed_profiles_keep_all_quotas():
             assert abs(sum(c * g[j] for g, c in zip(got, of)) - p * sum(c * n for c, (_, _, n) in zip(of, bundles))) <= 8
 
 
-def test_few_profiles_and_labels_still_meet_the_quotas(spark):
+def test_few_profiles_and_labels_still_meet_the_quotas(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT", 7)  # every component of more records is spread
     r = random.Random(6)
     rows = [(i, r.randrange(500), None, f"l{r.randrange(40)}") for i in range(3000)]
     df = spark.createDataFrame(rows, "row_id long, item long, pic long, kind string")
