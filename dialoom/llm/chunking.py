@@ -11,7 +11,7 @@ Sizes are counted in tokens and checked on the finished piece. A piece starts up
 boundary, and any word larger than a quarter of the limit, is cut between characters at
 landmarks of its own. Pieces cover the text without gaps. A text of at most ``most`` tokens is one piece.
 
-Null and empty texts give no piece. Repeated rows give equal pieces. An empty table gives an
+Null and empty texts, and texts without a key, give no piece. Repeated rows give equal pieces. An empty table gives an
 empty result. Extra columns are ignored.
 """
 
@@ -185,6 +185,6 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
             rows = [(k, p, a, b, KINDS[kind], n, t[a:b]) for k, t in zip(pdf["key"], pdf["text"]) for p, (a, b, kind, n) in enumerate(cut(t, units, most, least, overlap))]
             yield pd.DataFrame(rows, columns=["key", "piece", "start", "end", "boundary", "tokens", "text"])
 
-    wanted = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    wanted = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0")
     out = wanted.mapInPandas(run, "key bigint, piece int, start int, end int, boundary string, tokens int, text string")
     return out.withColumnRenamed("key", key) if key != "key" else out

@@ -11,7 +11,7 @@ The key is the look of the text (``lookalikes``) without white space, punctuatio
 Contents of three or more ``label: value`` fields, or a JSON object, give the sorted list
 of their fields instead. Symbols such as emoji and letters with other accents stay distinct.
 
-Nulls and texts with fewer than ``least`` letters and digits have no key and no copies.
+Nulls, texts with fewer than ``least`` letters and digits and rows without an id have no key and no copies.
 Repeated rows (equal ids) count as copies of one another and yield no pair of an id with
 itself. Very long texts are keyed and compared in full. An empty table gives an empty
 result. Extra columns are ignored.
@@ -139,11 +139,11 @@ def sorted_runs(records: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def copies(df: DataFrame, column: str, key: str, by: str, least: int = 40) -> DataFrame:
     """(tab, keep_id, copy_id): each further row of a group of equal records."""
-    records = keyed(df.select(F.col(by).alias("tab"), F.col(key).alias("id"), F.col(column).alias("_text")).where(F.length("_text") >= least // 2), "_text", "key", least)
+    records = keyed(df.select(F.col(by).alias("tab"), F.col(key).alias("id"), F.col(column).alias("_text")).where(F.col("id").isNotNull() & (F.length("_text") >= least // 2)), "_text", "key", least)
     return sorted_runs(records).where("id <> keep_id").select("tab", "keep_id", F.col("id").alias("copy_id"))
 
 
 def collapsed(df: DataFrame, column: str, key: str, by: str, least: int = 40) -> DataFrame:
     """(tab, keep_id, n_copies): one representative per text and the number of its rows."""
-    records = keyed(df.select(F.col(by).alias("tab"), F.col(key).alias("id"), F.col(column).alias("_text")).where(F.length("_text") >= least // 2), "_text", "key", least)
+    records = keyed(df.select(F.col(by).alias("tab"), F.col(key).alias("id"), F.col(column).alias("_text")).where(F.col("id").isNotNull() & (F.length("_text") >= least // 2)), "_text", "key", least)
     return sorted_runs(records).groupBy("tab", "keep_id").agg(F.count("*").alias("n_copies"))

@@ -22,7 +22,7 @@ one pass over the corpus and one index at a time, with statistics of the whole s
 is never shuffled; only hits leave a task. A text of any length is handled in time linear in it.
 Copies of a document are documents of their own.
 
-Nulls and empty texts contain nothing. Items with short passages can't leak by definition.
+Nulls and empty texts contain nothing, and a document without a key is in no result. Items with short passages can't leak by definition.
 Repeated rows give one result. Empty tables give an empty result. Extra columns are ignored.
 """
 
@@ -394,4 +394,4 @@ def _search(docs: DataFrame, index) -> DataFrame:
             out = ix.search(pdf["text"].tolist(), cache)
             yield pd.DataFrame({"item_id": [i for _, i in out], "doc_id": [keys[n] for n, _ in out]})
 
-    return docs.where(F.length("text") > 0).mapInPandas(run, "item_id bigint, doc_id bigint")
+    return docs.where("doc_id is not null and length(text) > 0").mapInPandas(run, "item_id bigint, doc_id bigint")

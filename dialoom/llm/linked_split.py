@@ -269,7 +269,8 @@ def components_of(records: DataFrame, row_key: str, key: str, entity: str) -> Da
     name = lambda c, of: F.concat(F.lit(c), F.col(of).cast("string"))
     linked = lookup(records.where(F.col(key).isNotNull()), links(records, key, entity).withColumnRenamed("k", key), [key], "left")
     linked = linked.withColumn("component", F.concat(F.lit("k"), F.coalesce("component", key).cast("string")))
-    of_entity = linked.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.min("component").alias("component"))
+    keyless = records.where(F.col(key).isNull() & F.col(entity).isNotNull()).select(entity).distinct()
+    of_entity = linked.join(keyless, entity, "left_semi").groupBy(entity).agg(F.min("component").alias("component"))
     alone = lookup(records.where(F.col(key).isNull()), of_entity, [entity], "left").withColumn("component", F.coalesce("component", name("e", entity), name("r", row_key)))
     return linked.unionByName(alone)
 

@@ -13,7 +13,7 @@ A text that fits a container is never split. A larger one is cut at spaces into
 and a rest, which is an item like any other; only a run without spaces that alone exceeds
 the capacity is cut inside, between characters. Pieces joined give the text again.
 
-Null and empty texts have nothing to place and get no row. Repeated rows are placed each.
+Null and empty texts have nothing to place and get no row; neither do texts without a key. Repeated rows are placed each.
 Equal sizes are placed in the order of the key. An empty table gives an empty result. Extra
 columns are ignored.
 """
@@ -94,7 +94,7 @@ def items(docs: DataFrame, key: str, text: str, capacity: int, vocabulary: str =
             rows = [(k, p, a, b, n) for k, t in zip(pdf["key"], pdf["text"]) for p, (a, b, n) in enumerate(split_text(sizer, t, capacity))]
             yield pd.DataFrame(rows, columns=["key", "piece", "start", "end", "tokens"])
 
-    wanted = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    wanted = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0")
     return wanted.mapInPandas(run, "key bigint, piece int, start int, end int, tokens int")
 
 

@@ -19,7 +19,7 @@ Normal form: look (``lookalikes``), case, punctuation and forms of address remov
 of a record in sorted order, digit groups joined. If one side is written without accents,
 the accents of the other don't count.
 
-A null question or answer overlaps nothing; a null picture number equals none. Empty texts
+A null key, question or answer overlaps nothing; a null picture number equals none. Empty texts
 have no words and overlap nothing. Very long texts are hashed in time linear in them and
 aligned only if their similarity suffices. Repeated rows give a pair each. Empty tables give
 an empty result. Extra columns play no part. Building a query runs the jobs that fill its
@@ -327,15 +327,24 @@ def _minwise(kind: str, n: int, seed: int) -> _Minwise:
 def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         answers = [" ".join(normal_words(a)) for a in pdf["answer"]]
-        yield pdf[["key", "picture"]].assign(q=list(map(_question, pdf["question"])), a=answers, long=[len(look(a)) for a in pdf["answer"]])
+        yield pdf[["key", "picture", "none"]].assign(q=list(map(_question, pdf["question"])), a=answers, long=[len(look(a)) for a in pdf["answer"]])
+
+
+# pandas would make floats of nullable numbers: no nulls go there
+def _picture() -> list[Column]:
+    return [F.coalesce("picture", F.lit(0).cast("bigint")).alias("picture"), F.col("picture").isNull().alias("none")]
+
+
+def _picture_back() -> Column:
+    return F.when(~F.col("none"), F.col("picture")).alias("picture")
 
 
 def normal_records(df: DataFrame, least: int) -> DataFrame:
     """(key, picture, t0, t1, q, a, far): normal form of each record, 128 bits that stand for it, and
     whether the text alone may decide. Records with a null or wordless text are left out."""
-    rows = df.select("key", "picture", "question", "answer").where(F.col("question").isNotNull() & F.col("answer").isNotNull())
-    out = rows.mapInPandas(_normalised, "key bigint, picture bigint, q string, a string, long int").where("q <> '' and a <> ''")
-    return out.select("key", "picture", F.xxhash64("q", "a").alias("t0"), F.xxhash64(F.lit(7), "a", "q").alias("t1"), "q", "a", (F.col("long") >= least).alias("far"))
+    rows = df.where("key is not null and question is not null and answer is not null").select("key", *_picture(), "question", "answer")
+    out = rows.mapInPandas(_normalised, "key bigint, picture bigint, none boolean, q string, a string, long int").where("q <> '' and a <> ''")
+    return out.select("key", _picture_back(), F.xxhash64("q", "a").alias("t0"), F.xxhash64(F.lit(7), "a", "q").alias("t1"), "q", "a", (F.col("long") >= least).alias("far"))
 
 
 def _bitmaps(sets: list[set[str]]) -> np.ndarray:
@@ -356,8 +365,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [grams(q, a) for q, a in words]
         s = np.stack([m.of(g) for g in sets])
         number = np.array([_hash(digits(q)) << 32 | _hash(digits(a)) for q, a in words], np.uint64)
-        near = pdf["picture"].notna().to_numpy()
-        scope = pd.util.hash_array(pdf["picture"].fillna(0).to_numpy(np.int64))
+        near = ~pdf["none"].to_numpy(bool)
+        scope = pd.util.hash_array(pdf["picture"].to_numpy(np.int64))
         buckets = np.empty(len(pdf), object)
         for at, key, (rows, n) in ((np.flatnonzero(near), number ^ scope, NEAR), (np.flatnonzero(~near), number, FAR)):
             for i, b in zip(at, _fold(key[at], s[at], rows, n)):
@@ -372,10 +381,10 @@ def _signed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
             s = np.stack([m.of(grams(q.split(" "), a.split(" "))) for q, a in zip(pdf["q"], pdf["a"])])
-            yield pdf[["t0", "t1", "picture"]].assign(buckets=list(_fold(pdf["bucket"].to_numpy().view(np.uint64), s, *CROWDED)))
+            yield pdf[["t0", "t1", "picture", "none"]].assign(buckets=list(_fold(pdf["bucket"].to_numpy().view(np.uint64), s, *CROWDED)))
 
 
-_ID = "t0 bigint, t1 bigint, picture bigint"
+_ID = "t0 bigint, t1 bigint, picture bigint, none boolean"
 
 
 def _signatures(own: DataFrame, other: DataFrame) -> DataFrame:
@@ -383,7 +392,9 @@ def _signatures(own: DataFrame, other: DataFrame) -> DataFrame:
     pictures = other.where("picture is not null").select("picture").distinct()
     near = own.where("picture is not null").join(pictures, "picture", "left_semi").select("t0", "t1", "picture", "q", "a")
     far = own.where("far").select("t0", "t1", F.lit(None).cast("bigint").alias("picture"), "q", "a")
-    return near.unionByName(far).distinct().mapInPandas(_signed, f"{_ID}, q string, a string, n int, {', '.join(f'w{i} bigint' for i in range(BITS))}, buckets array<bigint>")
+    rows = near.unionByName(far).distinct().select("t0", "t1", *_picture(), "q", "a")
+    out = rows.mapInPandas(_signed, f"{_ID}, q string, a string, n int, {', '.join(f'w{i} bigint' for i in range(BITS))}, buckets array<bigint>")
+    return out.withColumn("picture", _picture_back()).drop("none")
 
 
 def _meet(t: DataFrame, v: DataFrame, salts: int = 1) -> DataFrame:
@@ -407,7 +418,8 @@ def _candidates(t: DataFrame, v: DataFrame, crowd: int, similarity: float) -> Da
     if crowded.isEmpty():
         met = _meet(bt, bv)
     else:
-        again = lambda df: bands(df.select("t0", "t1", "picture", "q", "a", F.explode("buckets").alias("bucket")).join(crowded, "bucket", "left_semi").mapInPandas(_signed_again, f"{_ID}, buckets array<bigint>"))
+        own = lambda df: df.select("t0", "t1", *_picture(), "q", "a", F.explode("buckets").alias("bucket")).join(crowded, "bucket", "left_semi")
+        again = lambda df: bands(own(df).mapInPandas(_signed_again, f"{_ID}, buckets array<bigint>").withColumn("picture", _picture_back()))
         met = _meet(bt.join(crowded, "bucket", "left_anti"), bv.join(crowded, "bucket", "left_anti")).unionByName(_meet(again(t), again(v), 8)).distinct()
     # a bit that only one side has is an element that only one side has: an upper bound of the similarity
     words = range(BITS)

@@ -215,3 +215,10 @@ def test_pieces_of_a_table(spark):
     assert chunking.pieces(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         chunking.pieces(df, most=100, least=90, overlap=20)
+
+
+def test_null_keys_are_left_out_and_large_ones_kept(spark):
+    text = " ".join(leakage.passages(ITEMS)[3])
+    docs = spark.createDataFrame([(2**53 + 1, text), (None, text)], "doc_id bigint, text string")
+    assert [r.doc_id for r in leakage.leaks(docs, spark.createDataFrame(list(ITEMS.items()), "item_id bigint, text string")).collect()] == [2**53 + 1]
+    assert {r.doc_id for r in chunking.pieces(docs).collect()} == {2**53 + 1} == {r.doc_id for r in packing.pack(docs).collect()}

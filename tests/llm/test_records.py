@@ -201,6 +201,14 @@ def test_a_hot_short_text_meets_only_within_its_picture(spark):
     assert len(rows) == len(set(rows)) == 600 and all((x.held_out_key - 5000) % 100 == x.train_key % 50 for x in rows)
 
 
+def test_large_picture_numbers_and_null_keys(spark):
+    schema = "key long, picture long, question string, answer string"
+    big = 2**53
+    train = spark.createDataFrame([(big + 1, big + 1, "Có ai không?", "Không có ai."), (2, big, "Có ai không?", "Không có ai."), (None, big, "Có ai không?", "Không có ai."), (4, None, "Có ai không?", "Không có ai.")], schema)
+    held = spark.createDataFrame([(big + 3, big, "Có ai không", "không có ai"), (big + 5, big + 1, "Có ai không", "không có ai"), (None, big, "Có ai không", "không có ai"), (8, None, None, None)], schema)
+    assert {tuple(x) for x in S.overlaps(train, held).collect()} == {(2, big + 3), (big + 1, big + 5)}
+
+
 def test_unstated_accents_count():
     assert not S.same_words("nước Đỏ ở chợ Lê".casefold().split(), "nước Đo ở chợ Lề".casefold().split())
 
