@@ -138,7 +138,7 @@ class _Minwise:
     The table of a worker is emptied when it is full, so its memory is bounded.
     """
 
-    def __init__(self, n: int, seed: int, most: int = 1 << 15):
+    def __init__(self, n: int, seed: int, most: int = 1 << 14):
         r = np.random.default_rng(seed)
         self.a, self.b = r.integers(1, 1 << 62, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 62, n, dtype=np.uint64)
         self.most, self.at, self.table = most, {}, np.empty((1024, n), np.uint32)
@@ -311,8 +311,9 @@ def same_record(q1: list[str], a1: list[str], q2: list[str], a2: list[str], simi
 
 # ---------------------------------------------------------------- Spark
 
-#: Hashes a band and bands: within a picture, over texts alone, and within a crowded bucket.
-NEAR, FAR, CROWDED = (3, 12), (8, 36), (6, 24)
+#: Hashes a band and bands: within a picture, over texts alone (a pair of similarity 0.8 meets with probability 0.998,
+#: one of 0.5 with 0.05), and within a crowded bucket.
+NEAR, FAR, CROWDED = (3, 12), (10, 56), (6, 24)
 #: Words of the bitmap of a text's 3-grams.
 BITS = 8
 _MADE: dict[str, _Minwise] = {}
