@@ -382,7 +382,7 @@ def _signed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
             s = np.stack([m.of(grams(q.split(" "), a.split(" "))) for q, a in zip(pdf["q"], pdf["a"])])
-            yield pdf[["t0", "t1", "picture", "none"]].assign(buckets=list(_fold(pdf["bucket"].to_numpy().view(np.uint64), s, *CROWDED)))
+            yield pdf[["t0", "picture", "none"]].assign(buckets=list(_fold(pdf["bucket"].to_numpy().view(np.uint64), s, *CROWDED)))
 
 
 _ID = "t0 bigint, t1 bigint, picture bigint, none boolean"
@@ -399,34 +399,35 @@ def _signatures(own: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def _meet(t: DataFrame, v: DataFrame, salts: int = 1) -> DataFrame:
-    """(picture, x0, x1, y0, y1): texts of both sides that share a bucket, once."""
-    a = t.select(F.col("picture").alias("_p"), "bucket", F.col("t0").alias("x0"), F.col("t1").alias("x1"))
-    b = v.select("picture", F.col("bucket").alias("_b"), F.col("t0").alias("y0"), F.col("t1").alias("y1"))
+    """(picture, x0, y0): texts of both sides that share a bucket, once. Half of the bits of a text will do here:
+    those that share them come along and are told apart afterwards."""
+    a = t.select(F.col("picture").alias("_p"), "bucket", F.col("t0").alias("x0"))
+    b = v.select("picture", F.col("bucket").alias("_b"), F.col("t0").alias("y0"))
     on = (F.col("bucket") == F.col("_b")) & F.col("_p").eqNullSafe(F.col("picture"))
     if salts > 1:
         a = a.withColumn("_s", F.pmod("x0", F.lit(salts)))
         b = b.withColumn("_z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         on = on & (F.col("_s") == F.col("_z"))
-    return a.join(b, on).select("picture", "x0", "x1", "y0", "y1").distinct()
+    return a.join(b, on).select("picture", "x0", "y0").distinct()
 
 
 def _candidates(t: DataFrame, v: DataFrame, crowd: int, similarity: float) -> DataFrame:
     """Pairs of texts that share a bucket and may be similar enough; crowded buckets are split by further bands first."""
-    bands = lambda df: df.select("t0", "t1", "picture", F.explode("buckets").alias("bucket"))
+    bands = lambda df: df.select("t0", "picture", F.explode("buckets").alias("bucket"))
     bt, bv = bands(t), bands(v)
     full = lambda df: df.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("bucket")
     crowded = materialize(full(bt).unionByName(full(bv)).distinct(), "crowded")
     if crowded.isEmpty():
         met = _meet(bt, bv)
     else:
-        own = lambda df: df.select("t0", "t1", *_picture(), "q", "a", F.explode("buckets").alias("bucket")).join(crowded, "bucket", "left_semi")
-        again = lambda df: bands(own(df).mapInPandas(_signed_again, f"{_ID}, buckets array<bigint>").withColumn("picture", _picture_back()))
+        own = lambda df: df.select("t0", *_picture(), "q", "a", F.explode("buckets").alias("bucket")).join(crowded, "bucket", "left_semi")
+        again = lambda df: bands(own(df).mapInPandas(_signed_again, "t0 bigint, picture bigint, none boolean, buckets array<bigint>").withColumn("picture", _picture_back()))
         met = _meet(bt.join(crowded, "bucket", "left_anti"), bv.join(crowded, "bucket", "left_anti")).unionByName(_meet(again(t), again(v), 8)).distinct()
     # a bit that only one side has is an element that only one side has: an upper bound of the similarity
     words = range(BITS)
     a = t.select(F.col("picture").alias("_p"), F.col("t0").alias("x0"), F.col("t1").alias("x1"), F.col("n").alias("nx"), *(F.col(f"w{i}").alias(f"x_{i}") for i in words))
     b = v.select(F.col("picture").alias("_q"), F.col("t0").alias("y0"), F.col("t1").alias("y1"), *(F.col(f"w{i}").alias(f"y_{i}") for i in words))
-    both = met.join(a, ["x0", "x1"]).where(F.col("picture").eqNullSafe(F.col("_p"))).join(b, ["y0", "y1"]).where(F.col("picture").eqNullSafe(F.col("_q")))
+    both = met.join(a, "x0").where(F.col("picture").eqNullSafe(F.col("_p"))).join(b, "y0").where(F.col("picture").eqNullSafe(F.col("_q")))
     only = lambda p, q: sum((F.bit_count(F.col(f"{p}_{i}").bitwiseAND(F.bitwise_not(f"{q}_{i}"))) for i in words), F.lit(0))
     return both.where(F.col("nx") - only("x", "y") >= similarity * (F.col("nx") + only("y", "x"))).select("picture", "x0", "x1", "y0", "y1")
 
