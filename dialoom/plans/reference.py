@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from dialoom import schemas, sinks, sources
 from dialoom.functions import ellipsis, fixed
 from dialoom.operators import checkpoints, dialogue, evaluate, infer, pipeline, split, stats
-from dialoom.session import shared_dir
+from dialoom.session import scratch
 from dialoom.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,14 +111,14 @@ def batch_evaluation(s: SparkSession, d: str) -> DataFrame:
 
 def batch_evaluation_file(s: SparkSession, d: str) -> DataFrame:
     """The predictions as read back from the file they were written to."""
-    path = f"{shared_dir(s)}/predictions-{uuid.uuid4().hex}.json"
+    path = scratch(s, "predictions", ".json")
     pipeline.batch_evaluate(table(s, d, "val"), _stub, path, position="row_id")
     return s.read.schema(schemas.PREDICTION).option("multiLine", True).json(path)
 
 
 def model_evaluation(s: SparkSession, d: str) -> DataFrame:
     """The report over the first 100 records, as read back from its file, one row a result."""
-    path = f"{shared_dir(s)}/report-{uuid.uuid4().hex}.json"
+    path = scratch(s, "report", ".json")
     pipeline.evaluate_model(table(s, d, "val"), _stub, "checkpoint-500", output=path)
     report = s.read.schema("checkpoint string, num_samples bigint, exact_match double, results array<struct<id string, question string, ground_truth string, prediction string, exact_match boolean>>").option("multiLine", True).json(path)
     return report.select("checkpoint", "num_samples", F.round("exact_match", 6).alias("exact_match_pct"), F.posexplode("results").alias("pos", "r")).select("checkpoint", "num_samples", "exact_match_pct", F.col("pos").cast("bigint").alias("pos"), "r.id", "r.question", "r.ground_truth", "r.prediction", "r.exact_match")
@@ -143,28 +142,28 @@ def _flat_records(df: DataFrame) -> DataFrame:
 
 def records_round_trip(s: SparkSession, d: str) -> DataFrame:
     """The training records as read back from JSON Lines."""
-    path = f"{shared_dir(s)}/records-{uuid.uuid4().hex}.jsonl"
+    path = scratch(s, "records", ".jsonl")
     sinks.write_json_lines(table(s, d, "train").select("id", "image", "conversations"), path)
     return _flat_records(sources.records(s, path))
 
 
 def records_array_round_trip(s: SparkSession, d: str) -> DataFrame:
     """The evaluation records as read back from one JSON array."""
-    path = f"{shared_dir(s)}/records-{uuid.uuid4().hex}.json"
+    path = scratch(s, "records", ".json")
     sinks.write_json_array(table(s, d, "val").select("id", "image", "conversations"), path)
     return _flat_records(sources.records(s, path))
 
 
 def images_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Pictures as stored and read back: name and bytes."""
-    folder = f"{shared_dir(s)}/images-{uuid.uuid4().hex}"
+    folder = scratch(s, "images")
     sinks.write_images(table(s, d, "dataset"), folder.removeprefix("file://").removeprefix("file:"), encoder=bytes).agg(F.count_if("image_ok")).collect()
     return sources.images(s, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").cast("bigint").alias("n_bytes"))
 
 
 def prepared_once(s: SparkSession, d: str) -> DataFrame:
     """Both record files prepared twice: the second time they are there."""
-    folder = f"{shared_dir(s)}/prepared-{uuid.uuid4().hex}"
+    folder = scratch(s, "prepared")
     files = {n: table(s, d, n).select("id", "image", "conversations") for n in ("train", "val")}
     runs = [(i, *(r := sinks.prepare_once(files, folder)).values()) for i in range(2) for _ in (0,)]
     return s.createDataFrame(runs, "run bigint, train bigint, val bigint, status string")

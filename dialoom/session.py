@@ -30,10 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str, suffix: str = "") -> str:
+    """A new path in the shared folder; what is there is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/dialoom-{name}-{uuid.uuid4().hex}{suffix}"
+    if not _written:
+        atexit.register(_tidy)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dialoom-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -41,9 +50,6 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     writer.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._dialoom_path = path
-    if not _written:
-        atexit.register(_tidy)
-    _written.append((spark, path))
     return out
 
 
