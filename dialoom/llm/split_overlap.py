@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import cached_property, lru_cache
 
@@ -132,6 +132,19 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
+class _Rows(dict):
+    """The row of each string in a table of its hashes, made when it is first asked for."""
+
+    def __init__(self, table: _Minwise):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, gram: str) -> int:
+        self[gram] = i = len(self)
+        self.table.fill(i, _hash(gram))
+        return i
+
+
 class _Minwise:
     """Minwise hashes of sets of strings; the hashes of a string are made once and looked up.
 
@@ -141,27 +154,26 @@ class _Minwise:
     def __init__(self, n: int, seed: int, most: int = 1 << 14):
         r = np.random.default_rng(seed)
         self.a, self.b = r.integers(1, 1 << 62, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 62, n, dtype=np.uint64)
-        self.most, self.at, self.table = most, {}, np.empty((1024, n), np.uint32)
-
-    def _row(self, gram: str) -> int:
-        i = self.at.get(gram)
-        if i is None:
-            i = self.at[gram] = len(self.at)
-            if i == len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            h = (np.uint64(_hash(gram)) + self.b) * self.a
-            h ^= h >> np.uint64(29)
-            self.table[i] = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
-        return i
+        self.most, self.at = most, _Rows(self)
+        self.table, self.plain = np.empty((1024, n), np.uint32), np.empty(1024, np.int64)
 
-    def of(self, grams: set[str]) -> np.ndarray:
+    def fill(self, i: int, value: int) -> None:
+        if i == len(self.table):
+            self.table, self.plain = (np.concatenate([t, np.empty_like(t)]) for t in (self.table, self.plain))
+        h = (np.uint64(value) + self.b) * self.a
+        h ^= h >> np.uint64(29)
+        self.table[i] = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+        self.plain[i] = value
+
+    def of(self, grams: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The least value of each hash, and one plain hash of every string."""
         if len(self.at) + len(grams) > self.most:
             self.at.clear()
-        rows = np.fromiter(map(self._row, grams), np.int64, len(grams))
+        rows = np.fromiter(map(self.at.__getitem__, grams), np.int64, len(grams))
         out = self.table[rows[:1024]].min(0)
         for s in range(1024, len(rows), 1024):
             out = np.minimum(out, self.table[rows[s : s + 1024]].min(0))
-        return out
+        return out, self.plain[rows]
 
 
 def _fold(key: np.ndarray, hashes: np.ndarray, rows: int, n: int) -> np.ndarray:
@@ -174,18 +186,18 @@ def _fold(key: np.ndarray, hashes: np.ndarray, rows: int, n: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def grams(q: list[str], a: list[str], n: int = 3) -> set[str]:
-    """Character n-grams of the words of question and answer, without accents."""
-    out = set()
+def grams(q: list[str], a: list[str]) -> set[str]:
+    """Character 3-grams of the words of question and answer, without accents."""
+    out: set[str] = set()
     for tag, ws in (("q", q), ("a", a)):
         s = " " + " ".join(map(flat, ws)) + " "
-        out.update(tag + s[i : i + n] for i in range(max(1, len(s) - n + 1)))
+        out.update([tag + s[i : i + 3] for i in range(max(1, len(s) - 2))])
     return out
 
 
 def digits(ws: list[str]) -> str:
     """The digits of a text's numbers, sorted: equal for texts of which ``same_words`` holds."""
-    return "".join(sorted(c for w in ws if w[0].isdigit() for c in flat(w) if c.isdigit()))
+    return "".join(sorted([c for w in ws if w[0].isdigit() for c in flat(w) if c.isdigit()]))
 
 
 def jaccard(x: set[str], y: set[str]) -> float:
@@ -196,16 +208,19 @@ def slip(x: str, y: str) -> bool:
     """Whether two words differ by one dropped, doubled or swapped letter."""
     if x == y:
         return True
-    if not x or not y or x[0].isdigit() or y[0].isdigit():
-        return False
     if len(x) > len(y):
         x, y = y, x
-    if len(y) - len(x) == 1 and len(y) >= 2:
-        return any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
-    if len(x) == len(y):
-        d = [i for i in range(len(x)) if x[i] != y[i]]
-        return len(d) == 2 and d[1] == d[0] + 1 and x[d[0]] == y[d[1]] and x[d[1]] == y[d[0]]
-    return False
+    longer = len(y) - len(x)
+    if longer > 1 or not x or x[0].isdigit() or y[0].isdigit():
+        return False
+    i = 0
+    for c, d in zip(x, y):
+        if c != d:
+            break
+        i += 1
+    if longer:
+        return x[i:] == y[i + 1 :]
+    return i + 1 < len(x) and x[i] == y[i + 1] and x[i + 1] == y[i] and x[i + 2 :] == y[i + 2 :]
 
 
 def same_words(x: list[str], y: list[str]) -> bool:
@@ -348,10 +363,10 @@ def normal_records(df: DataFrame, least: int) -> DataFrame:
     return out.select("key", _picture_back(), F.xxhash64("q", "a").alias("t0"), F.xxhash64(F.lit(7), "a", "q").alias("t1"), "q", "a", (F.col("long") >= least).alias("far"))
 
 
-def _bitmaps(sets: list[set[str]]) -> np.ndarray:
-    out = np.zeros((len(sets), BITS * 64), bool)
-    for i, g in enumerate(sets):
-        out[i, np.fromiter(map(_hash, g), np.int64, len(g)) % (BITS * 64)] = True
+def _bitmaps(hashes: Sequence[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(hashes), BITS * 64), bool)
+    for i, h in enumerate(hashes):
+        out[i, h % (BITS * 64)] = True
     return np.packbits(out, axis=1, bitorder="little").view(np.int64)
 
 
@@ -363,8 +378,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(pdf):
             continue
         words = [(q.split(" "), a.split(" ")) for q, a in zip(pdf["q"], pdf["a"])]
-        sets = [grams(q, a) for q, a in words]
-        s = np.stack([m.of(g) for g in sets])
+        least, plain = zip(*(m.of(grams(q, a)) for q, a in words))
+        s = np.stack(least)
         number = np.array([_hash(digits(q)) << 32 | _hash(digits(a)) for q, a in words], np.uint64)
         near = ~pdf["none"].to_numpy(bool)
         scope = pd.util.hash_array(pdf["picture"].to_numpy(np.int64))
@@ -372,8 +387,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at, key, (rows, n) in ((np.flatnonzero(near), number ^ scope, NEAR), (np.flatnonzero(~near), number, FAR)):
             for i, b in zip(at, _fold(key[at], s[at], rows, n)):
                 buckets[i] = b
-        bits = _bitmaps(sets)
-        yield pdf.assign(n=[len(g) for g in sets], **{f"w{i}": bits[:, i] for i in range(BITS)}, buckets=buckets)
+        bits = _bitmaps(plain)
+        yield pdf.assign(n=[len(h) for h in plain], **{f"w{i}": bits[:, i] for i in range(BITS)}, buckets=buckets)
 
 
 def _signed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,7 +396,7 @@ def _signed_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     m = _minwise("crowded", CROWDED[0] * CROWDED[1], 2)
     for pdf in batches:
         if len(pdf):
-            s = np.stack([m.of(grams(q.split(" "), a.split(" "))) for q, a in zip(pdf["q"], pdf["a"])])
+            s = np.stack([m.of(grams(q.split(" "), a.split(" ")))[0] for q, a in zip(pdf["q"], pdf["a"])])
             yield pdf[["t0", "picture", "none"]].assign(buckets=list(_fold(pdf["bucket"].to_numpy().view(np.uint64), s, *CROWDED)))
 
 
