@@ -7,19 +7,21 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.session import materialize
+from dialoom.session import forget, materialize
 
 #: Rows that are left to sort on the driver when the cut is looked for.
 FEW = 1000
 
 
-def _cut(hashes: DataFrame, rank: int) -> tuple[str, str | None] | None:
-    """The (hash, key) at a position of their order: counts by the next four digits lead to it."""
-    prefix = ""
+def _cut(hashes: DataFrame, share: float) -> tuple[str, str | None] | None:
+    """The (hash, key) at floor(n * share) in their order: counts by the next four digits lead to it."""
+    prefix, rank = "", None
     while True:
         rows = hashes.where(F.startswith("_h", F.lit(prefix))) if prefix else hashes
-        counts = rows.groupBy(F.substring("_h", len(prefix) + 1, 4).alias("d")).count().orderBy("d").collect()  # at most 65,536
-        for r in counts:
+        counts = rows.groupBy(F.substring("_h", len(prefix) + 1, 4).alias("d")).count().collect()  # at most 65,536
+        if rank is None:
+            rank = math.floor(sum(r["count"] for r in counts) * share)
+        for r in sorted(counts, key=lambda r: r.d):
             if rank < r["count"]:
                 break
             rank -= r["count"]
@@ -43,7 +45,8 @@ def shuffle_split(df: DataFrame, key: str = "id", share: float = 0.9, seed: int
     """
     h = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit("g" * 32))
     hashes = materialize(df.select(h.alias("_h"), F.col(key).cast("string").alias("_key")), "hashes")
-    at = _cut(hashes, math.floor(hashes.count() * share))
+    at = _cut(hashes, share)
+    forget(hashes)
     if at is None:  # nothing is left for the other side
         return df.withColumn("split", F.lit("train"))
     first = (h < at[0]) | ((h == at[0]) & (F.col(key).cast("string") < F.lit(at[1])))
