@@ -7,16 +7,13 @@ written first. The number of ranges follows the number of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.session import forget, materialize, shuffle_partitions, written
 
-
 #: Rows of one range.
 RANGE_ROWS = 2_000_000
 
@@ -54,20 +51,13 @@ def with_global_index(df: DataFrame, order_by: list, name: str = "idx", partitio
 
 
 def running_total(df: DataFrame, keys: list[str], n: str, name: str, partitions: int | None = None) -> DataFrame:
-    """(keys, ``name``): the sum of ``n`` over all rows before this one in the order of ``keys``, bigints that are unique."""
-
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, start = TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            sums = pdf[n].cumsum() + start
-            yield pdf[keys].assign(_part=part, _before=sums - pdf[n], _n=pdf[n])
-            start = int(sums.iloc[-1]) if len(sums) else start
-
-    kinds = ", ".join(f"`{k}` bigint" for k in keys)
-    stored = _ordered(df.select(*keys, n), keys, partitions, lambda x: x.mapInPandas(within, f"{kinds}, _part int, _before bigint, _n bigint"), "totals")
+    """(keys, ``name``): the sum of ``n`` over all rows before this one in the order of ``keys``, which are unique."""
+    stored = _ordered(df.select(*keys, F.col(n).alias("_n")), keys, partitions, lambda x: x.withColumn("_part", F.spark_partition_id()), "totals")
     offset, start = [], 0
     for r in sorted(stored.groupBy("_part").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r._part):
         offset.append((r._part, start))
         start += r.n
     base = F.broadcast(df.sparkSession.createDataFrame(offset, "_part int, _base bigint"))  # one row a partition
-    return stored.join(base, "_part").select(*keys, (F.col("_base") + F.col("_before")).alias(name))
+    # a task sums one range
+    before = F.sum("_n").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    return stored.withColumn("_before", F.coalesce(before, F.lit(0))).join(base, "_part").select(*keys, (F.col("_base") + F.col("_before")).alias(name))
